@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "mapping")
+MODULES = ("tables", "mapping", "intake", "changes", "linking")
 
 
 def load() -> None:

@@ -51,8 +51,7 @@ class Tables:
         return self._seen[name]
 
     def sql(self, text: str) -> DataFrame:
-        text = _MILLIS.sub(r"unix_millis(cast(\1 as timestamp))", oracle(text, self.folder))
-        return self.spark.sql(text)
+        return self.spark.sql(oracle(text, self.folder))
 
 
 def derive(name: str, sql: str) -> None:
@@ -91,8 +90,10 @@ def oracle(sql: str, folder: str | None = None) -> str:
             return name
         return f"parquet.`{folder}/{name}.parquet`"
 
+    millis = r"(epoch_us(\1) // 1000)" if folder is None else r"unix_millis(cast(\1 as timestamp))"
+
     def plain(text: str) -> str:
-        return _NAME.sub(table, text)
+        return _MILLIS.sub(millis, _NAME.sub(table, text))
 
     visit(sql)
     ctes = [f"{n} AS ({plain(DERIVED[n])})" for n in order]

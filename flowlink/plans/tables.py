@@ -156,12 +156,27 @@ derive(
                 ELSE concat('  u', cast(cast(floor(c_custkey / 2) as bigint) as string), '@', c_mktsegment,
                             cast(c_nationkey as string), '.Example ') END AS email,
            CASE WHEN c_custkey % 17 = 0 THEN NULL
-                ELSE concat(' ', md5(cast(cast(floor(c_custkey / 4) as bigint) as string)), ',, ', c_mktsegment) END AS name,
+                ELSE concat(' ', substr(md5(cast(cast(floor(c_custkey / 4) as bigint) as string)), 1, 12), ',, ') END AS name,
            CASE WHEN c_custkey % 3 = 1 THEN concat('at u ', cast(cast(floor(c_custkey / 6) as bigint) as string)) END AS vat
     FROM {customer}
     """,
 )
 
+# Links an export proposes: some to another master, some given twice, some incomplete.
+derive(
+    "proposed",
+    """
+    SELECT CASE WHEN c_custkey % 31 = 0 THEN '' ELSE cast(c_custkey as string) END AS source_id,
+           CASE WHEN c_custkey % 37 = 0 THEN '  ' WHEN c_custkey % 7 = 0 THEN 'C-other'
+                ELSE concat(' C-', cast(cast(floor(c_custkey / 3) as bigint) as string)) END AS master_id,
+           c_custkey AS seq, lower(c_mktsegment) AS email
+    FROM {customer}
+    UNION ALL
+    SELECT cast(c_custkey as string), 'C-last', c_custkey + 100000000000, concat('m', cast(c_custkey as string), '@x.example')
+    FROM {customer} WHERE c_custkey % 11 = 0
+    """,
+)
+
 # Governed write requests, one per order.
 derive(
     "requests",

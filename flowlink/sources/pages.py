@@ -1,0 +1,140 @@
+"""A Python data source for systems that answer in pages of JSON items.
+
+``spark.dataSource.register(PageSource)`` then
+``spark.read.format("pages").schema(...).load(folder)``. Each page file is one input
+partition; ``position > n`` filters are taken over by the reader. It stands for the read
+side of a connector: describe (schema), check (the folder has pages), poll and export.
+"""
+
+from __future__ import annotations
+
+import glob
+import json
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    DataSourceWriter,
+    Filter,
+    GreaterThan,
+    InputPartition,
+    WriterCommitMessage,
+)
+from pyspark.sql.types import StructType
+
+
+class Page(InputPartition):
+    def __init__(self, path: str, after: int):
+        self.path = path
+        self.after = after
+
+
+def _pages(folder: str) -> list[str]:
+    return sorted(glob.glob(os.path.join(folder, "*.json")))
+
+
+def _read(page: Page, schema: StructType) -> Iterator[pa.RecordBatch]:
+    """A page's items past the position, as one Arrow batch with the declared columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    with open(page.path, encoding="utf-8") as f:
+        items = [i for i in json.load(f)["items"] if i["position"] > page.after]
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([i.get(f.name) for i in items], type=f.type) for f in arrow]
+    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+
+class PageReader(DataSourceReader):
+    def __init__(self, schema: StructType, folder: str):
+        self.schema_, self.folder, self.after = schema, folder, -1
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            if isinstance(f, GreaterThan) and f.attribute == ("position",):
+                self.after = max(self.after, int(f.value))
+            else:
+                yield f
+
+    def partitions(self):
+        return [Page(p, self.after) for p in _pages(self.folder)]
+
+    def read(self, partition: Page):
+        yield from _read(partition, self.schema_)
+
+
+class PageStreamReader(DataSourceStreamReader):
+    """Pages are append-only; the offset is how many have been read."""
+
+    def __init__(self, schema: StructType, folder: str):
+        self.schema_, self.folder = schema, folder
+
+    def initialOffset(self):
+        return {"pages": 0}
+
+    def latestOffset(self):
+        return {"pages": len(_pages(self.folder))}
+
+    def partitions(self, start, end):
+        return [Page(p, -1) for p in _pages(self.folder)[start["pages"] : end["pages"]]]
+
+    def read(self, partition: Page):
+        yield from _read(partition, self.schema_)
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class PageWriter(DataSourceWriter):
+    """Writes one page per task under a temporary name; commit makes the pages visible."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, iterator) -> Written:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        name = f"page-{context.partitionId():05d}-{context.taskAttemptId()}.tmp"
+        path = os.path.join(self.folder, name)
+        os.makedirs(self.folder, exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write('{"items":[')
+            for n, row in enumerate(iterator):
+                f.write("," if n else "")
+                json.dump(row.asDict(recursive=True), f)
+            f.write("]}")
+        return Written(path)
+
+    def commit(self, messages):
+        for m in messages:
+            if m is not None:
+                os.replace(m.path, m.path[: -len(".tmp")] + ".json")
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.remove(m.path)
+
+
+class PageSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "pages"
+
+    def schema(self) -> str:
+        return "id string, position bigint, status string"
+
+    def reader(self, schema: StructType) -> PageReader:
+        return PageReader(schema, self.options["path"])
+
+    def streamReader(self, schema: StructType) -> PageStreamReader:
+        return PageStreamReader(schema, self.options["path"])
+
+    def writer(self, schema: StructType, overwrite: bool) -> PageWriter:
+        return PageWriter(self.options["path"])

@@ -61,8 +61,9 @@ def check(spark, con, name, fn, sql, folder):
     if odd:
         print(f"      note {name}: types {odd}")
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        wanted, given = set(want), set(got)
+        only_got = [r for r in got if r not in wanted][:2]
+        only_want = [r for r in want if r not in given][:2]
         return f"{len(got)} rows vs {len(want)}; spark only {only_got}; sql only {only_want}", len(got)
     return None, len(got)
 
@@ -88,7 +89,7 @@ def main(argv):
         try:
             problem, n = check(spark, con, name, fn, oracles.get(name), folder)
         except Exception as e:  # noqa: BLE001 - report and go on with the other queries
-            problem, n = f"{type(e).__name__}: {str(e)[:700]}", -1
+            problem, n = f"{type(e).__name__}: {str(e)[:500]}", -1
         mark = "ok  " if problem is None else "FAIL"
         empty = " EMPTY" if n == 0 else ""
         print(f"{mark} {name} rows={n}{empty} {'' if name in oracles else '(rows only) '}{time.time() - start:.1f}s {problem or ''}", flush=True)
