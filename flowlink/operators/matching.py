@@ -11,7 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +54,9 @@ class Model(NamedTuple):
         m, u = self.levels.get(level, DEFAULT_LEVELS[level])
         return math.log(m / u)
 
+    def score(self, pairs: DataFrame) -> DataFrame:
+        return score_pairs(pairs, self)
+
     def prior_odds(self) -> float:
         prior = self.prior if 0 < self.prior < 1 else DEFAULT_PRIOR
         return prior / (1 - prior)
@@ -343,8 +346,8 @@ def _hot_keys(df: DataFrame, hot: DataFrame, profile: str = "profile") -> DataFr
     )
 
 
-def _similar_names(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
-    """(entity, a_name, b_name) of unequal but close names sharing a hot block.
+def similar_names(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
+    """(entity, block, a_name, b_name) of unequal but close names sharing a hot block.
 
     Names are made distinct per block and cut into chunks; each pair of chunks is one task's
     work, which returns the close pairs only. No task holds more than two chunks.
@@ -368,17 +371,23 @@ def _similar_names(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
         *block, "name", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("name"), "nb").cast("int").alias("j")
     )
 
-    def close(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        left_names, right_names = x["name"].tolist(), y["name"].tolist()
+    def close(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        left_names, right_names = x["name"].to_pylist(), y["name"].to_pylist()
         i, j, _ = similar_in_blocks(left_names, right_names)
-        out = pd.DataFrame({"a_name": [left_names[n] for n in i], "b_name": [right_names[n] for n in j]})
-        out = out[out["a_name"] != out["b_name"]]
-        out.insert(0, "entity", key[0])
-        return out
+        found = [(left_names[m], right_names[n]) for m, n in zip(i, j) if left_names[m] != right_names[n]]
+        return pa.table(
+            {
+                "entity": pa.array([key[0].as_py()] * len(found), pa.string()),
+                "block": pa.array([key[1].as_py()] * len(found), pa.string()),
+                "a_name": pa.array([a for a, _ in found], pa.string()),
+                "b_name": pa.array([b for _, b in found], pa.string()),
+            }
+        )
 
     slots = ["entity", "block", "i", "j"]
-    pairs = a.groupBy(*slots).cogroup(b.groupBy(*slots)).applyInPandas(close, "entity string, a_name string, b_name string")
-    return pairs.distinct()
+    return a.groupBy(*slots).cogroup(b.groupBy(*slots)).applyInArrow(
+        close, "entity string, block string, a_name string, b_name string"
+    )
 
 
 def _hot_pairs(left: DataFrame, right: DataFrame, hot: DataFrame, limit: int, chunk: int) -> DataFrame:
@@ -416,7 +425,7 @@ def _hot_pairs(left: DataFrame, right: DataFrame, hot: DataFrame, limit: int, ch
     by_evidence = evident.join(any_name, ["entity", "agreed"]).select("entity", "a_profile", "b_profile")
     by_name = lowest(["entity", "agreed", "present", "name"])
     same = a_groups.join(by_name, ["entity", "agreed", "name"]).select("entity", "a_profile", "b_profile")
-    alike = _similar_names(a, b, chunk)
+    alike = similar_names(a, b, chunk).select("entity", "a_name", "b_name").distinct()
     close = (
         a_groups.withColumnRenamed("name", "a_name")
         .join(alike, ["entity", "a_name"])
@@ -433,12 +442,15 @@ def suggest(
     limit: int = 3,
     hot_block: int | None = HOT_BLOCK,
     chunk: int = NAME_CHUNK,
+    decimals: int = 3,
 ) -> DataFrame:
-    """The ``limit`` best masters per record: (record_id, master_id, score, reasons, rank).
+    """The ``limit`` best masters per record: (record_id, master_id, score, reasons, rank),
+    and the unrounded probability.
 
     ``records`` is (entity, record_id, attributes...), ``linked`` (entity, source_id,
     master_id, attributes...). The best record of each master counts; candidates that agree
-    on nothing are dropped; scores have three decimals, equal ones are ordered by master.
+    on nothing are dropped; scores are rounded, equal ones are ordered by master. Any model
+    with ``score`` and ``monotone`` will do.
 
     Equal records are compared once. Blocks of more than ``hot_block`` distinct linked
     records are searched by groups (see ``_hot_pairs``), which gives the same result; a
@@ -468,7 +480,7 @@ def suggest(
         return df.select("entity", F.col("profile").alias(f"{p}profile"), *[F.col(x).alias(p + x) for x in ATTRIBUTES])
 
     wide = pairs.join(side(left, "a_"), ["entity", "a_profile"]).join(side(right, "b_"), ["entity", "b_profile"])
-    scored = score_pairs(wide, model).filter(F.size("reasons") > 0).select("entity", "a_profile", "b_profile", "score", "reasons")
+    scored = model.score(wide).filter(F.size("reasons") > 0).select("entity", "a_profile", "b_profile", "score", "reasons")
     by_master = scored.join(
         masters.select("entity", F.col("profile").alias("b_profile"), "master_id", "source_id"), ["entity", "b_profile"]
     )
@@ -477,7 +489,8 @@ def suggest(
         F.min(F.struct((-F.col("score")).alias("cost"), "source_id", "reasons")).alias("best")
     )
     shown = best.select(
-        "entity", "a_profile", "master_id", F.round(-F.col("best.cost"), 3).alias("score"), F.col("best.reasons").alias("reasons")
+        "entity", "a_profile", "master_id", F.round(-F.col("best.cost"), decimals).alias("score"), F.col("best.reasons").alias("reasons"),
+        (-F.col("best.cost")).alias("probability"),
     )
     order = Window.partitionBy("entity", "a_profile").orderBy(F.desc("score"), "master_id")
     top = shown.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

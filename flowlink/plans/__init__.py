@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "mapping", "intake", "changes", "linking")
+MODULES = ("tables", "mapping", "intake", "changes", "linking", "training")
 
 
 def load() -> None:

@@ -322,8 +322,8 @@ def _(t):
 
 @query("i05_suggest_hot_blocks", f"WITH {TOP} SELECT record_id, master_id, score, reasons, cast(rank as integer) AS rank FROM top WHERE rank <= 3")
 def _(t):
-    # Every block of more than two linked records counts as hot: the grouped search must agree.
-    out = M.suggest(new_records(t), linked_records(t), hot_block=2, chunk=64)
+    # Blocks of more than five linked records (the domains) count as hot: the grouped search must agree.
+    out = M.suggest(new_records(t), linked_records(t), hot_block=5, chunk=64)
     return out.select("record_id", "master_id", "score", F.array_join("reasons", ", ").alias("reasons"), "rank")
 
 

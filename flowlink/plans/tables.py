@@ -162,6 +162,18 @@ derive(
     """,
 )
 
+derive(
+    "vendors",
+    """
+    SELECT s_suppkey AS id, cast(s_suppkey as string) AS source_id,
+           concat('S-', cast(cast(floor(s_suppkey / 3) as bigint) as string)) AS master_id,
+           concat('v', cast(cast(floor(s_suppkey / 2) as bigint) as string), '@n', cast(s_nationkey as string), '.example') AS email,
+           CASE WHEN s_suppkey % 7 <> 0 THEN substr(md5(cast(cast(floor(s_suppkey / 6) as bigint) as string)), 1, 12) END AS name,
+           CASE WHEN s_suppkey % 3 <> 1 THEN concat('vat', cast(cast(floor(s_suppkey / 3) as bigint) as string)) END AS vat
+    FROM {supplier}
+    """,
+)
+
 # Links an export proposes: some to another master, some given twice, some incomplete.
 derive(
     "proposed",
