@@ -90,14 +90,12 @@ def read_model(table: DataFrame, prior: float = DEFAULT_PRIOR) -> Model:
 
 
 def _email(value: Column) -> Column:
-    text = F.lower(F.trim(value))
-    domain = F.substring_index(text, "@", -1)
-    usable = text.contains("@") & (domain != "") & (F.char_length(text) > F.char_length(domain) + 1)
-    return F.when(usable, text)
+    """Lower-case text with an @ that is neither first nor last; NULL otherwise."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(value)), r"(?s)^(.+@[^@]+)$", 1), F.lit(""))
 
 
 def _domain(value: Column) -> Column:
-    domain = F.substring_index(_email(value), "@", -1)
+    domain = F.nullif(F.regexp_extract(F.lower(F.trim(value)), r"(?s)^.+@([^@]+)$", 1), F.lit(""))
     return F.when(~domain.isin(*FREE_MAIL), domain)
 
 
@@ -123,7 +121,7 @@ def extract_attributes(df: DataFrame, fields: Sequence[tuple[str, str]]) -> Data
             exact.append(F.when(code != "", F.struct(F.lit(column).alias("field"), code.alias("value"))))
         else:
             read = {"email": _email, "domain": _domain, "name": _name}[kind](value)
-            found[kind].insert(0, F.when(read != "", read))
+            found[kind].insert(0, F.nullif(read, F.lit("")) if kind == "name" else read)
     empty = F.array().cast(EXACT_TYPE)
     listed = F.array_sort(F.array_compact(F.array(*exact))).cast(EXACT_TYPE) if exact else empty
     none = F.lit(None).cast("string")
@@ -270,6 +268,12 @@ def block_keys(prefix: str = "") -> Column:
     return F.concat(plain, coded)
 
 
+def comparable() -> Column:
+    """Whether a record has any attribute at all."""
+    plain = F.col("email").isNotNull() | F.col("domain").isNotNull() | F.col("name").isNotNull()
+    return plain | (F.size("exact") > 0)
+
+
 def profiles(df: DataFrame) -> DataFrame:
     """Adds ``profile``: one value for records with equal attributes."""
     return df.withColumn("profile", F.md5(F.to_json(F.struct(*ATTRIBUTES))))
@@ -281,7 +285,7 @@ def linked_profiles(linked: DataFrame, limit: int) -> DataFrame:
     Records with equal attributes score the same, so no other of their masters can be
     among the ``limit`` best: copies of one record collapse without a loss.
     """
-    usable = profiles(linked).filter(F.size(block_keys()) > 0)
+    usable = profiles(linked.filter(comparable()))
     per_master = usable.groupBy("entity", "profile", "master_id").agg(
         *[F.any_value(a).alias(a) for a in ATTRIBUTES], F.min("source_id").alias("source_id")
     )
@@ -457,7 +461,7 @@ def suggest(
     model under which agreeing can lower a score does not allow that, and every pair of a
     block is then compared.
     """
-    shaped = profiles(records).filter(F.size(block_keys()) > 0)
+    shaped = profiles(records.filter(comparable()))
     left = shaped.groupBy("entity", "profile").agg(*[F.any_value(a).alias(a) for a in ATTRIBUTES])
     masters = linked_profiles(linked, limit)
     right = masters.groupBy("entity", "profile").agg(
@@ -465,7 +469,8 @@ def suggest(
     )
     hot = None
     if hot_block is not None and model.monotone():
-        sizes = blocks(right, "profile").groupBy("entity", "rule", "key").agg(F.count(F.lit(1)).alias("size"))
+        # Counting rows, not profiles, may call a block hot too early: that costs nothing.
+        sizes = blocks(linked).groupBy("entity", "rule", "key").agg(F.count(F.lit(1)).alias("size"))
         hot = sizes.filter(F.col("size") > hot_block).select("entity", "rule", "key")
         if hot.isEmpty():
             hot = None

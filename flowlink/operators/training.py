@@ -44,9 +44,8 @@ def _side(df: DataFrame, p: str) -> list[Column]:
 
 def usable(records: DataFrame, per_master: int = RECORDS_PER_MASTER) -> DataFrame:
     """Records with attributes, the first ``per_master`` of each master, numbered in it."""
-    some = F.size(M.block_keys()) > 0
     order = Window.partitionBy("master_id").orderBy("source_id")
-    return records.filter(some).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_master)
+    return records.filter(M.comparable()).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_master)
 
 
 def matching_pairs(records: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "mapping", "intake", "changes", "linking", "training")
+MODULES = ("tables", "mapping", "intake", "changes", "linking", "training", "ledger")
 
 
 def load() -> None:
