@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "mapping", "intake", "changes", "linking", "training", "ledger")
+MODULES = ("tables", "mapping", "intake", "changes", "linking", "training", "ledger", "drift")
 
 
 def load() -> None:
