@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlink.functions.prefix import carried, previous_row
+
 CATALOG = "endpoint string, object string, sampled boolean, field string, type string, length int, required boolean, required_by string, read_only boolean"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
@@ -87,15 +89,16 @@ def digests(catalog: DataFrame) -> DataFrame:
 
 
 def snapshots(checks: DataFrame) -> DataFrame:
-    """Snapshots from checks (endpoint, checked_at, digest): a new one only on a change.
+    """Snapshots from checks (endpoint, checked_at number, digest): a new one only on a change.
 
-    Each has when it was taken and last checked, and its number.
+    A snapshot is named by when it was taken; later checks with its digest extend it.
     """
-    order = Window.partitionBy("endpoint").orderBy("checked_at")
-    changed = F.when(F.lag("digest").over(order).eqNullSafe(F.col("digest")), 0).otherwise(1)
-    numbered = checks.withColumn("_new", changed).withColumn("snapshot", F.sum("_new").over(order))
-    return numbered.groupBy("endpoint", "snapshot", "digest").agg(
-        F.min("checked_at").alias("taken_at"), F.max("checked_at").alias("checked_at"), F.count(F.lit(1)).alias("checks")
+    seen = previous_row(checks, "checked_at", ["digest"], ["endpoint"])
+    same = F.col("has_prev") & F.col("prev_digest").eqNullSafe(F.col("digest"))
+    starts = seen.withColumn("_start", F.when(~same, F.col("checked_at"))).drop("has_prev", "prev_digest")
+    numbered = carried(starts, "checked_at", "_start", "taken_at", ["endpoint"])
+    return numbered.groupBy("endpoint", "taken_at", "digest").agg(
+        F.max("checked_at").alias("checked_at"), F.count(F.lit(1)).alias("checks")
     )
 
 

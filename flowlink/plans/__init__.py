@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "mapping", "intake", "changes", "linking", "training", "ledger", "drift")
+MODULES = ("tables", "mapping", "intake", "changes", "linking", "training", "ledger", "drift", "reports")
 
 
 def load() -> None:

@@ -291,7 +291,7 @@ def _(t):
     WITH c AS (SELECT concat('u', cast(user_id as varchar)) AS endpoint, event_id AS checked_at, event_type AS digest FROM {events}),
     n AS (SELECT *, CASE WHEN digest = lag(digest) OVER (PARTITION BY endpoint ORDER BY checked_at) THEN 0 ELSE 1 END AS fresh FROM c),
     s AS (SELECT *, cast(sum(fresh) OVER (PARTITION BY endpoint ORDER BY checked_at) as bigint) AS snapshot FROM n)
-    SELECT endpoint, snapshot, digest, min(checked_at) AS taken_at, max(checked_at) AS checked_at, count(*) AS checks FROM s GROUP BY endpoint, snapshot, digest
+    SELECT endpoint, digest, min(checked_at) AS taken_at, max(checked_at) AS checked_at, count(*) AS checks FROM s GROUP BY endpoint, snapshot, digest
     """,
 )
 def _(t):
