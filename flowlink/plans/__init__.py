@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "mapping", "intake", "changes", "linking", "training", "ledger", "drift", "reports")
+MODULES = ("tables", "mapping", "intake", "changes", "linking", "training", "ledger", "drift", "reports", "streams")
 
 
 def load() -> None:

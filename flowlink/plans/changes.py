@@ -130,7 +130,7 @@ def _(t):
     return C.retention_gaps(offsets(t), starts)
 
 
-ROW = T.StructType.fromDDL("id bigint, customer bigint, status string, cents bigint")
+ROW = T.StructType().add("id", "long").add("customer", "long").add("status", "string").add("cents", "long")
 
 
 def decoded(t):

@@ -559,9 +559,16 @@ def _(t):
     )
 
 
-ODATA = T.StructType.fromDDL(
-    "__metadata struct<uri:string>, Number string, Created string, Changed string, "
-    "Partner struct<__deferred:struct<uri:string>>, Items struct<results:array<struct<__metadata:struct<uri:string>,Due:string>>>"
+_URI = T.StructType().add("uri", "string")
+_DUE = T.StructType().add("__metadata", _URI).add("Due", "string")
+ODATA = (
+    T.StructType()
+    .add("__metadata", _URI)
+    .add("Number", "string")
+    .add("Created", "string")
+    .add("Changed", "string")
+    .add("Partner", T.StructType().add("__deferred", _URI))
+    .add("Items", T.StructType().add("results", T.ArrayType(_DUE)))
 )
 
 
