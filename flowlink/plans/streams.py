@@ -104,7 +104,7 @@ def _(t):
 
 @query(
     "t05_await_decisions",
-    f"SELECT run_id, status, decided_by, wait_ms FROM ({RP._DECIDED.replace(str(RP.CLOCK), str(10**15))})",
+    f"SELECT run_id, status, decided_by, wait_ms FROM ({RP._DECIDED.replace(str(RP.CLOCK), str(4 * 10**12))})",
 )
 def _(t):
     r = t["approval_requests"].select("run_id", F.lit("request").alias("kind"), "step", "digest", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("actor"), F.col("asked_ms").alias("at_ms"))
@@ -112,7 +112,7 @@ def _(t):
     first = written(t, r.unionByName(s), "messages", 1)
     # A last message far in the future lets every request's time run out.
     end = t["orders"].select((F.max("o_orderkey") + 1).alias("run_id")).select(
-        "run_id", F.lit("signal").alias("kind"), F.lit(0).alias("step"), F.lit("").alias("digest"), F.lit("").alias("status"), F.lit("").alias("actor"), F.lit(10**14).alias("at_ms")
+        "run_id", F.lit("signal").alias("kind"), F.lit(0).alias("step"), F.lit("").alias("digest"), F.lit("").alias("status"), F.lit("").alias("actor"), F.lit(4 * 10**12).alias("at_ms")
     )
     end.write.mode("append").parquet(first)
     schema = r.unionByName(s).schema

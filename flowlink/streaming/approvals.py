@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
@@ -20,56 +20,60 @@ MESSAGE = "run_id bigint, kind string, step int, digest string, status string, a
 
 
 class Decide(StatefulProcessor):
-    """Holds a run's pending request until a matching signal comes or its time is over."""
+    """Holds a run's pending request until a matching signal comes or its time is over.
+
+    One state value per run, read and written once per trigger: each access is a call to
+    the state store.
+    """
+
+    STATE = (
+        "closed boolean, step int, digest string, asked_ms bigint, "
+        "early array<struct<step:int,digest:string,status:string,actor:string,at_ms:bigint>>"
+    )
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "step int, digest string, asked_ms bigint")
-        # Signals that came before their request in another order of the same moment.
-        self.early = handle.getListState("early", "step int, digest string, status string, actor string, at_ms bigint")
-        self.closed = handle.getValueState("closed", "done boolean")
-
-    def _settle(self, key, signals) -> Iterator[pd.DataFrame]:
-        step, digest, asked = self.pending.get()
-        fits = [s for s in signals if s[0] == step and s[1] == digest and asked <= s[4] < asked + self.timeout_ms]
-        if not fits:
-            return
-        _, _, status, actor, at = min(fits, key=lambda s: (s[4], s[2], s[3]))
-        verdict = "approved" if status == "approved" else "rejected"
-        yield pd.DataFrame([(key[0], verdict, actor, at - asked)], columns=DECISION.names)
-        self._close()
+        self.state = handle.getValueState("approval", self.STATE)
 
     def _close(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.pending.clear()
-        self.early.clear()
-        self.closed.update((True,))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.closed.exists():
+        self.state.update((True, None, None, None, None))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.state.get()
+        if known is not None and known[0]:
             return
-        signals = list(self.early.get()) if self.early.exists() else []
-        for part in rows:
-            for r in part.itertuples(index=False):
-                if r.kind == "request":
-                    self.pending.update((int(r.step), r.digest, int(r.at_ms)))
-                    self.handle.registerTimer(int(r.at_ms) + self.timeout_ms)
-                else:
-                    signals.append((int(r.step), r.digest, r.status, r.actor, int(r.at_ms)))
-        if self.pending.exists():
-            yield from self._settle(key, signals)
+        request = None if known is None or known[3] is None else (known[1], known[2], known[3])
+        # Signals that came before their request, in another order of the same moment.
+        signals = [] if known is None else [tuple(e) for e in known[4] or []]
+        asked_before = request is not None
+        for r in rows:
+            if r.kind == "request":
+                request = (r.step, r.digest, r.at_ms)
+            else:
+                signals.append((r.step, r.digest, r.status, r.actor, r.at_ms))
+        if request is not None:
+            step, digest, asked = request
+            end = asked + self.timeout_ms
+            fits = [s for s in signals if s[0] == step and s[1] == digest and asked <= s[4] < end]
+            if fits:
+                _, _, status, actor, at = min(fits, key=lambda s: (s[4], s[2], s[3]))
+                verdict = "approved" if status == "approved" else "rejected"
+                self._close()
+                yield Row(run_id=key[0], status=verdict, decided_by=actor, wait_ms=at - asked)
+                return
             signals = []
-        if signals and not self.closed.exists():
-            self.early.put(signals)
+            if not asked_before:
+                self.handle.registerTimer(end)
+        self.state.update((False, *(request or (None, None, None)), signals))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            yield pd.DataFrame([(key[0], "rejected", TIMEOUT_ACTOR, self.timeout_ms)], columns=DECISION.names)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.state.get()
+        if known is not None and not known[0] and known[3] is not None:
             self._close()
+            yield Row(run_id=key[0], status="rejected", decided_by=TIMEOUT_ACTOR, wait_ms=self.timeout_ms)
 
     def close(self) -> None:
         pass
@@ -83,7 +87,7 @@ def await_decisions(messages: DataFrame, timeout_ms: int, delay: str = "1 minute
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = messages.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
-    return timed.groupBy("run_id").transformWithStateInPandas(
+    return timed.groupBy("run_id").transformWithState(
         Decide(timeout_ms), outputStructType=DECISION, outputMode="Append", timeMode="EventTime"
     )
 
@@ -126,23 +130,19 @@ class OpenRequests(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.request = handle.getValueState("request", "holder string, until bigint, waiters array<string>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state = None
         if self.request.exists():
             holder, until, waiters = self.request.get()
             state = (holder, until, list(waiters))
         # A trigger's messages of one key: a handful, put into their order.
-        messages = pd.concat(list(rows)).sort_values("seq")
-        out = []
-        for r in messages.itertuples(index=False):
-            until = None if pd.isna(r.until) else int(r.until)
-            state, holder, woken = ledger_step(state, r.kind, r.run, int(r.at_ms), until)
-            out.append((key[0], int(r.seq), r.run, r.kind, holder, ",".join(woken)))
+        for r in sorted(rows, key=lambda r: r.seq):
+            state, holder, woken = ledger_step(state, r.kind, r.run, r.at_ms, r.until)
+            yield Row(key=key[0], seq=r.seq, run=r.run, kind=r.kind, holder=holder, waiters=",".join(woken))
         if state is None:
             self.request.clear()
         else:
             self.request.update(state)
-        yield pd.DataFrame(out, columns=ANSWER.names)
 
     def close(self) -> None:
         pass
@@ -151,7 +151,7 @@ class OpenRequests(StatefulProcessor):
 def open_requests(messages: DataFrame) -> DataFrame:
     """A stream of answers from a stream of (key, seq, run, kind, at_ms, until)."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return messages.groupBy("key").transformWithStateInPandas(
+    return messages.groupBy("key").transformWithState(
         OpenRequests(), outputStructType=ANSWER, outputMode="Append", timeMode="None"
     )
 
