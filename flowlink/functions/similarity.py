@@ -70,16 +70,11 @@ def jaro_winkler_arrays(left: list[str], right: list[str]) -> np.ndarray:
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """NULL when either name is NULL; each distinct pair of a batch is compared once."""
-    known = a.notna() & b.notna()
-    out = pd.Series(np.nan, index=a.index)
-    if known.any():
-        pairs = pd.DataFrame({"a": a[known], "b": b[known]})
-        distinct = pairs.drop_duplicates()
-        scores = jaro_winkler_arrays(distinct["a"].tolist(), distinct["b"].tolist())
-        scored = pairs.merge(distinct.assign(s=scores), on=["a", "b"], how="left")
-        out.loc[known] = scored["s"].to_numpy()
-    return out.where(known, None)
+    """NULL when either name is NULL."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = jaro_winkler_arrays(a[known].tolist(), b[known].tolist())
+    return pd.Series(out).where(known, None)
 
 
 def similar_in_blocks(left: list[str], right: list[str], floor: float = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

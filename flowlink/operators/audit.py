@@ -16,7 +16,7 @@ ENTRY = "seq bigint, time string, actor string, action string, data string, prev
 
 def parse(lines: DataFrame, line: str = "line") -> DataFrame:
     """Entries of JSON lines; ``readable`` is false for a line that is none."""
-    parsed = lines.withColumn("_e", F.from_json(line, ENTRY))
+    parsed = lines.select("*", F.explode(F.array(F.from_json(line, ENTRY))).alias("_e"))
     names = ("seq", "time", "actor", "action", "data", "prev", "hash")
     out = parsed.withColumns({n: F.col("_e")[n] for n in names}).drop("_e")
     return out.withColumn("readable", F.col("seq").isNotNull() & F.col("hash").isNotNull())

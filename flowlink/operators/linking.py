@@ -149,6 +149,10 @@ def compare_links(proposed: DataFrame, xref: DataFrame, entity: str, system: str
     )
 
 
+def _no_attributes() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
 def link_digest(links: Column) -> Column:
     """An aggregate naming a set of texts, whatever their order or partitioning.
 
@@ -159,15 +163,15 @@ def link_digest(links: Column) -> Column:
 
 
 class LinkLoad(NamedTuple):
-    """What a bulk load gives: counts, conflicts, links to write, the new cross-reference."""
+    """A planned load: ``merged`` has the system's links after it, one row per record, with
+    each row's status (kept, added, unchanged, replaced, conflict); ``skipped`` counts rows
+    read and left out."""
 
-    counts: DataFrame
-    conflicts: DataFrame
-    changes: DataFrame
-    xref: DataFrame
+    merged: DataFrame
+    skipped: DataFrame
 
 
-def load_links(
+def plan_load(
     export: DataFrame,
     xref: DataFrame,
     entity: str,
@@ -180,41 +184,68 @@ def load_links(
 ) -> LinkLoad:
     """A bulk load of links from exported records, with their identifying attributes.
 
-    Rows without a source or master are skipped and counted. Nothing is written: the caller
-    writes ``changes`` (or ``xref``), or leaves it at a dry run.
+    Rows without a source or master are skipped and counted. One full join with the
+    system's current links gives both what the load does and the table it leaves, so a
+    caller writes ``merged`` once (the system's partition of the cross-reference) and
+    counts what it wrote; a dry run only counts.
     """
     master_text = F.trim(F.col(master))
     no_source = F.coalesce(F.col(source), F.lit("")) == ""
-    no_master = ~no_source & (F.coalesce(master_text, F.lit("")) == "")
-    marked = export.withColumns({"_no_source": no_source, "_no_master": no_master})
-    usable = marked.filter(~F.col("_no_source") & ~F.col("_no_master"))
-    extracted = M.extract_attributes(usable, match).select(
-        F.col(source).alias("source_id"), master_text.alias("master_id"), M.attributes_map().alias("attributes"), order
+    no_master = F.coalesce(master_text, F.lit("")) == ""
+    skipped = export.agg(
+        F.count(F.lit(1)).alias("read"), F.count_if(no_source).alias("without_source"),
+        F.count_if(~no_source & no_master).alias("without_master"),
     )
-    compared = compare_links(last_links(extracted, order), xref, entity, system, replace)
-    linked = F.col("status") != "conflict"
-
-    def n(status: str) -> Column:
-        return F.count(F.when(F.col("status") == status, 1)).alias(status)
-
-    line = F.concat_ws("\t", "source_id", "master_id")
-    counts = compared.agg(
-        n("added"), n("unchanged"), n("replaced"), n("conflict"), F.count(F.when(F.col("writes"), 1)).alias("written"),
-        link_digest(F.when(linked, line)).alias("digest"),
+    usable = export.filter(~no_source & ~no_master)
+    proposed = M.extract_attributes(usable, match).select(
+        F.col(source).alias("source_id"), master_text.alias("proposed"), M.attributes_map().alias("_new"), order
     )
-    read = marked.agg(
-        F.count(F.lit(1)).alias("read"), F.count(F.when(F.col("_no_source"), 1)).alias("without_source"),
-        F.count(F.when(F.col("_no_master"), 1)).alias("without_master"),
+    current = xref.filter((F.col("entity") == entity) & (F.col("system") == system)).select(
+        "source_id", F.col("master_id").alias("linked"), F.col("attributes").alias("_known")
     )
-    names = ("read", "without_source", "without_master")
-    counts = counts.withColumns({c: read.select(c).scalar() for c in names})
-    changes = compared.filter(F.col("writes")).select(
-        F.lit(entity).alias("entity"), F.lit(system).alias("system"), "source_id", "master_id", "attributes"
+    both = last_links(proposed, order).join(current, "source_id", "full_outer")
+    status = (
+        F.when(F.col("proposed").isNull(), "kept")
+        .when(F.col("linked").isNull(), "added")
+        .when(F.col("linked") == F.col("proposed"), "unchanged")
+        .otherwise("replaced" if replace else "conflict")
+    )
+    brings = F.coalesce(F.size("_new"), F.lit(0)) > 0
+    entries = lambda c: F.array_sort(F.map_entries(F.coalesce(c, _no_attributes())))
+    fresh = brings & (entries("_new") != entries("_known"))
+    writes = F.when(F.col("status") == "unchanged", fresh).otherwise(F.col("status").isin("added", "replaced"))
+    marked = both.withColumn("status", status).withColumn("writes", writes)
+    merged = marked.select(
+        F.lit(entity).alias("entity"), F.lit(system).alias("system"), "source_id",
+        F.when(F.col("status").isin("added", "replaced"), F.col("proposed")).otherwise(F.col("linked")).alias("master_id"),
+        F.when(F.col("writes") & brings, F.col("_new")).otherwise(F.coalesce("_known", _no_attributes())).alias("attributes"),
+        "status", "writes", "proposed", "linked",
     )
-    conflicts = compared.filter(F.col("status") == "conflict").select(
-        "source_id", "linked", F.col("master_id").alias("proposed")
+    return LinkLoad(merged, skipped)
+
+
+def load_counts(load: LinkLoad, merged: DataFrame | None = None) -> DataFrame:
+    """One row: read, skipped, added, unchanged, replaced, conflicts, written, and a digest
+    of the links made. ``merged`` may be the written table, so nothing is computed twice."""
+    rows = load.merged if merged is None else merged
+    n = lambda status: F.count_if(F.col("status") == status).alias(status)
+    made = ~F.col("status").isin("conflict", "kept")
+    counts = rows.agg(
+        n("added"), n("unchanged"), n("replaced"), n("conflict"), F.count_if("writes").alias("written"),
+        link_digest(F.when(made, F.concat_ws("\t", "source_id", "proposed"))).alias("digest"),
     )
-    return LinkLoad(counts, conflicts, changes, upsert_links(xref, changes))
+    names = ("read", "without_source", "without_master")
+    return counts.withColumns({c: load.skipped.select(c).scalar() for c in names})
+
+
+def load_conflicts(merged: DataFrame) -> DataFrame:
+    """Records left at another master: (source_id, linked, proposed)."""
+    return merged.filter(F.col("status") == "conflict").select("source_id", "linked", "proposed")
+
+
+def load_changes(merged: DataFrame) -> DataFrame:
+    """The links a load has to write."""
+    return merged.filter("writes").select(*KEY, "master_id", "attributes")
 
 
 # --- Resolution end to end --------------------------------------------------------------

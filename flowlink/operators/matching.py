@@ -479,7 +479,9 @@ def suggest(
         # Groups count masters, so each profile takes part with all the masters it keeps.
         grouped = masters.select("entity", "profile", "master_id", *ATTRIBUTES)
         pairs = pairs.unionByName(_hot_pairs(left, grouped, hot, limit, chunk))
-    pairs = pairs.distinct()
+    # Comparing is work for the processor, not for the disk: partitions are not merged by size.
+    width = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(width, "entity", "a_profile", "b_profile").dropDuplicates()
 
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select("entity", F.col("profile").alias(f"{p}profile"), *[F.col(x).alias(p + x) for x in ATTRIBUTES])

@@ -148,8 +148,8 @@ def _(t):
     return out.select("source_id", "system", "master_id", F.col("attributes")["email"].alias("email"))
 
 
-def export(t):
-    return t["proposed"]
+def planned(t):
+    return L.plan_load(t["proposed"], xref(t), "Customer", "shop", "source_id", "master_id", [("email", "email")])
 
 
 _PIECE = "cast(cast(concat('0x', substr(sha256(concat(p.source_id, chr(9), p.master_id)), 1, 15)) as bigint) as hugeint)"
@@ -168,7 +168,7 @@ _PIECE = "cast(cast(concat('0x', substr(sha256(concat(p.source_id, chr(9), p.mas
     """,
 )
 def _(t):
-    return L.load_links(export(t), xref(t), "Customer", "shop", "source_id", "master_id", [("email", "email")]).counts
+    return L.load_counts(planned(t))
 
 
 @query(
@@ -180,9 +180,19 @@ def _(t):
     """,
 )
 def _(t):
-    shop = xref(t).filter("system = 'shop'")
-    out = L.load_links(export(t), shop, "Customer", "shop", "source_id", "master_id", [("email", "email")]).xref
-    return out.select("source_id", "master_id", F.col("attributes")["email"].alias("email"))
+    return planned(t).merged.select("source_id", "master_id", F.col("attributes")["email"].alias("email"))
+
+
+@query(
+    "k15_link_load_changes",
+    f"""
+    SELECT p.source_id, p.master_id, CASE WHEN p.email LIKE '%@%' THEN p.email END AS email FROM {_LAST} p LEFT JOIN {_SHOP} x ON x.source_id = p.source_id
+    WHERE x.master_id IS NULL OR (x.master_id = p.master_id AND p.email LIKE '%@%')
+    """,
+)
+def _(t):
+    changes = L.load_changes(planned(t).merged)
+    return changes.select("source_id", "master_id", F.col("attributes")["email"].alias("email"))
 
 
 @query(
@@ -193,7 +203,7 @@ def _(t):
     """,
 )
 def _(t):
-    return L.load_links(export(t), xref(t), "Customer", "shop", "source_id", "master_id", [("email", "email")]).conflicts
+    return L.load_conflicts(planned(t).merged)
 
 
 # --- Matching ---------------------------------------------------------------------------

@@ -7,8 +7,9 @@ engines spell differently.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,16 @@ QUERIES: dict[str, Query] = {}
 
 
 class Tables:
-    """The driver tables and the tables derived from them, read lazily."""
+    """The driver tables and the tables derived from them, read lazily.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    ``spread`` cuts each driver table into that many partitions first: they come as one
+    small file each, which a single task would read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, spread: int = 0):
         self.spark = configure(spark)
         self.folder = folder
+        self.spread = spread
         self._seen: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -47,11 +53,28 @@ class Tables:
             if name in DERIVED:
                 self._seen[name] = self.sql(DERIVED[name])
             else:
-                self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._seen[name] = df.repartition(self.spread) if self.spread else df
         return self._seen[name]
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(oracle(text, self.folder))
+        return self.spark.sql(oracle(text, _Views(self)))
+
+
+class _Views(dict):
+    """Temporary views of driver tables, made when first asked for."""
+
+    def __init__(self, tables: Tables):
+        super().__init__()
+        self.tables = tables
+
+    def __missing__(self, name: str) -> str:
+        place = hashlib.md5(f"{self.tables.folder}/{self.tables.spread}".encode()).hexdigest()[:12]
+        view = f"flowlink_{place}_{name}"
+        if not self.tables.spark.catalog.tableExists(view):
+            self.tables[name].createOrReplaceTempView(view)
+        self[name] = view
+        return view
 
 
 def derive(name: str, sql: str) -> None:
@@ -70,11 +93,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def oracle(sql: str, folder: str | None = None) -> str:
+def oracle(sql: str, views: Mapping[str, str] | None = None) -> str:
     """The SQL with every derived table it needs as a WITH clause.
 
-    With a folder, driver tables are read from its Parquet files (Spark); without one they
-    are views of the same name (DuckDB).
+    With ``views``, driver tables are read through those (Spark); without, they are views
+    of the same name (DuckDB).
     """
     order: list[str] = []
 
@@ -86,11 +109,11 @@ def oracle(sql: str, folder: str | None = None) -> str:
 
     def table(match: re.Match) -> str:
         name = match.group(1)
-        if folder is None or name in DERIVED:
+        if views is None or name in DERIVED:
             return name
-        return f"parquet.`{folder}/{name}.parquet`"
+        return views[name]
 
-    millis = r"(epoch_us(\1) // 1000)" if folder is None else r"unix_millis(cast(\1 as timestamp))"
+    millis = r"(epoch_us(\1) // 1000)" if views is None else r"unix_millis(cast(\1 as timestamp))"
 
     def plain(text: str) -> str:
         return _MILLIS.sub(millis, _NAME.sub(table, text))

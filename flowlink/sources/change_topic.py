@@ -72,7 +72,8 @@ def decode(records: DataFrame, row: T.StructType, value: str = "value") -> DataF
             *inner,
         ]
     )
-    parsed = records.withColumn("_e", F.from_json(value, outer))
+    # Generating the parsed value keeps the optimizer from parsing again for every field.
+    parsed = records.select("*", F.explode(F.array(F.from_json(value, outer))).alias("_e"))
     wrapped = F.col("_e.schema").isNotNull() & F.col("_e.payload").isNotNull()
 
     def part(name: str) -> Column:

@@ -127,5 +127,5 @@ def clean_odata(value: Column, kind: T.DataType) -> tuple[Column, T.DataType] |
 
 def clean_records(df: DataFrame, text: str, schema: T.StructType, into: str = "record") -> DataFrame:
     """JSON text of OData records parsed with its declared schema and cleaned."""
-    parsed = df.withColumn("_raw", F.from_json(text, schema))
+    parsed = df.select("*", F.explode(F.array(F.from_json(text, schema))).alias("_raw"))
     return parsed.withColumn(into, clean_odata(F.col("_raw"), schema)[0]).drop("_raw")
