@@ -89,6 +89,7 @@ class Update(NamedTuple):
 def update_by_key(table: DataFrame, updates: DataFrame, key: str, fixed: Mapping[str, object] | None = None) -> Update:
     """Rows updated by key with the columns ``updates`` brings, then the fixed values.
 
+    ``updates`` has one row per key; bring several to one with ``first_by`` first.
     ``changes`` holds (key, previous, applied) for ``restore``: what a write replaced.
     """
     fixed = fixed or {}

@@ -371,8 +371,9 @@ def similar_names(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
     a = a.join(sizes, block).select(
         *block, "name", F.pmod(F.xxhash64("name"), "na").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")
     )
+    # Both sides may be the same table: new names keep their columns apart.
     b = b.join(sizes, block).select(
-        *block, "name", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("name"), "nb").cast("int").alias("j")
+        *[F.col(c).alias(c) for c in (*block, "name")], F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("name"), "nb").cast("int").alias("j")
     )
 
     def close(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:

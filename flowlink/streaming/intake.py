@@ -25,18 +25,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def deliver(batch: DataFrame, batch_id: int, inbox: str, order: str = "arrived") -> None:
+def deliver(batch: DataFrame, batch_id: int, inbox: str, order: str = "arrived", retention: int | None = None) -> None:
     """Adds a micro-batch to the inbox table at a path: each event once.
 
     The batch goes to a folder of its own, overwritten when the batch is run again, and is
-    compared with every other batch's events: neither a repeated batch nor a repeated
-    event is stored twice.
+    compared with the events of the other batches kept (the last ``retention``, where older
+    ones have been pruned): neither a repeated batch nor a repeated event is stored twice.
+    Only the two identity columns of the partitions in question are read.
     """
     spark = batch.sparkSession
     stored = None
     if _exists(spark, inbox):
         earlier = spark.read.option("basePath", inbox).schema("source string, event_id string, batch bigint").parquet(inbox)
         stored = earlier.filter(F.col("batch") != batch_id)
+        if retention is not None:
+            stored = stored.filter(F.col("batch") >= batch_id - retention)
     new = I.keep_first(batch, stored, order)
     new.write.mode("overwrite").parquet(f"{inbox}/batch={batch_id}")
 
