@@ -308,7 +308,8 @@ def block_sizes(linked: DataFrame) -> DataFrame:
 def candidate_pairs(records: DataFrame, linked: DataFrame) -> DataFrame:
     """Distinct (entity, record_id, source_id) of linked records sharing any block.
 
-    One equi-join on exploded keys; an OR of four conditions would be a nested loop.
+    One equi-join on exploded keys; an OR of four conditions would be a nested loop. Its
+    result grows with the product of a block's sides: to find masters, use ``suggest``.
     """
     left = blocks(records, "record_id")
     right = blocks(linked, "source_id", "system") if "system" in linked.columns else blocks(linked, "source_id")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlink.functions.joins import small
+
 # Operation codes, where a change comes from, and per connector the source
 # fields that place a change in its database's log.
 OPERATIONS = {"c": "create", "u": "update", "d": "delete", "r": "read"}
@@ -33,7 +35,7 @@ def read_topic(records: DataFrame, offsets: DataFrame, start: str = "earliest")
     A partition without one starts at its earliest record, or with ``latest`` after its
     last. ``offsets`` is (partition, next_offset), one row per partition.
     """
-    joined = records.join(offsets, "partition", "left")
+    joined = records.join(small(offsets), "partition", "left")
     if start == "latest":
         return joined.filter(F.col("offset") >= F.col("next_offset")).drop("next_offset")
     return joined.filter(F.col("offset") >= F.coalesce("next_offset", F.lit(0))).drop("next_offset")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlink.functions.joins import small
 from flowlink.functions.prefix import carried, previous_row
 
 # --- Change events covering several records ---------------------------------------------
@@ -125,7 +126,7 @@ def parse_segments(data: DataFrame, definition: DataFrame) -> DataFrame:
     The definition is one row per segment type; the map is built inside the row, without
     a shuffle of the data.
     """
-    joined = data.join(segment_definitions(definition), F.trim("segnam") == F.col("segment"), "left")
+    joined = data.join(small(segment_definitions(definition)), F.trim("segnam") == F.col("segment"), "left")
     entries = F.transform(
         F.coalesce("fields", F.array().cast("array<struct<field:string,offset:int,length:int>>")),
         lambda f: F.struct(
