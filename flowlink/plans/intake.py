@@ -43,8 +43,9 @@ def _(t):
     """
     WITH page AS (SELECT position FROM {polled} WHERE position > 1704931200000 ORDER BY position LIMIT 1000),
          last AS (SELECT max(position) AS p FROM page),
-         upper AS (SELECT coalesce((SELECT max(position) FROM page WHERE position < (SELECT p FROM last)), (SELECT p FROM last)) AS u)
-    SELECT id, position FROM {polled} WHERE position > 1704931200000 AND position <= (SELECT u FROM upper)
+         upper AS (SELECT coalesce((SELECT max(position) FROM page WHERE position < (SELECT p FROM last)), (SELECT p FROM last)) AS u),
+         cut AS (SELECT count(*) > 1000 AS c FROM {polled} WHERE position > 1704931200000)
+    SELECT id, position FROM {polled} WHERE position > 1704931200000 AND (position <= (SELECT u FROM upper) OR NOT (SELECT c FROM cut))
     """,
 )
 def _(t):
@@ -54,8 +55,11 @@ def _(t):
 @query(
     "s12_boundary_one_position",
     """
-    SELECT id, position, true AS one_position FROM {polled}
-    WHERE position = (SELECT min(position) FROM {polled} WHERE position > 1704931200000)
+    WITH page AS (SELECT position FROM {polled} WHERE position > 1704931200000 ORDER BY position LIMIT 3),
+         last AS (SELECT max(position) AS p, min(position) = max(position) AS same FROM page),
+         upper AS (SELECT CASE WHEN same THEN p ELSE (SELECT max(position) FROM page WHERE position < p) END AS u, same FROM last)
+    SELECT id, position, (SELECT same FROM upper) AS one_position FROM {polled}
+    WHERE position > 1704931200000 AND position <= (SELECT u FROM upper)
     """,
 )
 def _(t):
