@@ -26,6 +26,18 @@ def written(t, df, name: str, files: int = 4) -> str:
     return path
 
 
+def run(t, stream, out: str, checkpoint: str) -> None:
+    """Runs a stream into a table; a local session keeps its state in as many parts as it has cores."""
+    conf, name = t.spark.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    if t.spark.sparkContext.master.startswith("local"):
+        conf.set(name, str(min(int(before), t.spark.sparkContext.defaultParallelism)))
+    try:
+        S.to_table(stream, out, checkpoint)
+    finally:
+        conf.set(name, before)
+
+
 def arrivals_stream(t, per_batch: int = 1):
     """Arrivals, redeliveries included, a file at a time."""
     path = written(t, t["arrivals"], "arrivals")
@@ -62,7 +74,7 @@ def _(t):
 def _(t):
     twice = event_stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     out, checkpoint = scratch(t.spark, "runs"), scratch(t.spark, "checkpoint")
-    S.to_table(S.start_runs(twice, F.col("event_type")).select("event_id", "run_id"), out, checkpoint)
+    run(t, S.start_runs(twice, F.col("event_type")).select("event_id", "run_id"), out, checkpoint)
     return t.spark.read.parquet(out)
 
 
@@ -88,7 +100,7 @@ def _(t):
     events = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
     out, checkpoint = scratch(t.spark, "windows"), scratch(t.spark, "checkpoint")
     counted = S.settled(events, "ts", "3 hours", ["event_type"], "1 hour")
-    S.to_table(counted.select(F.unix_millis("window.start").alias("window_ms"), "event_type", "events"), out, checkpoint)
+    run(t, counted.select(F.unix_millis("window.start").alias("window_ms"), "event_type", "events"), out, checkpoint)
     return t.spark.read.parquet(out)
 
 
@@ -98,7 +110,7 @@ def _(t):
     late = F.col("ts") + F.expr("INTERVAL 1 HOUR") * (F.col("event_id") % 20)
     twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.when(F.col("copy") == 1, late).otherwise(F.col("ts")))
     out, checkpoint = scratch(t.spark, "once"), scratch(t.spark, "checkpoint")
-    S.to_table(S.once(twice, ["event_id"], "at", "7 days").select("event_id"), out, checkpoint)
+    run(t, S.once(twice, ["event_id"], "at", "7 days").select("event_id"), out, checkpoint)
     return t.spark.read.parquet(out)
 
 
@@ -118,7 +130,7 @@ def _(t):
     schema = r.unionByName(s).schema
     stream = S.read_folder(t.spark, first, schema, per_batch=1)
     out, checkpoint = scratch(t.spark, "decisions"), scratch(t.spark, "checkpoint")
-    S.to_table(A.await_decisions(stream, RP.TIMEOUT), out, checkpoint)
+    run(t, A.await_decisions(stream, RP.TIMEOUT), out, checkpoint)
     return t.spark.read.schema(A.DECISION).parquet(out)
 
 
@@ -146,7 +158,7 @@ def _(t):
     log.repartitionByRange(3, "seq").write.parquet(path)
     stream = S.read_folder(t.spark, path, log.schema)
     out, checkpoint = scratch(t.spark, "answers"), scratch(t.spark, "checkpoint")
-    S.to_table(A.open_requests(stream), out, checkpoint)
+    run(t, A.open_requests(stream), out, checkpoint)
     return t.spark.read.schema(A.ANSWER).parquet(out)
 
 
@@ -180,5 +192,5 @@ def _(t):
     items.repartition(4).write.format("pages").mode("append").save(path)
     stream = t.spark.readStream.format("pages").schema(items.schema).load(path)
     out, checkpoint = scratch(t.spark, "read"), scratch(t.spark, "checkpoint")
-    S.to_table(stream.select("id", "position"), out, checkpoint)
+    run(t, stream.select("id", "position"), out, checkpoint)
     return t.spark.read.parquet(out)
