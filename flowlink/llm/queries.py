@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlink.llm import pieces, quality, rules, secrets, toxicity
+from flowlink.llm import context_tree, decontaminate, jaccard, pieces, quality, rules, secrets, toxicity
 from flowlink.llm.labelled import held_out
 
 
@@ -96,3 +96,68 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("probability") >= rules.THRESHOLD)
     )
+
+
+@query("op3_context_tree")
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree.score_texts(table(spark, folder, "documents"))
+
+
+DECONTAMINATION_SQL = r"""
+WITH item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i : i + 12], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), sizes AS (SELECT DISTINCT size FROM win),
+placed AS (
+  SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS words
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, sizes WHERE len(w) >= size)
+), hit AS (SELECT doc_id, item_id, i, win.size FROM placed JOIN win ON placed.words = win.words AND placed.size = win.size),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
+@query("op10_decontamination", DECONTAMINATION_SQL)
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        digest(F.col("items")).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT u, v FROM shared JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * o >= 90 * (a.n + b.n - o)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM doc UNION SELECT reach.doc_id, link.v FROM reach JOIN link ON link.u = reach.r
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op4_ngram_jaccard", JACCARD_SQL)
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(table(spark, folder, "documents"))
