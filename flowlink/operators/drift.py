@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlink.functions.prefix import carried, previous_row
+from flowlink.session import stored
 
 CATALOG = "endpoint string, object string, sampled boolean, field string, type string, length int, required boolean, required_by string, read_only boolean"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -228,8 +229,13 @@ def annotate(changes: DataFrame, usage: DataFrame, creators: DataFrame) -> DataF
 
 
 def sort_changes(changes: DataFrame) -> DataFrame:
-    """Changes that can break a run first, then by object, field and kind."""
-    return changes.orderBy(F.desc("breaks"), "endpoint", "object", F.asc_nulls_first("field"), "kind")
+    """All changes with their ``place`` on their endpoint's list.
+
+    Changes that can break a run come first, then by object, field and kind. An endpoint's
+    list is what a reader sees, so places count within it.
+    """
+    order = Window.partitionBy("endpoint").orderBy(F.desc("breaks"), "object", F.asc_nulls_first("field"), "kind")
+    return changes.withColumn("place", F.row_number().over(order))
 
 
 def overview(catalog: DataFrame, snapshot_counts: DataFrame, changes: DataFrame, missing: DataFrame) -> DataFrame:
@@ -265,54 +271,61 @@ def _top_level(name: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(name, r"^/", ""), r"^([^\[./]*)", 1)
 
 
-def _error_object(error: Column) -> Column:
+def _said(node: Column, key: str) -> Column:
+    """A member's text, if the member is a text."""
+    member = node[key]
+    return F.when(F.schema_of_variant(member) == "STRING", member.cast("string"))
+
+
+def _named_field(node: Column) -> Column:
     """The field an error object names, when its messages say it is required."""
-    text = F.array_join(F.transform(F.array(*[F.translate(error[k], "_", " ") for k in MESSAGE_KEYS]), lambda s: F.coalesce(s, F.lit(""))), " ")
-    named = F.coalesce(*[F.nullif(error[k], F.lit("")) for k in FIELD_KEYS])
-    name = F.nullif(error["name"], F.lit(""))
-    mentioned = F.when(error["reason"].isNotNull() | text.contains(name), name)
-    pointer = F.regexp_replace(F.regexp_replace(F.get_json_object(error["source"], "$.pointer"), "^/data/attributes", ""), "^/", "")
-    return F.when(text.rlike(REQUIRED_WORDS), F.coalesce(named, mentioned, pointer))
+    messages = F.concat_ws(" ", *[F.translate(_said(node, k), "_", " ") for k in MESSAGE_KEYS])
+    named = F.coalesce(*[F.nullif(_said(node, k), F.lit("")) for k in FIELD_KEYS])
+    name = F.nullif(_said(node, "name"), F.lit(""))
+    mentioned = F.when(F.map_contains_key(node, "reason") | messages.contains(name), name)
+    pointer = _said(F.try_variant_get(node["source"], "$", "map<string,variant>"), "pointer")
+    pointer = F.regexp_replace(F.regexp_replace(pointer, "^/data/attributes", ""), "^/", "")
+    return F.when(messages.rlike(REQUIRED_WORDS), F.coalesce(named, mentioned, pointer))
+
 
+def _field_map(value: Column) -> Column:
+    """The entries of {"email": ["can't be blank"]}: fields with their messages; else NULL."""
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    other = F.exists(entries, lambda e: e["key"].isin(*NOT_FIELDS) | ~F.schema_of_variant(e["value"]).rlike("^(STRING|ARRAY)"))
+    return F.when((F.size(entries) > 0) & ~other, entries)
 
-def required_fields(error: Column) -> Column:
-    """Sorted names of fields a refusal ("... HTTP 422: <body>") says were lacking.
 
-    Only 400 and 422 count. Reads the body's top object, lists of errors in it (``errors``,
-    ``error``, ``invalid-params``, ``details``) and one level below, maps of fields to
-    messages, and messages naming a field. Deeper nesting is not searched.
+def required_fields(refusals: DataFrame, error: str = "error") -> DataFrame:
+    """``refusals`` with ``fields``: sorted names a refusal ("... HTTP 422: <body>") says were lacking.
+
+    Only 400 and 422 count. Error objects and maps of fields to messages are found at any
+    depth of the body, messages naming a field anywhere in its text. Equal refusals are read
+    once; their bodies are walked level by level, as rows, until none has anything left.
     """
     status = F.regexp_extract(error, r"HTTP (\d{3}): ", 1)
-    body = F.regexp_extract(error, r"(?s)HTTP \d{3}: (.*)$", 1)
-    flat = "map<string,string>"
-    top = F.from_json(body, flat)
-
-    def objects(text: Column) -> Column:
-        """Error objects in a JSON text: an array's, or the object itself."""
-        listed = F.from_json(text, f"array<{flat}>")
-        return F.coalesce(F.when(text.startswith("["), listed), F.when(text.startswith("{"), F.array(F.from_json(text, flat))), F.array())
-
-    first = objects(body)
-    second = F.flatten(F.transform(first, lambda o: F.flatten(F.transform(F.map_values(o), lambda v: objects(F.trim(v))))))
-    third = F.flatten(F.transform(second, lambda o: F.flatten(F.transform(F.map_values(o), lambda v: objects(F.trim(v))))))
-    found = F.transform(F.concat(first, second, third), lambda o: _error_object(o))
-
-    def mapped(key: str) -> Column:
-        """{"errors": {"email": ["can't be blank"]}}: fields whose messages say so."""
-        entries = F.map_entries(F.from_json(top[key], flat))
-        plain = ~F.exists(
-            entries,
-            lambda e: e["key"].isin(*NOT_FIELDS) | e["value"].startswith("{") | e["value"].isNull() | e["value"].rlike(r"^(-?[0-9.]+|true|false)$"),
-        )
-        says = F.filter(entries, lambda e: e["value"].rlike(REQUIRED_WORDS))
-        return F.when(F.coalesce(plain, F.lit(False)), F.transform(says, lambda e: e["key"]))
-
-    texts = [F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in MESSAGE_PATTERNS]
-    none = F.array().cast("array<string>")
-    everything = F.concat(found, *[F.coalesce(mapped(k), none) for k in ("errors", "error")], *[F.coalesce(x, none) for x in texts])
-    names = F.transform(F.filter(everything, lambda n: n.isNotNull()), _top_level)
-    kept = F.filter(names, lambda n: ~n.isin(*WRAPPERS))
-    return F.when(status.isin("400", "422"), F.array_sort(F.array_distinct(kept))).otherwise(none)
+    texts = refusals.filter(status.isin("400", "422")).select(F.col(error).alias("_error")).distinct()
+    body = F.regexp_extract("_error", r"(?s)HTTP \d{3}: (.*)$", 1)
+    named = [F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in MESSAGE_PATTERNS]
+    found = texts.select("_error", F.explode(F.concat(*named)).alias("field"))
+    level = texts.select("_error", F.try_parse_json(body).alias("node"))
+    while True:
+        object_ = F.try_variant_get("node", "$", "map<string,variant>")
+        items = F.try_variant_get("node", "$", "array<variant>")
+        parsed = level.select("_error", object_.alias("object"), items.alias("items")).filter("object IS NOT NULL OR items IS NOT NULL")
+        parsed = stored(parsed.select("_error", "object", F.col("items")), "refusals")
+        if parsed.isEmpty():
+            break
+        listed = F.map_entries("object")
+        maps = F.filter(listed, lambda e: e["key"].isin("errors", "error") & _field_map(e["value"]).isNotNull())
+        told = F.filter(F.flatten(F.transform(maps, lambda e: _field_map(e["value"]))), lambda e: F.to_json(e["value"]).rlike(REQUIRED_WORDS))
+        names = F.concat(F.array_compact(F.array(_named_field(F.col("object")))), F.transform(told, lambda e: e["key"]))
+        found = found.unionByName(parsed.filter("object IS NOT NULL").select("_error", F.explode(names).alias("field")))
+        rest = F.filter(listed, lambda e: ~(e["key"].isin("errors", "error") & _field_map(e["value"]).isNotNull()))
+        level = parsed.select("_error", F.explode(F.coalesce("items", F.transform(rest, lambda e: e["value"]))).alias("node"))
+    kept = found.select("_error", _top_level(F.col("field")).alias("field")).filter(F.col("field").isNotNull() & ~F.col("field").isin(*WRAPPERS))
+    per_text = kept.groupBy("_error").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    out = refusals.join(per_text, F.col(error) == F.col("_error"), "left").drop("_error")
+    return out.withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
 
 
 def learn(catalog: DataFrame, refusals: DataFrame) -> DataFrame:
@@ -321,7 +334,7 @@ def learn(catalog: DataFrame, refusals: DataFrame) -> DataFrame:
     Only sampled objects learn; a field no sampled record had is added. A field keeps the
     first reason it was given.
     """
-    rows = refusals.select("endpoint", "object", "operation", "day", F.explode(required_fields(F.col("error"))).alias("field"))
+    rows = required_fields(refusals).select("endpoint", "object", "operation", "day", F.explode("fields").alias("field"))
     why = F.format_string("operation %s was refused without it on %s", "operation", "day")
     lessons = rows.groupBy("endpoint", "object", "field").agg(F.min_by(why, F.struct("day", "operation")).alias("_why"))
     sampled = catalog.filter("sampled").select("endpoint", "object").distinct()

@@ -22,18 +22,22 @@ REVERSED = "#reversed"
 
 
 def store_key(target: Column, operation: Column, key: Column) -> Column:
-    return F.concat_ws("/", target, operation, key)
+    """target/operation/key, NULL if a part is: what has no whole key shares none."""
+    return F.concat(target, F.lit("/"), operation, F.lit("/"), key)
 
 
 def split_requests(requests: DataFrame, ledger: DataFrame, now_minute: int, order: str, lease: int = LEASE_MINUTES) -> DataFrame:
-    """Requests with what the ledger says: duplicate, blocked or write.
+    """Requests with what the ledger says: duplicate, blocked, write or invalid.
 
     ``requests`` has a store ``key``; ``ledger`` is (key, status, claimed_minute). A done
     write is a duplicate, a claim younger than the lease blocks, an older one is taken over.
-    Of several requests with one key the first by ``order`` writes.
+    Of several requests with one key the first by ``order`` writes. A request without a key
+    is invalid: it is neither written nor taken for another one's copy.
 
     Statuses are found per key, so copies of one request are combined before the shuffle.
     """
+    keyless = requests.filter(F.col("key").isNull()).withColumn("ledger_state", F.lit("invalid"))
+    requests = requests.filter(F.col("key").isNotNull())
     winners = requests.groupBy("key").agg(F.min(order).alias("_first"))
     known = winners.join(ledger.select("key", "status", "claimed_minute"), "key", "left")
     held = F.lit(now_minute) - F.col("claimed_minute") <= lease
@@ -42,7 +46,8 @@ def split_requests(requests: DataFrame, ledger: DataFrame, now_minute: int, orde
         F.when(F.col("status") == "done", "duplicate").when((F.col("status") == "inflight") & held, "blocked").alias("_state"),
     )
     state = F.coalesce("_state", F.when(F.col(order) == F.col("_first"), "write").otherwise("duplicate"))
-    return requests.join(per_key, "key").withColumn("ledger_state", state).drop("_first", "_state")
+    found = requests.join(per_key, "key").withColumn("ledger_state", state).drop("_first", "_state")
+    return found.unionByName(keyless)
 
 
 def complete(ledger: DataFrame, written: DataFrame, now_minute: int) -> DataFrame:
@@ -143,10 +148,12 @@ def unconfirmed(written: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 
 def generations(requests: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Adds generation and write_key: a write undone n times is written anew as key~n+1.
+    """Adds generation, write_key and write_error: a write undone n times is written anew as key~n+1.
 
     ``requests`` has target, compensation and idempotency_key; a compensation is committed
-    when the ledger holds its key as done. Beyond ``MAX_GENERATIONS`` the key is NULL.
+    when the ledger holds its key as done. A write undone in all ``MAX_GENERATIONS`` - 1
+    generations, and one without a key, gets no write_key but says why in ``write_error``;
+    ``split_requests`` calls it invalid.
     """
     undo = ledger.filter((F.col("status") == "done") & F.col("key").endswith(COMPENSATE)).select(
         F.expr(f"left(key, length(key) - {len(COMPENSATE)})").alias("_whole")
@@ -168,7 +175,10 @@ def generations(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     key = F.when(F.col("generation") == 1, F.col("idempotency_key")).otherwise(
         F.concat(F.col("idempotency_key"), F.lit("~"), F.col("generation").cast("string"))
     )
-    return out.withColumn("write_key", key).drop("_base", "_done")
+    error = F.when(F.col("idempotency_key").isNull(), "the write has no idempotency key").when(
+        F.col("generation").isNull(), f"undone {MAX_GENERATIONS - 1} times: the write needs another idempotency key"
+    )
+    return out.withColumns({"write_key": key, "write_error": error}).drop("_base", "_done")
 
 
 def undo_plan(writes: DataFrame, failed_runs: DataFrame, ledger: DataFrame) -> DataFrame:

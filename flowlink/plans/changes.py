@@ -105,6 +105,20 @@ def _(t):
     return C.read_topic(topic(t), offsets(t)).select("partition", "offset", "id")
 
 
+@query(
+    "s05_latest_start",
+    """
+    WITH s AS (SELECT topic_partition, max(topic_offset) // 2 AS start FROM {topic_truth} GROUP BY topic_partition)
+    SELECT r.topic_partition AS "partition", topic_offset AS "offset", id FROM {topic_truth} r JOIN s ON s.topic_partition = r.topic_partition WHERE topic_offset >= start
+    """,
+)
+def _(t):
+    # The topic as it is when the starts are stored is its first half; what comes later is read.
+    half = topic(t).groupBy("partition").agg((F.floor(F.max("offset") / 2)).cast("bigint").alias("end_offset"))
+    stored = C.resolve_starts(half, offsets(t).limit(0), "latest")
+    return C.read_topic(topic(t), stored).select("partition", "offset", "id")
+
+
 @query(
     "s05_next_offsets",
     """SELECT topic_partition AS "partition", max(topic_offset) + 1 AS next_offset FROM {topic_truth} GROUP BY topic_partition""",

@@ -158,28 +158,23 @@ def _(t):
 
 @query(
     "l03_breaking_first",
-    f"""WITH {ANNOTATED} SELECT cast(row_number() OVER (ORDER BY breaks DESC, endpoint, object, field NULLS FIRST, kind) as integer) AS place, endpoint, object, field, kind FROM annotated
-        ORDER BY breaks DESC, endpoint, object, field NULLS FIRST, kind LIMIT 200""",
+    f"""WITH {ANNOTATED} SELECT endpoint, cast(row_number() OVER (PARTITION BY endpoint ORDER BY breaks DESC, object, field NULLS FIRST, kind) as integer) AS place, object, field, kind
+        FROM annotated""",
 )
 def _(t):
-    from pyspark.sql import Window
-
-    # The first two hundred for a screen; their places are numbered after the limit.
-    top = D.sort_changes(annotated(t)).limit(200)
-    order = Window.orderBy(F.desc("breaks"), "endpoint", "object", F.asc_nulls_first("field"), "kind")
-    return top.withColumn("place", F.row_number().over(order)).select("place", "endpoint", "object", "field", "kind")
+    return D.sort_changes(annotated(t)).select("endpoint", "place", "object", "field", "kind")
 
 
 @query(
     "d04_required_fields",
     """
-    SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'email' WHEN 1 THEN 'iban' WHEN 2 THEN 'email,name' WHEN 3 THEN 'total' WHEN 4 THEN 'customer'
-             WHEN 5 THEN '' WHEN 6 THEN 'vat' WHEN 7 THEN '' WHEN 8 THEN 'phone' ELSE 'country' END AS fields
+    SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'email' WHEN 1 THEN 'iban' WHEN 2 THEN 'email,name' WHEN 3 THEN 'total' WHEN 4 THEN 'customer'
+             WHEN 5 THEN '' WHEN 6 THEN 'vat' WHEN 7 THEN '' WHEN 8 THEN 'phone' WHEN 9 THEN 'country' WHEN 10 THEN 'deep,lost' ELSE '' END AS fields
     FROM {events}
     """,
 )
 def _(t):
-    return refusals(t).select("event_id", F.array_join(D.required_fields(F.col("error")), ",").alias("fields"))
+    return D.required_fields(refusals(t)).select("event_id", F.array_join("fields", ",").alias("fields"))
 
 
 # Fixed texts: what APIs answer when a field is missing, and two answers that teach nothing.
@@ -194,6 +189,8 @@ REFUSALS = [
     "the connection was reset",
     'HTTP 422: {"errors":[{"source":{"pointer":"/data/attributes/phone"},"detail":"cannot be blank"}]}',
     "HTTP 400: {\"message\":\"'country' is required\"}",
+    'HTTP 422: {"a":[{"b":{"c":[[{"d":{"param":"deep","code":"missing_field"},"error":{"lost":["required"]}}]]}}]}',
+    'HTTP 400: {"name":"ValidationError","message":"an email is required","errors":{"email":"is invalid"}}',
 ]
 
 
@@ -201,26 +198,28 @@ def refusals(t):
     texts = F.array(*[F.lit(x) for x in REFUSALS])
     return t["events"].select(
         "event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"),
-        F.element_at(texts, (F.col("event_id") % 10 + 1).cast("int")).alias("error"),
+        F.element_at(texts, (F.col("event_id") % len(REFUSALS) + 1).cast("int")).alias("error"),
     )
 
 
 @query(
     "d04_learn_required",
     """
-    WITH r AS (SELECT concat('Brand#', cast(user_id % 5 as varchar)) AS endpoint, min(strftime(ts, '%Y-%m-%d')) AS day, event_id % 10 AS k FROM {events} WHERE event_id % 10 IN (0, 1, 3) GROUP BY 1, 3),
-    lessons AS (SELECT endpoint, CASE k WHEN 0 THEN 'email' WHEN 1 THEN 'iban' ELSE 'total' END AS field, day FROM r),
+    WITH r AS (SELECT concat('Brand#', cast(user_id % 5 as varchar)) AS endpoint, min(strftime(ts, '%Y-%m-%d')) AS day, event_id % 12 AS k FROM {events} GROUP BY 1, 3),
+    told AS (SELECT * FROM (VALUES (0, 'email'), (1, 'iban'), (2, 'email'), (2, 'name'), (3, 'total'), (4, 'customer'), (6, 'vat'), (8, 'phone'), (9, 'country'),
+             (10, 'deep'), (10, 'lost')) v(k, field)),
+    lessons AS (SELECT endpoint, field, min(day) AS day FROM r JOIN told ON told.k = r.k GROUP BY endpoint, field),
     sampled AS (SELECT DISTINCT endpoint FROM {catalog_new} WHERE sampled)
     SELECT l.endpoint, field, true AS required, concat('operation create was refused without it on ', day) AS required_by FROM lessons l JOIN sampled s ON s.endpoint = l.endpoint
     """,
 )
 def _(t):
-    seen = refusals(t).filter("event_id % 10 IN (0, 1, 3)").select(
+    seen = refusals(t).select(
         F.concat(F.lit("Brand#"), (F.col("user_id") % 5).cast("string")).alias("endpoint"), F.lit("ECONOMY").alias("object"),
         F.lit("create").alias("operation"), "day", "error",
     )
-    out = D.learn(t["catalog_new"], seen)
-    return out.filter("field IN ('email', 'iban', 'total')").select("endpoint", "field", "required", "required_by")
+    # The catalog's own fields are f and a number.
+    return D.learn(t["catalog_new"], seen).filter(~F.col("field").rlike("^f[0-9]+$")).select("endpoint", "field", "required", "required_by")
 
 
 @query(

@@ -424,6 +424,42 @@ def _(t):
     )
 
 
+@query(
+    "s24_nested_segments",
+    """
+    SELECT docnum, segnum, 'S' || substr(segnum, 6, 1) AS segment, level, path FROM (
+      SELECT lpad(cast(o_orderkey as varchar), 16, '0') AS docnum, s.segnum, s.level, s.path FROM {orders},
+        (VALUES ('000001', 1, '/000001'), ('000002', 2, '/000001/000002'), ('000003', 3, '/000001/000002/000003'),
+                ('000004', 4, '/000001/000002/000003/000004'), ('000005', 1, '/000005'), ('000006', 2, '/000005/000006'), ('000007', 1, '/000007')) s(segnum, level, path))
+    """,
+)
+def _(t):
+    # A chain of four, one whose parent is not there, its child, and one that names itself later.
+    parents = {1: "000000", 2: "1", 3: "000002", 4: " 3 ", 5: "000099", 6: "5", 7: "8"}
+    rows = [F.struct(F.lit(f"{n:06d}").alias("segnum"), F.lit(f"S{n}").alias("segnam"), F.lit(p).alias("psgnum")) for n, p in parents.items()]
+    data = t["orders"].select(F.lpad(F.col("o_orderkey").cast("string"), 16, "0").alias("docnum"), F.inline(F.array(*rows)))
+    parsed = X.parse_segments(data.withColumn("sdata", F.lit("")), definition(t))
+    return X.segment_tree(parsed).select("docnum", "segnum", "segment", "level", "path")
+
+
+@query(
+    "s24_control_record",
+    """
+    SELECT o_orderkey AS id, lpad(cast(o_orderkey as varchar), 16, '0') AS docnum, 'ORDERS05' AS idoctyp,
+           CASE WHEN o_orderkey % 3 > 0 THEN 'SHOP' END AS sndprn, cast(CASE WHEN o_orderkey % 3 > 0 THEN 3 ELSE 2 END as integer) AS fields
+    FROM {orders}
+    """,
+)
+def _(t):
+    control = F.create_map(
+        F.lit("DOCNUM"), F.lpad(F.col("o_orderkey").cast("string"), 16, "0"), F.lit("IDOCTYP"), F.lit("ORDERS05  "),
+        F.lit("SNDPRN"), F.when(F.col("o_orderkey") % 3 > 0, "SHOP ").otherwise("  "), F.lit("STATUS"), F.lit("53"),
+    )
+    told = t["orders"].select(F.col("o_orderkey").alias("id"), X.control_block(control).alias("idoc"))
+    kept = F.col("idoc")
+    return told.select("id", kept["docnum"].alias("docnum"), kept["idoctyp"].alias("idoctyp"), kept["sndprn"].alias("sndprn"), F.size(kept).alias("fields"))
+
+
 @query(
     "s25_message_routing",
     """

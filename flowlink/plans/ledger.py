@@ -16,10 +16,11 @@ from flowlink.plans.registry import derive, query
 NOW = 1000  # the ledger's minute
 
 
-def keyed(t):
+def keyed(t, requests=None):
     """Requests with their store key; each eleventh is sent twice."""
-    r = t["requests"].withColumn("attempt", F.lit(0))
-    r = r.unionByName(t["requests"].filter("run_id % 11 = 0").withColumn("attempt", F.lit(1)))
+    requests = t["requests"] if requests is None else requests
+    r = requests.withColumn("attempt", F.lit(0))
+    r = r.unionByName(requests.filter("run_id % 11 = 0").withColumn("attempt", F.lit(1)))
     order = F.col("run_id") * 2 + F.col("attempt")
     return r.withColumn("key", L.store_key(F.col("target"), F.col("operation"), F.col("idempotency_key"))).withColumn("arrived", order)
 
@@ -38,6 +39,18 @@ def _(t):
     return L.split_requests(keyed(t), t["ledger"], NOW, "arrived").select("run_id", "attempt", F.col("ledger_state").alias("state"))
 
 
+@query(
+    "k09_requests_without_a_key",
+    f"""
+    SELECT r.run_id, r.attempt, CASE WHEN r.run_id % 5 = 0 THEN 'invalid' ELSE {_LEDGER_STATE} END AS state
+    FROM {_KEYED} r LEFT JOIN {{ledger}} l ON l.key = r.key
+    """,
+)
+def _(t):
+    nameless = t["requests"].withColumn("idempotency_key", F.when(F.col("run_id") % 5 != 0, F.col("idempotency_key")))
+    return L.split_requests(keyed(t, nameless), t["ledger"], NOW, "arrived").select("run_id", "attempt", F.col("ledger_state").alias("state"))
+
+
 @query(
     "k09_complete_and_abort",
     f"""
@@ -175,7 +188,8 @@ def _(t):
     "w05_write_generations",
     """
     SELECT run_id, CASE WHEN run_id % 60 < 49 THEN cast(run_id % 60 + 1 as integer) END AS generation,
-           CASE WHEN run_id % 60 = 0 THEN idempotency_key WHEN run_id % 60 < 49 THEN concat(idempotency_key, '~', cast(run_id % 60 + 1 as varchar)) END AS write_key
+           CASE WHEN run_id % 60 = 0 THEN idempotency_key WHEN run_id % 60 < 49 THEN concat(idempotency_key, '~', cast(run_id % 60 + 1 as varchar)) END AS write_key,
+           CASE WHEN run_id % 60 >= 49 THEN 'undone 49 times: the write needs another idempotency key' END AS write_error
     FROM {requests}
     """,
 )
@@ -187,7 +201,7 @@ def _(t):
     done = undone.select(
         F.concat(L.store_key(F.col("target"), F.col("compensation"), name), F.lit(L.COMPENSATE)).alias("key"), F.lit("done").alias("status")
     )
-    return L.generations(t["requests"], done).select("run_id", "generation", "write_key")
+    return L.generations(t["requests"], done).select("run_id", "generation", "write_key", "write_error")
 
 
 # --- Row pushes -------------------------------------------------------------------------

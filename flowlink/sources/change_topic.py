@@ -29,15 +29,31 @@ NOT_A_POSITION = ("ts_ms", "ts_us", "ts_ns", "version", "snapshot")
 SEPARATOR = "\x1f"
 
 
-def read_topic(records: DataFrame, offsets: DataFrame, start: str = "earliest") -> DataFrame:
-    """Records at or past each partition's stored offset.
+def resolve_starts(ends: DataFrame, offsets: DataFrame, start: str = "earliest") -> DataFrame:
+    """(partition, next_offset) for every partition of the topic, to be stored before reading.
 
-    A partition without one starts at its earliest record, or with ``latest`` after its
-    last. ``offsets`` is (partition, next_offset), one row per partition.
+    ``ends`` is (partition, end_offset), one past each partition's last record; partitions
+    without records have theirs too. A stored offset stays; a partition without one starts
+    at 0, or with ``latest`` at its end as it is now: what arrives later is then read, however
+    late the first read comes.
+    """
+    first = F.col("end_offset") if start == "latest" else F.lit(0).cast("bigint")
+    known = ends.join(offsets, "partition", "full_outer")
+    return known.select("partition", F.coalesce("next_offset", first).alias("next_offset"))
+
+
+def topic_ends(records: DataFrame) -> DataFrame:
+    """(partition, end_offset) of the partitions that have records."""
+    return records.groupBy("partition").agg((F.max("offset") + 1).alias("end_offset"))
+
+
+def read_topic(records: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Records at or past each partition's stored offset, from the first one without it.
+
+    ``offsets`` is (partition, next_offset), one row per partition; to start at the end of
+    a topic, store what ``resolve_starts`` gives and read from that.
     """
     joined = records.join(small(offsets), "partition", "left")
-    if start == "latest":
-        return joined.filter(F.col("offset") >= F.col("next_offset")).drop("next_offset")
     return joined.filter(F.col("offset") >= F.coalesce("next_offset", F.lit(0))).drop("next_offset")
 
 

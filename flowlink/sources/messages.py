@@ -137,18 +137,59 @@ def parse_segments(data: DataFrame, definition: DataFrame) -> DataFrame:
     return joined.withColumn("fields", F.map_from_entries(kept)).withColumn("segment", F.trim("segnam"))
 
 
-def attach_children(segments: DataFrame) -> DataFrame:
-    """Top segments with their direct children, one tree level.
+def segment_tree(segments: DataFrame) -> DataFrame:
+    """One row per segment with its place in its document's tree: level, path, parent_path.
+
+    A segment hangs below the first earlier one whose number (leading zeros aside) its
+    parent number names, at any depth; without a parent, or with an unknown one, it is at
+    the top, level 1. A path is the numbers from the top down, with ``/`` before each.
 
-    Children gather per (document, parent); a document is one message and stays one row.
+    A document is one message and is walked in one row; its segments come back as rows.
     """
-    number = F.regexp_replace(F.trim("psgnum"), "^0+", "")
-    kids = segments.withColumn("parent", number).filter(F.col("parent") != "")
-    grouped = kids.groupBy("docnum", "parent").agg(
-        F.array_sort(F.collect_list(F.struct("segnum", "segment", F.map_entries("fields").alias("fields")))).alias("children")
+    own, parent = F.trim(F.coalesce("segnum", F.lit(""))), F.trim(F.coalesce("psgnum", F.lit("")))
+    row = F.struct(
+        F.col("segnum"), own.alias("own"), F.regexp_replace(own, "^0+", "").alias("number"),
+        F.regexp_replace(parent, "^0+", "").alias("parent"), "segment", F.map_entries("fields").alias("fields"),
+    )
+    whole = segments.groupBy("docnum").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    none = F.array().cast("array<struct<number:string,path:string>>")
+
+    def above(seen: Column, s: Column) -> Column:
+        named = F.filter(seen, lambda x: (s["parent"] != "") & (x["number"] == s["parent"]))
+        return F.coalesce(F.get(F.transform(named, lambda x: x["path"]), 0), F.lit(""))
+
+    paths = F.aggregate(
+        "_rows", none,
+        lambda seen, s: F.array_append(seen, F.struct(s["number"].alias("number"), F.concat(above(seen, s), F.lit("/"), s["own"]).alias("path"))),
+    )
+    placed = whole.select("docnum", F.inline(F.arrays_zip(F.col("_rows").alias("s"), paths.alias("p"))))
+    path = F.col("p.path")
+    return placed.select(
+        "docnum", "s.segnum", "s.segment", F.map_from_entries("s.fields").alias("fields"), path.alias("path"),
+        F.regexp_replace(path, "/[^/]*$", "").alias("parent_path"), (F.length(path) - F.length(F.translate(path, "/", ""))).alias("level"),
+    )
+
+
+def attach_children(segments: DataFrame) -> DataFrame:
+    """Top segments with all that hangs below them, in order, each with its path and level."""
+    tree = segment_tree(segments)
+    top = F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2)))
+    below = tree.filter("level > 1").groupBy("docnum", top.alias("path")).agg(
+        F.array_sort(F.collect_list(F.struct("segnum", "segment", F.map_entries("fields").alias("fields"), "path", "level"))).alias("children")
     )
-    top = segments.filter(number == "").withColumn("parent", F.regexp_replace(F.trim("segnum"), "^0+", ""))
-    return top.join(grouped, ["docnum", "parent"], "left").drop("parent")
+    return tree.filter("level = 1").join(below, ["docnum", "path"], "left").select("docnum", "segnum", "segment", "fields", "children")
+
+
+# Fixed names: the fields of a control record that a message keeps.
+CONTROL_FIELDS = (
+    "DOCNUM", "IDOCTYP", "CIMTYP", "MESTYP", "MESCOD", "MESFCT", "SNDPRT", "SNDPRN", "RCVPRT", "RCVPRN", "CREDAT", "CRETIM",
+)
+
+
+def control_block(control: Column) -> Column:
+    """The control record (a map) as a message's ``idoc`` block: trimmed, empty fields dropped."""
+    entries = [F.struct(F.lit(k.lower()).alias("key"), F.trim(F.coalesce(control[k], F.lit(""))).alias("value")) for k in CONTROL_FIELDS]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] != ""))
 
 
 def document_event_id(sender: Column, docnum: Column) -> Column:

@@ -45,13 +45,17 @@ def read_changes(
     """Changes of one table in commit order, as (position, event_id, ...).
 
     The position is the commit's LSN with the change's index inside the transaction; the
-    index counts every change of the table, wanted or not. Oversized transactions are left
-    to ``oversized_transactions``: they are counted before any transaction is gathered, so
-    no task orders more than MAX_INDEX rows at a time.
+    index counts every change of the table, wanted or not. A transaction that a position
+    cannot order stops the read with an error (``oversized_transactions`` reports them):
+    going on past it would lose its changes. They are counted before any transaction is
+    gathered, so no task orders more than MAX_INDEX rows at a time.
     """
     first_lsn = after >> 15
     recent = feed.filter(F.col("commit_lsn") >= first_lsn)
-    sized = recent.join(oversized_transactions(recent).select("commit_lsn"), "commit_lsn", "left_anti")
+    oversized = oversized_transactions(recent).select("commit_lsn", F.col("changes").alias("_oversized"))
+    told = F.concat(F.lit("transaction "), F.col("commit_lsn"), F.lit(" cannot be ordered: "), F.col("_oversized"), F.lit(" changes"))
+    lsn = F.when(F.col("_oversized").isNotNull(), F.raise_error(told).cast("bigint")).otherwise(F.col("commit_lsn"))
+    sized = recent.join(oversized, "commit_lsn", "left").withColumn("commit_lsn", lsn).drop("_oversized")
     index = F.row_number().over(Window.partitionBy("commit_lsn").orderBy("seq"))
     placed = sized.withColumn("tx_index", index.cast("bigint")).withColumn(
         "position", F.shiftleft("commit_lsn", 15).bitwiseOR(F.col("tx_index"))

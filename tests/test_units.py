@@ -117,11 +117,16 @@ def test_key_is_canonical(spark):
 # --- Feeds, polling and inbox -----------------------------------------------------------
 
 
-def test_oversized_transactions_are_left_out(spark):
+def test_oversized_transactions_stop_the_read(spark):
     big = spark.range(outbox.MAX_INDEX + 1).select(F.lit(7).cast("bigint").alias("commit_lsn"), F.col("id").alias("seq"), F.lit("insert").alias("op"))
     feed = big.unionByName(big.filter("seq < 3").withColumn("commit_lsn", F.lit(8).cast("bigint")))
     assert [r["commit_lsn"] for r in outbox.oversized_transactions(feed).collect()] == [7]
-    assert [r["event_id"] for r in outbox.read_changes(feed).orderBy("position").collect()] == [f"{8:016X}.{i}" for i in (1, 2, 3)]
+    with pytest.raises(Exception, match="transaction 7 cannot be ordered: 32768 changes"):
+        outbox.read_changes(feed).collect()
+    # Past it, and up to the bound, all changes come.
+    assert [r["event_id"] for r in outbox.read_changes(feed, after=8 << 15).orderBy("position").collect()] == [f"{8:016X}.{i}" for i in (1, 2, 3)]
+    whole = feed.filter(f"commit_lsn = 8 OR seq < {outbox.MAX_INDEX}")
+    assert outbox.read_changes(whole).count() == outbox.MAX_INDEX + 3
 
 
 def test_unwanted_operations_count_in_the_index(spark):
