@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlink.llm import context_tree, decontaminate, jaccard, pieces, quality, rules, secrets, toxicity
+from flowlink.llm import context_tree, decontaminate, jaccard, lines, pieces, quality, rules, secrets, toxicity, urls
 from flowlink.llm.labelled import held_out
 
 
@@ -161,3 +161,23 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id F
 @query("op4_ngram_jaccard", JACCARD_SQL)
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"))
+
+
+@query("op7_line_dedup")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query("op2_url_filter")
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's path ends in the id of the document it shows: that document's labels are the page's."""
+    pages, labels = table(spark, folder, "pages").select("page_id", "url"), table(spark, folder, "labels")
+    shown = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1) AS bigint)")
+    shows = pages.select("page_id", urls.path_of(F.col("url")).alias("path")).select("page_id", shown.alias("doc_id")).distinct()
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
+    marked = shows.join(labels, "doc_id").select("page_id", bad.alias("bad"))
+    return urls.filter_urls(pages, marked, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
