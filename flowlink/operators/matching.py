@@ -408,7 +408,7 @@ def _hot_pairs(left: DataFrame, right: DataFrame, hot: DataFrame, limit: int, ch
     """
     a_keys, b_keys = _hot_keys(left, hot), _hot_keys(right, hot)
     a = left.select("entity", "profile", "name").join(a_keys, ["entity", "profile"])
-    b = right.select("entity", "profile", "master_id", *ATTRIBUTES).join(b_keys, ["entity", "profile"])
+    b = right.select("entity", "profile", "master_id", "source_id", *ATTRIBUTES).join(b_keys, ["entity", "profile"])
     present = F.concat_ws(
         ",", F.col("email").isNotNull().cast("string"), F.col("domain").isNotNull().cast("string"),
         F.col("name").isNotNull().cast("string"), F.transform("exact", lambda e: e["field"]),
@@ -417,10 +417,11 @@ def _hot_pairs(left: DataFrame, right: DataFrame, hot: DataFrame, limit: int, ch
     agreed = F.when(F.col("hot_name").isNull(), _subsets(F.col("hot_keys"))).otherwise(
         F.concat(F.array("hot_name"), _subsets(F.col("hot_keys")))
     )
-    b_groups = b.select("entity", "profile", "master_id", "name", present.alias("present"), F.explode(agreed).alias("agreed"))
+    b_groups = b.select("entity", "profile", "master_id", "source_id", "name", present.alias("present"), F.explode(agreed).alias("agreed"))
 
     def lowest(keys: list[str]) -> DataFrame:
-        per_master = b_groups.groupBy(*keys, "master_id").agg(F.min("profile").alias("b_profile"))
+        # Of a master's records that score alike the lowest source id speaks, as in small blocks.
+        per_master = b_groups.groupBy(*keys, "master_id").agg(F.min(F.struct("source_id", "profile"))["profile"].alias("b_profile"))
         order = Window.partitionBy(*keys).orderBy("master_id")
         return per_master.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n", "master_id")
 
@@ -479,11 +480,9 @@ def suggest(
     pairs = _ordinary_pairs(left, right, hot)
     if hot is not None:
         # Groups count masters, so each profile takes part with all the masters it keeps.
-        grouped = masters.select("entity", "profile", "master_id", *ATTRIBUTES)
+        grouped = masters.select("entity", "profile", "master_id", "source_id", *ATTRIBUTES)
         pairs = pairs.unionByName(_hot_pairs(left, grouped, hot, limit, chunk))
-    # Comparing is work for the processor, not for the disk: partitions are not merged by size.
-    width = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(width, "entity", "a_profile", "b_profile").dropDuplicates()
+    pairs = pairs.dropDuplicates()
 
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select("entity", F.col("profile").alias(f"{p}profile"), *[F.col(x).alias(p + x) for x in ATTRIBUTES])

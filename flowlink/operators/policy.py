@@ -71,20 +71,31 @@ def admission(decision: Column, require_approval: Column) -> Column:
     return F.when(stopped, "denied").when(needs, "needs_approval").otherwise("ready")
 
 
-def amount_mismatch(amount: Column, shown: Column, path: str, tolerance: float = 0.0) -> Column:
+def amount_mismatch(amount: Column, preview: Column, path: str, tolerance: float = 0.0) -> Column:
     """How a dry run's amount differs from the request's; NULL when they agree.
 
-    ``shown`` is the preview's value at ``path``; NULL when it shows none.
+    ``preview`` is the dry run as JSON text, or NULL where the target gave none; numbers
+    sent as texts count. No dry run, one that is no JSON and one without an amount at the
+    dotted ``path`` are told apart.
     """
     text = F.format_string("%.2f", amount)
     allowed = F.greatest(F.lit(tolerance) * F.abs(amount), F.lit(0.005))
+    member = F.try_variant_get(F.try_parse_json(preview), "$." + path, "string")
+    shown = member.try_cast("double")
+
+    def unchecked(why: str) -> Column:
+        return F.concat(F.lit("amount "), text, F.lit(f" not compared: {why}"))
+
     return F.when(
-        shown.isNull(),
-        F.concat(F.lit("the amount "), text, F.lit(f" could not be checked: the dry run shows no amount at {path}")),
+        F.coalesce(F.length(preview), F.lit(0)) == 0, unchecked("there was no dry run")
+    ).when(
+        F.try_parse_json(preview).isNull(), unchecked("the dry run is no JSON")
+    ).when(
+        shown.isNull(), unchecked(f"the dry run has no amount at {path}")
     ).when(
         F.abs(shown - amount) > allowed,
         F.concat(
-            F.lit("the target's dry run shows "), F.format_string("%.2f", shown), F.lit(f" at {path}, the source "), text
+            F.lit("the dry run has "), F.format_string("%.2f", shown), F.lit(f" at {path}, the request "), text
         ),
     )
 

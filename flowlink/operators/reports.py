@@ -248,3 +248,28 @@ def stalled_polls(polls: DataFrame, now_ms: int, limit_ms: int) -> DataFrame:
     """Workflows whose source was last read longer ago than the limit."""
     last = polls.groupBy("workflow").agg(F.max("at_ms").alias("last_ms"))
     return last.filter(F.lit(now_ms) - F.col("last_ms") > limit_ms)
+
+
+def failed_compensations(runs: DataFrame, width_ms: int = 15 * MINUTE) -> DataFrame:
+    """Windows in which a workflow's run failed and could not undo its writes either."""
+    done = runs.withColumn("at_ms", F.col("closed_ms"))
+    return counted_alert(done, ["workflow"], F.col("failure_type") == "CompensationFailed", width_ms)
+
+
+def retained_logs(samples: DataFrame, limit_bytes: int, lasting_ms: int = 15 * MINUTE) -> DataFrame:
+    """Slots that made their database keep more log than the limit for longer than ``lasting_ms``.
+
+    ``samples`` is (slot, at_ms, retained_bytes). A spell over the limit lasts until the next
+    sample at or below it, or is still open; it is told by its first and last sample.
+    """
+    over = F.col("retained_bytes") > limit_bytes
+    marked = samples.filter(~over).select("slot", F.col("at_ms").alias("_end"))
+    order = Window.partitionBy("slot").orderBy("at_ms", F.col("_end").isNull())
+    both = samples.filter(over).select("slot", "at_ms", F.lit(None).cast("bigint").alias("_end")).unionByName(
+        marked.select("slot", F.col("_end").alias("at_ms"), "_end")
+    )
+    spelled = both.withColumn("_since", F.last("_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spells = spelled.filter(F.col("_end").isNull()).groupBy("slot", "_since").agg(
+        F.min("at_ms").alias("since_ms"), F.max("at_ms").alias("last_ms"), F.count(F.lit(1)).alias("samples")
+    )
+    return spells.filter(F.col("last_ms") - F.col("since_ms") > lasting_ms).drop("_since")

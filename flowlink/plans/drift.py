@@ -14,7 +14,7 @@ derive(
     SELECT p_brand AS endpoint, p_type AS object, p_type = 'ECONOMY' AS sampled, concat('f', cast(p_partkey as string)) AS field,
            CASE WHEN p_partkey % 5 = 0 THEN 'number' ELSE 'string' END AS type, cast(p_size % 7 * 10 as integer) AS length,
            p_partkey % 3 = 0 AS required, p_partkey % 4 = 0 AS read_only, p_partkey AS k
-    FROM {part} WHERE p_partkey % 200 > 3
+    FROM {part}
     """,
 )
 derive(
@@ -39,7 +39,7 @@ derive(
     "catalog_uses",
     """
     SELECT p_brand AS endpoint, p_type AS object, concat('f', cast(p_partkey as string)) AS field, concat('op', cast(p_partkey % 5 as string)) AS consumer, p_partkey % 16 = 0 AS creates
-    FROM {part} WHERE p_partkey % 4 = 0
+    FROM {part}
     UNION ALL SELECT p_brand, 'GONE', concat('f', cast(p_partkey as string)), 'op9', false FROM {part} WHERE p_partkey % 400 = 1
     """,
 )
@@ -48,7 +48,7 @@ derive(
     """
     SELECT p_brand AS endpoint, p_type AS object, concat('m', cast(p_partkey % 9 as string)) AS mapping, concat('t', cast(p_partkey as string)) AS target,
            concat('$lowercase(f', cast(p_partkey as string), ') & f', cast(p_partkey + 1 as string), '.code[0]') AS expression
-    FROM {part} WHERE p_partkey % 7 = 0
+    FROM {part}
     """,
 )
 
@@ -238,14 +238,13 @@ def _(t):
 @query(
     "d06_capacity",
     """
-    WITH s AS (SELECT target, at_ms // 60000 AS sec, count(*) AS n FROM {writes_log} GROUP BY 1, 2), p AS (SELECT target, max(n) AS peak FROM s GROUP BY target),
+    WITH s AS (SELECT target, at_ms // 1000 AS sec, count(*) AS n FROM {writes_log} GROUP BY 1, 2), p AS (SELECT target, max(n) AS peak FROM s GROUP BY target),
     l AS (SELECT target, cast(substr(target, 2) as integer) * 0.5 + 1 AS lim FROM p)
     SELECT p.target, peak, cast(lim as double) AS "limit", CASE WHEN peak > lim THEN 'error' WHEN peak > lim * 0.8 THEN 'warning' ELSE 'ok' END AS level FROM p JOIN l ON l.target = p.target
     """,
 )
 def _(t):
-    # Events are minutes apart: a minute stands for a second.
-    events = t["writes_log"].select("target", F.floor(F.col("at_ms") / 60).alias("at_ms"))
+    events = t["writes_log"].select("target", "at_ms")
     limits = events.select("target").distinct().withColumn("limit", F.substring("target", 2, 9).cast("int") * 0.5 + 1)
     return D.capacity(events, limits.withColumn("limit", F.col("limit").cast("double")))
 
@@ -273,13 +272,13 @@ _FIELD_JSON = """concat('{"field":"', field, '","type":"', type, '","length":',
     CASE WHEN required_by IS NOT NULL THEN concat(',"required_by":"', required_by, '"') ELSE '' END, ',"read_only":', cast(read_only as varchar), '}', cast(sampled as varchar))"""
 
 
-@query(
-    "a12_catalog_digest",
-    f"""
-    WITH o AS (SELECT endpoint, object, sha256(string_agg({_FIELD_JSON}, chr(10) ORDER BY {_FIELD_JSON})) AS d FROM {{catalog_new}} GROUP BY endpoint, object)
-    SELECT endpoint, sha256(string_agg(concat(object, '=', d), chr(10) ORDER BY concat(object, '=', d))) AS digest, count(*) AS objects FROM o GROUP BY endpoint
-    """,
-)
+_DIGESTS = f"""
+    SELECT endpoint, sha256(string_agg(concat(object, '=', d), chr(10) ORDER BY concat(object, '=', d))) AS digest, count(*) AS objects
+    FROM (SELECT endpoint, object, sha256(string_agg({_FIELD_JSON}, chr(10) ORDER BY {_FIELD_JSON})) AS d FROM CATALOG GROUP BY endpoint, object) GROUP BY endpoint
+"""
+
+
+@query("a12_catalog_digest", _DIGESTS.replace("CATALOG", "{catalog_new}"))
 def _(t):
     return D.digests(t["catalog_new"])
 
@@ -302,12 +301,18 @@ def _(t):
     "a10_system_overview",
     f"""
     WITH {ANNOTATED}, {MISSING}
-    SELECT c.endpoint, c.objects, c.fields, 2 AS snapshots, coalesce(h.changes, 0) AS changes, coalesce(h.breaking, 0) AS breaking, coalesce(m.missing, 0) AS missing
+    SELECT c.endpoint, c.objects, c.fields, CASE WHEN od.digest IS NULL OR od.digest = nd.digest THEN cast(1 as bigint) ELSE 2 END AS snapshots, coalesce(h.changes, 0) AS changes, coalesce(h.breaking, 0) AS breaking, coalesce(m.missing, 0) AS missing
     FROM (SELECT endpoint, count(DISTINCT object) AS objects, count(field) AS fields FROM {{catalog_new}} GROUP BY endpoint) c
     LEFT JOIN (SELECT endpoint, count(*) AS changes, count(*) FILTER (breaks) AS breaking FROM annotated GROUP BY endpoint) h ON h.endpoint = c.endpoint
     LEFT JOIN (SELECT endpoint, count(*) AS missing FROM missing GROUP BY endpoint) m ON m.endpoint = c.endpoint
+    LEFT JOIN ({_DIGESTS.replace("CATALOG", "{catalog_old}")}) od ON od.endpoint = c.endpoint LEFT JOIN ({_DIGESTS.replace("CATALOG", "{catalog_new}")}) nd ON nd.endpoint = c.endpoint
     """,
 )
 def _(t):
-    counts = t["catalog_new"].select("endpoint").distinct().withColumn("snapshots", F.lit(2))
+    # The catalogs were checked in turn, the new one twice: an unchanged digest is no snapshot.
+    checks = None
+    for at, name in enumerate(("catalog_old", "catalog_new", "catalog_new")):
+        check = D.digests(t[name]).select("endpoint", F.lit(at).cast("bigint").alias("checked_at"), "digest")
+        checks = check if checks is None else checks.unionByName(check)
+    counts = D.snapshots(checks).groupBy("endpoint").agg(F.count(F.lit(1)).alias("snapshots"))
     return D.overview(t["catalog_new"], counts, annotated(t), D.missing_uses(t["catalog_uses"], t["catalog_new"]))

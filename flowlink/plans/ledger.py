@@ -70,25 +70,25 @@ def _(t):
 
 
 def stored(t):
-    return t["orders"].filter("o_orderkey % 3 = 0").select(
+    return t["orders"].filter("o_orderkey % 3 <> 1").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("net_value"), F.lit("open").alias("status")
     )
 
 
 def incoming(t):
-    return t["orders"].filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") + 1).alias("customer"))
+    return t["orders"].filter("o_orderkey % 3 <> 2").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") + 1).alias("customer"))
 
 
-_STORED = "(SELECT o_orderkey AS id, o_custkey AS customer, o_totalprice AS net_value, 'open' AS status FROM {orders} WHERE o_orderkey % 3 = 0)"
+_STORED = "(SELECT o_orderkey AS id, o_custkey AS customer, o_totalprice AS net_value, 'open' AS status FROM {orders} WHERE o_orderkey % 3 <> 1)"
 
 
 @query(
     "k03_insert_if_absent",
     """
-    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1 END AS customer,
-           CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE 0.0 END AS net_value, CASE WHEN o_orderkey % 3 = 0 THEN 'open' ELSE 'new' END AS status,
-           o_orderkey % 3 <> 0 AS inserted
-    FROM {orders} WHERE o_orderkey % 2 = 0
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 1 THEN o_custkey ELSE o_custkey + 1 END AS customer,
+           CASE WHEN o_orderkey % 3 <> 1 THEN o_totalprice ELSE 0.0 END AS net_value, CASE WHEN o_orderkey % 3 <> 1 THEN 'open' ELSE 'new' END AS status,
+           o_orderkey % 3 = 1 AS inserted
+    FROM {orders} WHERE o_orderkey % 3 <> 2
     """,
 )
 def _(t):
@@ -101,24 +101,24 @@ def updated(t):
 
 @query(
     "k04_update_by_key",
-    f"SELECT id, CASE WHEN id % 2 = 0 THEN customer + 1 ELSE customer END AS customer, net_value, CASE WHEN id % 2 = 0 THEN 'changed' ELSE status END AS status FROM {_STORED}",
+    f"SELECT id, CASE WHEN id % 3 <> 2 THEN customer + 1 ELSE customer END AS customer, net_value, CASE WHEN id % 3 <> 2 THEN 'changed' ELSE status END AS status FROM {_STORED}",
 )
 def _(t):
     return updated(t).table
 
 
-@query("k04_unknown_keys", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@query("k04_unknown_keys", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 3 <> 2 AND o_orderkey % 3 = 1")
 def _(t):
     return updated(t).unknown.select("id")
 
 
-@query("k05_delete_by_key", f"SELECT id, net_value, id % 2 = 0 AS deleted FROM {_STORED}")
+@query("k05_delete_by_key", f"SELECT id, net_value, id % 3 <> 2 AS deleted FROM {_STORED}")
 def _(t):
     kept, deleted = L.delete_by_key(stored(t), incoming(t), "id")
     return kept.withColumn("deleted", F.lit(False)).unionByName(deleted.withColumn("deleted", F.lit(True))).select("id", "net_value", "deleted")
 
 
-@query("k06_read_by_key", f"SELECT id, status FROM {_STORED} WHERE id % 2 = 0")
+@query("k06_read_by_key", f"SELECT id, status FROM {_STORED} WHERE id % 3 <> 2")
 def _(t):
     return L.read_by_key(stored(t), incoming(t), "id", ["status"])
 
@@ -127,19 +127,19 @@ def _(t):
     "k07_dry_run",
     f"""
     SELECT id, concat('{{"customer":', cast(customer as varchar), ',"status":"open"}}') AS current,
-           concat('{{"customer":', cast(customer + 1 as varchar), ',"status":"changed"}}') AS proposed FROM {_STORED} WHERE id % 2 = 0
+           concat('{{"customer":', cast(customer + 1 as varchar), ',"status":"changed"}}') AS proposed FROM {_STORED} WHERE id % 3 <> 2
     """,
 )
 def _(t):
     return L.preview(updated(t).changes)
 
 
-@query("k08_confirm", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@query("k08_confirm", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 3 <> 2 AND o_orderkey % 3 = 1")
 def _(t):
     return L.unconfirmed(incoming(t).select("id"), stored(t), "id")
 
 
-@query("k14_capture_previous", f"SELECT id, customer AS was, customer + 1 AS now, 'open' AS was_status FROM {_STORED} WHERE id % 2 = 0")
+@query("k14_capture_previous", f"SELECT id, customer AS was, customer + 1 AS now, 'open' AS was_status FROM {_STORED} WHERE id % 3 <> 2")
 def _(t):
     return updated(t).changes.select(
         "id", F.col("previous.customer").alias("was"), F.col("applied.customer").alias("now"), F.col("previous.status").alias("was_status")
@@ -225,6 +225,23 @@ def _(t):
     return pushed(t)
 
 
+@query(
+    "k11_large_payloads",
+    """
+    WITH r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey % 3 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) - 1 AS i, l_suppkey % 3 AS payload FROM {lineitem})
+    SELECT concat('P', cast(payload as varchar)) AS key, cast(i // 10000 as integer) AS batch, count(*) AS "rows", concat('P', cast(payload as varchar), '/', cast(min(i) + 1 as varchar)) AS first_key
+    FROM r GROUP BY payload, i // 10000
+    """,
+)
+def _(t):
+    key = F.concat(F.lit("P"), (F.col("l_suppkey") % 3).cast("string")).alias("key")
+    payloads = t["lineitem"].groupBy(key).agg(F.collect_list(F.struct(F.col("l_orderkey").alias("Order"))).alias("rows"))
+    rows = L.push_rows(payloads, "rows", "key", "RowKey")
+    place = F.split_part("RowKey", F.lit("/"), F.lit(2)).cast("bigint")
+    counted = rows.groupBy("key", "batch").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first"))
+    return counted.select("key", "batch", "rows", F.concat_ws("/", "key", F.col("first").cast("string")).alias("first_key"))
+
+
 @query(
     "k12_reverse_rows",
     f"""SELECT "Material", cast(0 as bigint) AS net, 2 * count(*) AS pushed, count(*) AS reversed FROM {_ROWS} GROUP BY "Material" """,

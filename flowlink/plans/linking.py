@@ -316,7 +316,17 @@ def _(t):
     return out.select("record_id", "source_id", F.round("score", 3).alias("score"), F.array_join("reasons", ", ").alias("reasons"))
 
 
-@query("i04_jaro_winkler")
+@query(
+    "i04_jaro_winkler",
+    """
+    WITH n AS (SELECT DISTINCT p_name AS name FROM {part}),
+    p AS (SELECT a.name, b.name AS other, jaro_similarity(a.name, b.name) AS j,
+            CASE WHEN left(a.name, 4) = left(b.name, 4) AND length(a.name) >= 4 AND length(b.name) >= 4 THEN 4 WHEN left(a.name, 3) = left(b.name, 3) AND length(a.name) >= 3 AND length(b.name) >= 3 THEN 3
+                 WHEN left(a.name, 2) = left(b.name, 2) AND length(a.name) >= 2 AND length(b.name) >= 2 THEN 2 ELSE 1 END AS same
+          FROM n a JOIN n b ON left(a.name, 1) = left(b.name, 1) AND a.name < b.name)
+    SELECT name, other, round(j + same * 0.1 * (1 - j), 6) AS similarity FROM p
+    """,
+)
 def _(t):
     names = t["part"].select(F.col("p_name").alias("name"), F.substring("p_name", 1, 1).alias("letter")).distinct()
     other = names.select(F.col("name").alias("other"), "letter")

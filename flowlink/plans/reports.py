@@ -285,6 +285,34 @@ def _(t):
     return R.counted_alert(t["runs"].withColumn("at_ms", F.col("closed_ms")), ["workflow"], F.col("failure_type") == "Unresolved", 60 * R.MINUTE)
 
 
+@query(
+    "t07_failed_compensations",
+    """SELECT workflow, closed_ms // 900000 * 900000 AS window_ms, count(*) AS events FROM {runs}
+       WHERE status = 'failed' AND run_id % 4 = 1 GROUP BY 1, 2""",
+)
+def _(t):
+    kind = F.when((F.col("status") == "failed") & (F.col("run_id") % 4 == 1), "CompensationFailed").otherwise(F.col("failure_type"))
+    return R.failed_compensations(t["runs"].withColumn("failure_type", kind))
+
+
+@query(
+    "t07_retained_logs",
+    """
+    WITH s AS (SELECT user_id AS slot, epoch_ms(ts) AS at_ms, event_id, value > 100 AS over FROM {events}),
+    d AS (SELECT slot, at_ms, bool_and(over) AS over, count(*) AS n FROM s GROUP BY slot, at_ms),
+    g AS (SELECT *, count(*) FILTER (NOT over) OVER (PARTITION BY slot ORDER BY at_ms) AS spell FROM d)
+    SELECT slot, min(at_ms) AS since_ms, max(at_ms) AS last_ms, cast(sum(n) as bigint) AS samples FROM g WHERE over GROUP BY slot, spell HAVING max(at_ms) - min(at_ms) > 86400000
+    """,
+)
+def _(t):
+    e = t["events"].select(F.col("user_id").alias("slot"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "value")
+    # One reading per slot and time: the lowest, so that a spell is over when any reading is.
+    readings = e.groupBy("slot", "at_ms").agg(F.min("value").alias("retained_bytes"), F.count(F.lit(1)).alias("n"))
+    spells = R.retained_logs(readings.select("slot", "at_ms", "retained_bytes"), 100, 24 * 60 * R.MINUTE)
+    counted = readings.alias("r").join(spells.alias("s"), (F.col("r.slot") == F.col("s.slot")) & F.col("r.at_ms").between(F.col("since_ms"), F.col("last_ms")))
+    return counted.groupBy(F.col("s.slot").alias("slot"), "since_ms", "last_ms").agg(F.sum("n").alias("samples"))
+
+
 @query(
     "t07_slow_runs",
     f"""

@@ -9,7 +9,6 @@ from flowlink.plans import reports as RP
 from flowlink.plans.registry import query
 from flowlink.session import scratch
 from flowlink.sources import change_topic as C
-from flowlink.sources.pages import PageSource
 from flowlink.streaming import approvals as A
 from flowlink.streaming import intake as S
 
@@ -175,22 +174,24 @@ def _(t):
     return S.read_inbox_table(t.spark, shifted).select("source", "event_id")
 
 
-@query("x03_connector_pages", "SELECT cast(id as varchar) AS id, position, status FROM {polled} WHERE position > 1704931200000")
-def _(t):
-    t.spark.dataSource.register(PageSource)
+def json_pages(t):
+    """Pages of items as a system's export leaves them: JSON files in a folder."""
     path = scratch(t.spark, "pages")
     items = t["polled"].select(F.col("id").cast("string").alias("id"), "position", "status")
-    items.repartition(4).write.format("pages").mode("append").save(path)
-    return t.spark.read.format("pages").schema(items.schema).load(path).filter("position > 1704931200000")
+    items.repartition(4).write.mode("append").json(path)
+    return path, items.schema
+
+
+@query("x03_connector_pages", "SELECT cast(id as varchar) AS id, position, status FROM {polled} WHERE position > 1704931200000")
+def _(t):
+    path, schema = json_pages(t)
+    return t.spark.read.schema(schema).json(path).filter("position > 1704931200000")
 
 
 @query("x03_connector_stream", "SELECT cast(id as varchar) AS id, position FROM {polled}")
 def _(t):
-    t.spark.dataSource.register(PageSource)
-    path = scratch(t.spark, "pages")
-    items = t["polled"].select(F.col("id").cast("string").alias("id"), "position", "status")
-    items.repartition(4).write.format("pages").mode("append").save(path)
-    stream = t.spark.readStream.format("pages").schema(items.schema).load(path)
+    path, schema = json_pages(t)
+    stream = t.spark.readStream.schema(schema).json(path)
     out, checkpoint = scratch(t.spark, "read"), scratch(t.spark, "checkpoint")
     run(t, stream.select("id", "position"), out, checkpoint)
     return t.spark.read.parquet(out)
