@@ -332,7 +332,7 @@ def _scored(docs: DataFrame, block: Broadcast, base: Broadcast | None) -> DataFr
                 spans = A.words(text)
                 columns = [
                     ids.slice(text.first, n), pa.array(fp.view(np.int64)),
-                    pa.array(np.diff(spans.bounds) + 1), pa.array(tree_scores(text, tree, seen)),
+                    pa.array(np.diff(spans.bounds) + 1, pa.int64()), pa.array(tree_scores(text, tree, seen), pa.float64()),
                 ]
                 if head is None:
                     none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))]
@@ -358,7 +358,7 @@ def _base_columns(text: A.Text, spans: A.Words, head: A.Lookup, logs: np.ndarray
     many = np.diff(np.append(begin, len(rest))).astype(np.int32)
     bounds = pa.array(np.searchsorted(rest_row[begin], np.arange(text.rows + 1)).astype(np.int32))
     return [
-        pa.array(np.bincount(row[known], minlength=text.rows)), pa.array(value),
+        pa.array(np.bincount(row[known], minlength=text.rows), pa.int64()), pa.array(value, pa.float64()),
         pa.ListArray.from_arrays(bounds, pa.array(rest[begin].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(many)),
     ]
 

@@ -72,9 +72,10 @@ def pattern_of(path: Column) -> Column:
 def _apart(bad: Column, known: Column, all_bad: Column, all_known: Column) -> Column:
     """Whether a branch's share of bad labels differs from its siblings' beyond chance."""
     rest, rest_bad = all_known - known, all_bad - bad
-    share = all_bad / all_known
-    error = F.sqrt(share * (1 - share) * (1 / known + 1 / rest))
-    return F.when((known > 0) & (rest > 0) & (error > 0), F.abs(bad / known - rest_bad / rest) >= APART * error).otherwise(False)
+    share = F.try_divide(all_bad, all_known)
+    error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), known) + F.try_divide(F.lit(1), rest)))
+    gap = F.abs(F.try_divide(bad, known) - F.try_divide(rest_bad, rest))
+    return F.coalesce((error > 0) & (gap >= APART * error), F.lit(False))
 
 
 def templates(patterns: DataFrame) -> DataFrame:
