@@ -23,8 +23,9 @@ BITS = 18
 BUCKETS = 1 << BITS
 WIDTH = 8
 SIZES = (3, 4, 5, 6)
-PASSAGE = 16
-PER_CLASS = 1200  # labelled rows of each class that the model is fitted on, at most
+PASSAGE = 4
+PER_CLASS = 2000  # labelled rows of each class that the model is fitted on, at most
+FEWEST = 20  # texts, counted once per word, that an n-gram is learned from
 EPOCHS = 40
 THRESHOLD = 0.5
 
@@ -110,35 +111,41 @@ def train(rows: pa.Table, epochs: int = EPOCHS) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), bias)
     # The sample's distinct words, their n-grams, and the texts as sequences of them.
     seen: dict[int, int] = {}
-    gram_word, gram_bucket, sequence, bounds, n_words = [], [], [], [np.zeros(1, np.int64)], 0
+    gram_word, gram_bucket, sequence, bounds, counts, n_words = [], [], [], [np.zeros(1, np.int64)], [], 0
     for text in A.chunks(rows["text"].combine_chunks()):
         spans, first, inverse = unlike(text)
         keys = A.hashes(text, spans)[first]
         number = np.array([seen.setdefault(k, len(seen)) for k in keys.tolist()], np.int64)
         new = number >= n_words
         w, b = grams(text.data, spans.starts[first[new]], spans.ends[first[new]])
-        gram_word.append(number[new][w])
+        gram_word.append(number[new][w].astype(np.int32))
         gram_bucket.append(b)
-        sequence.append(number[inverse])
+        sequence.append(number[inverse].astype(np.int32))
+        held = np.unique(spans.row() * len(first) + inverse) % max(1, len(first))
+        counts.append((number, np.bincount(held, minlength=len(first))))
         bounds.append(spans.bounds[1:] + bounds[-1][-1])
         n_words = len(seen)
     gram_word, gram_bucket, sequence = (np.concatenate(x) for x in (gram_word, gram_bucket, sequence))
     order = np.argsort(gram_word, kind="stable")
     gram_word, gram_bucket = gram_word[order], gram_bucket[order]
     per_word = np.bincount(gram_word, minlength=n_words)
-    at = np.concatenate([[0], np.cumsum(per_word)])
+    # N-grams of few texts teach nothing that holds elsewhere: their vectors stay zero.
+    texts_with = np.bincount(np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts]), n_words)
+    usual = np.bincount(gram_bucket, texts_with[gram_word], BUCKETS) >= FEWEST
+    kept = usual[gram_bucket]
+    gram_word, gram_bucket = gram_word[kept], gram_bucket[kept]
     bounds = np.concatenate(bounds)
     begin, row = passages(bounds)
     end = np.minimum(begin + PASSAGE, bounds[row + 1])
     random = np.random.default_rng(7)
-    vectors = random.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
+    vectors = random.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32) * usual[:, None]
     soft = random.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     base = np.array([0.0, bias], np.float32)
-    # Where word vectors start from and the softmax's scale keep averages of 16 words apart.
+    # Where word vectors start from and the softmax's scale keep averages of a few words apart.
     steps = Adam(vectors.shape, 0.1), Adam(soft.shape, 0.1), Adam(base.shape, 0.05)
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(epochs):
-        word = np.add.reduceat(vectors[gram_bucket], at[:-1], axis=0) / per_word[:, None]
+        word = np.stack([np.bincount(gram_word, vectors[gram_bucket, d], n_words) for d in range(WIDTH)], 1) / per_word[:, None]
         margin = word @ (soft[:, 1] - soft[:, 0])
         total = np.concatenate([[0.0], np.cumsum(margin[sequence], dtype=np.float64)])
         top = _top((total[end] - total[begin]) / (end - begin), row, len(y))
