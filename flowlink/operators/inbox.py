@@ -4,22 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDENTITY = ("source", "event_id")
 
 
+FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool = False) -> DataFrame:
-    """One row per key: the first (or last) by ``order``.
+    """One row per key: the first (or last) by ``order``; rows without an order come last.
 
-    An aggregate, not a window: copies of one key are combined before the shuffle, so a key
-    holding a large share of the rows does not end in one task.
+    Equal orders are told apart by a hash of the row, so the choice depends on the rows
+    alone. The best order of each key is a hash aggregate of fixed-width numbers, combined
+    before the shuffle; the rows are joined back to it and only those that hold it are
+    looked at further. An order of texts or structs can't be aggregated so: its rows are
+    ranked, and Spark keeps one per key and task before the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
-    pick = F.max_by if last else F.min_by
-    best = df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("_best"))
-    return best.select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
+    marked = df.withColumn("_order", order)
+    plain = [f.name for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    tie = F.xxhash64(*keys, *plain)
+    first = F.col("_order").desc_nulls_last() if last else F.col("_order").asc_nulls_last()
+    if isinstance(marked.schema["_order"].dataType, FIXED_WIDTH):
+        best = F.max("_order") if last else F.min("_order")
+        bests = marked.groupBy(*keys).agg(best.alias("_best"))
+        same = F.col("_order").eqNullSafe(F.col("_best"))
+        for k in keys:
+            same = same & F.col(f"m.{k}").eqNullSafe(F.col(f"b.{k}"))
+        joined = marked.alias("m").join(bests.alias("b").hint("shuffle_hash"), same)
+        marked = joined.select("m.*")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(first, tie))
+    return marked.withColumn("_rank", rank).filter(F.col("_rank") == 1).select(*df.columns)
 
 
 def keep_first(arrivals: DataFrame, stored: DataFrame | None = None, order: str = "arrived") -> DataFrame:

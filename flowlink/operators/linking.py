@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowlink.operators import matching as M
 from flowlink.operators.inbox import first_by
+from flowlink.session import stored
 
 KEY = ("entity", "system", "source_id")
 
@@ -282,7 +283,9 @@ def resolve(
     first = first_by(M.extract_attributes(missed.select(ref, *{c for c, _ in match} - {ref}), match), [ref], F.struct("email", "name", "domain"))
     records = first.select(F.lit(entity).alias("entity"), F.col(ref).alias("record_id"), *M.ATTRIBUTES)
     candidates = M.with_attributes(xref.filter(F.col("entity") == entity)).select("entity", "source_id", "master_id", *M.ATTRIBUTES)
-    suggested = M.suggest(records, candidates, model)
+    # Three results read the references and their suggestions: both are found once.
+    records = stored(records, "references")
+    suggested = stored(M.suggest(records, candidates, model), "suggestions")
     certain = M.decide(suggested, threshold)
     if not probabilistic:
         certain = certain.filter(F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from flowlink.plans import changes as CH
@@ -25,14 +27,23 @@ def written(t, df, name: str, files: int = 4) -> str:
     return path
 
 
+STATE_PARTS = 8  # of these examples' streams, on any master
+
+
 def run(t, stream, out: str, checkpoint: str) -> None:
-    """Runs a stream into a table; a local session keeps its state in as many parts as it has cores."""
+    """Runs a stream into a table."""
+    with few_parts(t):
+        S.to_table(stream, out, checkpoint)
+
+
+@contextlib.contextmanager
+def few_parts(t):
+    """State is kept in as many parts as a stream's first run has; the session's number comes back."""
     conf, name = t.spark.conf, "spark.sql.shuffle.partitions"
     before = conf.get(name)
-    if t.spark.sparkContext.master.startswith("local"):
-        conf.set(name, str(min(int(before), t.spark.sparkContext.defaultParallelism)))
+    conf.set(name, str(STATE_PARTS))
     try:
-        S.to_table(stream, out, checkpoint)
+        yield
     finally:
         conf.set(name, before)
 
@@ -49,7 +60,9 @@ _ONCE = "SELECT DISTINCT source, event_id FROM {arrivals}"
 @query("t01_exactly_once_intake", _ONCE)
 def _(t):
     inbox, checkpoint = scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
-    S.run_to_inbox(arrivals_stream(t), inbox, checkpoint)
+    timed = arrivals_stream(t).withColumn("at", F.timestamp_millis("arrived"))
+    with few_parts(t):
+        S.run_to_inbox(timed, inbox, checkpoint, at="at", retention="36500 days")
     return S.read_inbox_table(t.spark, inbox).select("source", "event_id")
 
 
@@ -71,9 +84,10 @@ def _(t):
 
 @query("t02_one_run_per_event", "SELECT event_id, concat(event_type, '/', cast(event_id as varchar)) AS run_id FROM {events}")
 def _(t):
-    twice = event_stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    timed = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = timed.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     out, checkpoint = scratch(t.spark, "runs"), scratch(t.spark, "checkpoint")
-    run(t, S.start_runs(twice, F.col("event_type")).select("event_id", "run_id"), out, checkpoint)
+    run(t, S.start_runs(twice, F.col("event_type"), "ts", "3650 days").select("event_id", "run_id"), out, checkpoint)
     return t.spark.read.parquet(out)
 
 
@@ -182,6 +196,18 @@ def json_pages(t):
     return path, items.schema
 
 
+@query("t08_resume_from_stored_position", _ONCE)
+def _(t):
+    # Two files are read, then the stream is stopped; two more come, and it goes on from its checkpoint.
+    path, inbox, checkpoint = written(t, t["arrivals"].filter("user_id % 2 = 0"), "arrivals", 2), scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
+    rows = lambda start: S.read_folder(t.spark, path, t["arrivals"].schema)
+    S.resume(rows, inbox, None, checkpoint)
+    t["arrivals"].repartition(2).write.mode("append").parquet(path)
+    S.resume(rows, inbox, checkpoint, scratch(t.spark, "unused"))
+    batches = S.read_inbox_table(t.spark, inbox)
+    return batches.select("source", "event_id")
+
+
 @query("x03_connector_pages", "SELECT cast(id as varchar) AS id, position, status FROM {polled} WHERE position > 1704931200000")
 def _(t):
     path, schema = json_pages(t)

@@ -25,17 +25,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def deliver(batch: DataFrame, batch_id: int, inbox: str, order: str = "arrived", retention: int | None = None) -> None:
+def deliver(
+    batch: DataFrame, batch_id: int, inbox: str, order: str = "arrived", retention: int | None = None, compare: bool = True
+) -> None:
     """Adds a micro-batch to the inbox table at a path: each event once.
 
     The batch goes to a folder of its own, overwritten when the batch is run again, and is
     compared with the events of the other batches kept (the last ``retention``, where older
     ones have been pruned): neither a repeated batch nor a repeated event is stored twice.
-    Only the two identity columns of the partitions in question are read.
+    Only the two identity columns of the partitions in question are read, and none where the
+    stream remembers itself what it has given (``compare`` false).
     """
     spark = batch.sparkSession
     stored = None
-    if _exists(spark, inbox):
+    if compare and _exists(spark, inbox):
         earlier = spark.read.option("basePath", inbox).schema("source string, event_id string, batch bigint").parquet(inbox)
         stored = earlier.filter(F.col("batch") != batch_id)
         if retention is not None:
@@ -44,14 +47,22 @@ def deliver(batch: DataFrame, batch_id: int, inbox: str, order: str = "arrived",
     new.write.mode("overwrite").parquet(f"{inbox}/batch={batch_id}")
 
 
-def run_to_inbox(arrivals: DataFrame, inbox: str, checkpoint: str, order: str = "arrived") -> None:
+def run_to_inbox(
+    arrivals: DataFrame, inbox: str, checkpoint: str, order: str = "arrived", at: str | None = None, retention: str = "7 days"
+) -> None:
     """Runs a stream of arrivals into the inbox until its source is read.
 
     The checkpoint keeps the source's position. It and the inbox move in two steps, so a
     batch may be delivered again after a loss; ``deliver`` makes that harmless.
+
+    With ``at``, the arrivals' time, the stream's own state knows the events of the inbox's
+    ``retention`` and forgets older ones: no batch reads what earlier ones wrote, however
+    long the history. Without it, or where a new checkpoint goes on with an old inbox, each
+    batch is compared with the inbox.
     """
+    stream = arrivals if at is None else once(arrivals, list(I.IDENTITY), at, retention)
     query = (
-        arrivals.writeStream.foreachBatch(lambda df, n: deliver(df, n, inbox, order))
+        stream.writeStream.foreachBatch(lambda df, n: deliver(df, n, inbox, order, compare=at is None))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -71,11 +82,15 @@ def once(arrivals: DataFrame, keys: list[str], at: str, retention: str) -> DataF
     return arrivals.withWatermark(at, retention).dropDuplicatesWithinWatermark(keys)
 
 
-def start_runs(events: DataFrame, workflow: Column) -> DataFrame:
-    """A stream's events with their run: one run per (workflow, event id)."""
+def start_runs(events: DataFrame, workflow: Column, at: str, retention: str = "7 days") -> DataFrame:
+    """A stream's events with their run: one run per (workflow, event id).
+
+    Runs started are remembered for the inbox's ``retention``, after which the inbox no
+    longer gives out their events.
+    """
     named = events.withColumn("workflow", workflow)
     named = named.withColumn("run_id", F.concat_ws("/", "workflow", F.col("event_id").cast("string")))
-    return named.dropDuplicates(["workflow", "event_id"])
+    return once(named, ["workflow", "event_id"], at, retention)
 
 
 def settled(events: DataFrame, at: str, delay: str, keys: list[str], width: str) -> DataFrame:
