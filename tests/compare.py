@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import re
 import sys
 import time
 
@@ -42,6 +43,11 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+# Queries without SQL, each checked against plain Python or brute force in a test: state
+# machines with timers, a trained model, and the text operators.
+UNCHECKED = {"t06_open_requests", "t06_open_requests_stream", "i12_contact_match"}
+OPERATOR = re.compile(r"op[0-9]+_")
+
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
@@ -50,7 +56,7 @@ def check(spark, con, name, fn, sql, folder):
     df = fn(spark, folder)
     got = rows_of(df.columns, df.collect())
     if sql is None:
-        return None, len(got)
+        return (None if name in UNCHECKED or name == "pipeline" or OPERATOR.match(name) else "it has no SQL to agree with"), len(got)
     con.execute(sql)
     columns = [d[0] for d in con.description]
     want = rows_of(columns, con.fetchall())

@@ -147,6 +147,26 @@ def test_suggestions_equal_brute_force(spark, hot_block):
     assert got == want
 
 
+def test_reasons_do_not_depend_on_what_counts_as_hot(spark):
+    # Records of one master that score alike through other fields, and many ties.
+    tied = [
+        {"id": f"t{i}", "master": f"T{i % 4}", "email": None, "domain": "relay.example", "name": None, "exact": {"vat": "V1"} if i % 2 else {"duns": "D1"}}
+        for i in range(24)
+    ]
+    asks = [dict(tied[0], id="q", exact={"vat": "V1", "duns": "D1"}), dict(tied[0], id="r", exact={})]
+    left = frames(spark, people(20, 5, "r") + asks, "record_id").drop("master_id")
+    right = frames(spark, people(60, 6, "l") + tied, "source_id")
+
+    def rows(hot_block):
+        out = M.suggest(left, right, hot_block=hot_block, chunk=3).select("record_id", "rank", "master_id", "score", "reasons")
+        return sorted(tuple(map(str, r)) for r in out.collect())
+
+    want = rows(None)
+    assert any(r[0] == "q" for r in want)
+    for hot_block in (1, 2, 8):
+        assert rows(hot_block) == want
+
+
 def test_a_model_that_is_not_monotone_compares_whole_blocks(spark):
     odd = M.Model({**M.DEFAULT_LEVELS, "name.close": (0.01, 0.9)})
     assert not odd.monotone() and M.DEFAULT_MODEL.monotone()
