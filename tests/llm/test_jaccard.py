@@ -75,7 +75,7 @@ def test_any_boundary_between_small_and_large_is_right(spark, monkeypatch, limit
 
 def test_odd_texts_ties_nulls_and_other_columns(spark, odd):
     rows = [(i, t, "x") for i, t in enumerate(odd + odd)] + [(None, "the the", "x"), (5, odd[5], "y")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int" if False else "doc_id bigint, text string, n string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n string")
     got = jaccard.link_components(docs).collect()
     assert len(got) == len(rows)
     want = {i: c for i, _, c in brute([(i, t) for i, t, _ in rows[: 2 * len(odd)]], 3, 90)}
