@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlink.session import stored
+
 BLOCK_BITS = 16
 GROUP_BITS = 32
 
@@ -70,3 +72,35 @@ def running_sum(df: DataFrame, order: str, value: str, into: str, keys: Sequence
     before = within.join(far, [*keys, "_group"]).select(*keys, "_block", (F.col("_near") + F.col("_far")).alias("_carry"))
     joined = local.join(before, [*keys, "_block"], "left")
     return joined.withColumn(into, F.col("_here") + F.col("_carry")).drop("_block", "_here", "_carry")
+
+
+def run_starts(df: DataFrame, order: str, columns: Sequence[str], into: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``into``: the order of the first row of each row's run, per key.
+
+    A run is rows following each other in ``order`` with equal ``columns`` (NULL equals
+    NULL). Blocks find their own runs; one row per block, written once, says how it begins
+    and ends, which tells the runs that go on from one block into the next. The input is
+    read twice, however long a run is.
+    """
+    cut = df.withColumn("_block", F.shiftright(order, BLOCK_BITS)).withColumn("_row", F.struct(*columns))
+    window = Window.partitionBy(*keys, "_block").orderBy(order)
+    begins = F.lag(order).over(window).isNull() | ~F.col("_row").eqNullSafe(F.lag("_row").over(window))
+    marked = cut.withColumn("_begin", F.when(begins, F.col(order)))
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.withColumn("_start", F.last("_begin", ignorenulls=True).over(so_far))
+    summary = local.groupBy(*keys, "_block").agg(
+        F.min(order).alias("_opens"), F.max("_start").alias("_last"), F.min_by("_row", order).alias("_head"), F.max_by("_row", order).alias("_tail")
+    )
+    summary = stored(summary, "runs")
+    tails = _summaries_before(summary, keys, "_tail").withColumnRenamed("_carry", "_before")
+    on = [*keys, "_block"]
+    joined = summary.join(tails, on, "left")
+    goes_on = F.col("_before").isNotNull() & F.col("_head").eqNullSafe(F.col("_before"))
+    # A block that is all one run, gone on with, doesn't say where that began: an earlier one does.
+    ends = stored(joined.withColumn("_goes_on", goes_on).withColumn(
+        "_said", F.when(~(F.col("_goes_on") & (F.col("_last") == F.col("_opens"))), F.col("_last"))
+    ).select(*on, "_opens", "_goes_on", "_said"), "runs")
+    carried_over = _summaries_before(ends, keys, "_said").join(ends.filter("_goes_on").select(*on, "_opens"), on)
+    out = local.join(carried_over, on, "left")
+    start = F.when(F.col("_start") == F.col("_opens"), F.col("_carry")).otherwise(F.col("_start"))
+    return out.withColumn(into, start).select(*df.columns, into)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlink.functions.prefix import carried, previous_row
+from flowlink.functions.prefix import run_starts
 from flowlink.session import stored
 
 CATALOG = "endpoint string, object string, sampled boolean, field string, type string, length int, required boolean, required_by string, read_only boolean"
@@ -94,10 +94,7 @@ def snapshots(checks: DataFrame) -> DataFrame:
 
     A snapshot is named by when it was taken; later checks with its digest extend it.
     """
-    seen = previous_row(checks, "checked_at", ["digest"], ["endpoint"])
-    same = F.col("has_prev") & F.col("prev_digest").eqNullSafe(F.col("digest"))
-    starts = seen.withColumn("_start", F.when(~same, F.col("checked_at"))).drop("has_prev", "prev_digest")
-    numbered = carried(starts, "checked_at", "_start", "taken_at", ["endpoint"])
+    numbered = run_starts(checks, "checked_at", ["digest"], "taken_at", ["endpoint"])
     return numbered.groupBy("endpoint", "taken_at", "digest").agg(
         F.max("checked_at").alias("checked_at"), F.count(F.lit(1)).alias("checks")
     )

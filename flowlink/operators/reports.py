@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlink.functions.prefix import carried, running_sum
+from flowlink.functions.prefix import run_starts
 from flowlink.operators.inbox import first_by
 
 # Upper bounds of the duration histogram, in seconds.
@@ -157,20 +157,15 @@ def breaker_openings(writes: DataFrame, failures: int = BREAKER_FAILURES) -> Dat
     opens at the ``failures``-th failure in a row. Rows: target, streak start and end,
     failures, and when it opened.
     """
-    failed = F.col("status") == "failed"
-    marked = writes.withColumns({"_ok": F.when(failed, 0).otherwise(1), "_bad": F.when(failed, 1).otherwise(0)})
-    # Successes so far number the streaks; failures so far place a failure in its streak.
-    slim = marked.select("target", "seq", "at_ms", "_ok", "_bad")
-    numbered = running_sum(running_sum(slim, "seq", "_ok", "_streak", ["target"]), "seq", "_bad", "_failed", ["target"])
-    based = carried(
-        numbered.withColumn("_reset", F.when(F.col("_ok") == 1, F.col("_failed"))), "seq", "_reset", "_base", ["target"]
-    )
-    rows = based.filter(F.col("_bad") == 1).withColumn("_place", F.col("_failed") - F.coalesce("_base", F.lit(0)))
-    streaks = rows.groupBy("target", "_streak").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("failures"),
-        F.max(F.when(F.col("_place") == failures, F.col("at_ms"))).alias("opened_ms"),
-    )
-    return streaks.filter(F.col("failures") >= failures).drop("_streak").withColumn(
+    marked = writes.select("target", "seq", "at_ms", F.coalesce(F.col("status") == "failed", F.lit(False)).alias("_bad"))
+    rows = run_starts(marked, "seq", ["_bad"], "first_seq", ["target"]).filter("_bad")
+    streak = ["target", "first_seq"]
+    # Spark keeps no more than ``failures`` rows of a streak in a task before the shuffle.
+    nth = F.row_number().over(Window.partitionBy(*streak).orderBy("seq"))
+    opening = rows.withColumn("_nth", nth).filter(F.col("_nth") <= failures).filter(F.col("_nth") == failures)
+    whole = rows.groupBy(*streak).agg(F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("failures"))
+    streaks = whole.join(opening.select(*streak, F.col("at_ms").alias("opened_ms")), streak)
+    return streaks.withColumn(
         "trial_ms", F.col("opened_ms") + BREAKER_COOLDOWN_MS
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlink.functions.joins import small
-from flowlink.functions.prefix import carried, previous_row
+from flowlink.functions.prefix import run_starts
 
 # --- Change events covering several records ---------------------------------------------
 
@@ -86,12 +86,7 @@ def pointer_changes(pointers: DataFrame) -> DataFrame:
     block finds its own starts and one row per block carries the last start over, so no
     task sees more than a block, however long an event is.
     """
-    seen = previous_row(pointers, "number", DOCUMENT)
-    same = F.lit(True)
-    for c in DOCUMENT:
-        same = same & F.col(c).eqNullSafe(F.col(f"prev_{c}"))
-    starts = seen.withColumn("_start", F.when(F.col("has_prev") & same, F.lit(None)).otherwise(F.col("number")))
-    return carried(starts, "number", "_start", "first_number").drop("_start", "has_prev", *[f"prev_{c}" for c in DOCUMENT])
+    return run_starts(pointers, "number", DOCUMENT, "first_number")
 
 
 def pointer_events(changes: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from flowlink.operators import audit, drift, inbox, ledger, linking, mapping, po
 from flowlink.session import scratch
 from flowlink.sources import change_topic as C
 from flowlink.sources import messages, outbox, polling, records, webhooks
-from flowlink.sources.pages import PageSource
 from flowlink.streaming import approvals
 from flowlink.streaming import intake
 
@@ -184,6 +183,20 @@ def test_keep_first_is_idempotent(spark):
 # --- Ordered computations across blocks -------------------------------------------------
 
 
+@pytest.mark.parametrize("values", ["ab", "a"])
+def test_runs_cross_blocks_and_groups(spark, values):
+    rng = random.Random(8)
+    orders = sorted(rng.sample(range(1 << 20), 200)) + [(1 << 33) + i * 70000 for i in range(60)] + [(1 << 35) + i for i in range(20)]
+    rows = [(n, rng.choice("kl"), rng.choice([*values * 6, None]) if values == "ab" else "a", n % 3) for n in orders]
+    df = spark.createDataFrame(rows, "n bigint, k string, v string, other int").repartition(3)
+    want, last = [], {}
+    for n, k, v, other in rows:
+        if k not in last or last[k][0] != v:
+            last[k] = (v, n)
+        want.append((n, k, v, other, last[k][1]))
+    assert sorted(tuple(r) for r in prefix.run_starts(df, "n", ["v"], "start", ["k"]).collect()) == want
+
+
 def test_prefix_computations_cross_blocks_and_groups(spark):
     rng = random.Random(5)
     orders = sorted(rng.sample(range(1 << 20), 300)) + [(1 << 33) + i * 70000 for i in range(50)] + [(1 << 35) + i for i in range(20)]
@@ -256,14 +269,6 @@ def test_export_must_be_complete(spark):
         records.read_export(spark, path, ["id", "note"], 3)
 
 
-def test_pages_take_over_position_filters(spark):
-    spark.dataSource.register(PageSource)
-    path = scratch(spark, "pages")
-    spark.range(10).select(F.col("id").cast("string").alias("id"), F.col("id").alias("position"), F.lit("x").alias("status")).write.format("pages").mode("append").save(path)
-    df = spark.read.format("pages").load(path).filter("position > 6")
-    assert df.count() == 3
-
-
 # --- Links and ledger -------------------------------------------------------------------
 
 
