@@ -6,6 +6,7 @@ read_only). An object without fields has one row with a NULL field.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,26 +24,54 @@ RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)
 # --- Discovery --------------------------------------------------------------------------
 
 
+def _paths(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.StructField, str]]:
+    """(dotted name, field, type) of a schema's fields, in depth."""
+    out = []
+    for f in schema.fields:
+        path, kind = prefix + f.name, f.dataType
+        if isinstance(kind, T.StructType):
+            out += _paths(kind, path + ".")
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            out += [(path, f, "array"), *_paths(kind.elementType, path + "[].")]
+        else:
+            out.append((path, f, kind.simpleString()))
+    return out
+
+
+def _length(field: T.StructField) -> int:
+    """The declared length of a text: char(n) or varchar(n), 0 if unbounded."""
+    declared = str(field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", ""))
+    found = re.fullmatch(r"(?:var)?char\((\d+)\)", declared) or re.fullmatch(r"(?:var)?char\((\d+)\)", field.dataType.simpleString())
+    return int(found[1]) if found else int(field.metadata.get("length", 0))
+
+
 def discover(df: DataFrame, endpoint: str, name: str) -> DataFrame:
-    """Catalog rows of a table's declared schema; nested fields are dotted names."""
-    rows = []
+    """Catalog rows of a table's declared schema; nested fields are dotted names.
 
-    def walk(schema: T.StructType, prefix: str) -> None:
-        for f in schema.fields:
-            path = prefix + f.name
-            kind = f.dataType
-            if isinstance(kind, T.StructType):
-                walk(kind, path + ".")
-            elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-                rows.append((path, "array", not f.nullable))
-                walk(kind.elementType, path + "[].")
-            else:
-                rows.append((path, kind.simpleString(), not f.nullable))
-
-    walk(df.schema, "")
-    return df.sparkSession.createDataFrame(
-        [(endpoint, name, False, p, t, 0, r, None, False) for p, t, r in rows], CATALOG
-    )
+    Lengths are those of char and varchar columns, or the field metadata's ``length``; a
+    field is read-only if its metadata says ``read_only``.
+    """
+    rows = [
+        (endpoint, name, False, path, kind, _length(f), not f.nullable, None, bool(f.metadata.get("read_only", False)))
+        for path, f, kind in _paths(df.schema)
+    ]
+    return df.sparkSession.createDataFrame(rows, CATALOG)
+
+
+def discover_links(df: DataFrame, endpoint: str, name: str) -> DataFrame:
+    """(endpoint, object, field, key, link_to, link_field) of fields that are keys or links.
+
+    From field metadata, where a reader keeps what a database declares: ``key``, and
+    ``link`` as object.field or object.
+    """
+    rows = []
+    for path, f, _ in _paths(df.schema):
+        key, link = bool(f.metadata.get("key", False)), str(f.metadata.get("link", ""))
+        if key or link:
+            to, _, field = link.partition(".")
+            rows.append((endpoint, name, path, key, to or None, field or None))
+    schema = "endpoint string, object string, field string, key boolean, link_to string, link_field string"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def filled(df: DataFrame) -> DataFrame:
@@ -161,6 +190,32 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 # --- Usage ------------------------------------------------------------------------------
 
 
+def mapped_objects(maps: DataFrame, endpoints: DataFrame, catalog: DataFrame, events: DataFrame) -> DataFrame:
+    """(endpoint, object, mapping, target, expression): which object each mapping reads.
+
+    ``maps`` is (source, trigger_endpoint, trigger_event, mapping, target, expression) with
+    ``source`` as system.entity, the system being an endpoint or a connector; ``endpoints``
+    is (endpoint, connector), ``events`` (endpoint, event, object). A mapping reads the
+    object its entity names; where the endpoint has none of that name, the object that the
+    records of its workflow's triggering event come from, if the event is that endpoint's.
+    Mappings of other systems, and those whose object isn't in the catalog, read nothing.
+    """
+    objects = catalog.select("endpoint", "object").distinct()
+    named = maps.filter(F.instr("source", ".") > 0).withColumns(
+        {"system": F.substring_index("source", ".", 1), "entity": F.expr("substring(source, instr(source, '.') + 1)")}
+    )
+    systems = endpoints.select("endpoint", F.explode(F.array_distinct(F.array("endpoint", "connector"))).alias("system")).distinct()
+    of = named.join(systems, "system").join(
+        objects.select("endpoint", F.col("object").alias("entity"), F.lit(True).alias("_direct")), ["endpoint", "entity"], "left"
+    )
+    direct = of.filter("_direct").withColumn("object", F.col("entity"))
+    through = of.filter(F.col("_direct").isNull() & (F.col("trigger_endpoint") == F.col("endpoint"))).join(
+        events.select("endpoint", F.col("event").alias("trigger_event"), "object"), ["endpoint", "trigger_event"]
+    ).join(objects, ["endpoint", "object"], "left_semi")
+    columns = ["endpoint", "object", "mapping", "target", "expression"]
+    return direct.select(*columns).unionByName(through.select(*columns))
+
+
 def field_usage(mappings: DataFrame, catalog: DataFrame, uses: DataFrame) -> DataFrame:
     """(endpoint, object, field, consumer): what reads each field.
 

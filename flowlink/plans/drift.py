@@ -52,6 +52,21 @@ derive(
     """,
 )
 
+derive(
+    "workflow_maps",
+    """
+    SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN 'erp' ELSE p_brand END, '.', CASE WHEN p_partkey % 4 = 0 THEN 'Entity.x' ELSE p_type END) AS source,
+           CASE WHEN p_partkey % 5 = 0 THEN 'elsewhere' ELSE p_brand END AS trigger_endpoint, concat('ev', cast(p_partkey % 7 as string)) AS trigger_event,
+           concat('m', cast(p_partkey % 9 as string)) AS mapping, concat('t', cast(p_partkey as string)) AS target, concat('$trim(f', cast(p_partkey as string), ')') AS expression
+    FROM {part}
+    """,
+)
+derive("map_endpoints", "SELECT DISTINCT p_brand AS endpoint, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'erp' ELSE 'crm' END AS connector FROM {part}")
+derive(
+    "map_events",
+    "SELECT p_brand AS endpoint, concat('ev', cast(p_partkey % 7 as string)) AS event, CASE WHEN p_partkey % 7 = 6 THEN 'GONE' ELSE min(p_type) END AS object FROM {part} GROUP BY p_brand, p_partkey % 7",
+)
+
 _KEYS = "o.endpoint = n.endpoint AND o.object = n.object"
 DIFF = f"""
     oo AS (SELECT endpoint, object, bool_or(sampled) AS s FROM {{catalog_old}} GROUP BY endpoint, object),
@@ -126,6 +141,32 @@ def _(t):
     return fields.join(D.filled(docs).select("field", "present"), "field", "left")
 
 
+def declared_orders(t):
+    """Orders with what a database declares of its columns."""
+    said = {
+        "o_orderkey": {"key": True}, "o_custkey": {"link": "customer.c_custkey"},
+        "o_orderpriority": {"__CHAR_VARCHAR_TYPE_STRING": "varchar(15)"}, "o_totalprice": {"read_only": True},
+    }
+    return t["orders"].select(*[F.col(c).alias(c, metadata=said.get(c, {})) for c in t["orders"].columns])
+
+
+@query(
+    "d01_lengths_and_read_only",
+    "SELECT field, length, read_only FROM (SELECT column_name AS field, cast(CASE column_name WHEN 'o_orderpriority' THEN 15 ELSE 0 END as integer) AS length, column_name = 'o_totalprice' AS read_only FROM (DESCRIBE SELECT * FROM {orders}))",
+)
+def _(t):
+    return D.discover(declared_orders(t), "shop", "orders").select("field", "length", "read_only")
+
+
+@query(
+    "d01_keys_and_links",
+    """SELECT column_name AS field, column_name = 'o_orderkey' AS key, CASE column_name WHEN 'o_custkey' THEN 'customer' END AS link_to, CASE column_name WHEN 'o_custkey' THEN 'c_custkey' END AS link_field
+       FROM (DESCRIBE SELECT * FROM {orders}) WHERE column_name IN ('o_orderkey', 'o_custkey')""",
+)
+def _(t):
+    return D.discover_links(declared_orders(t), "shop", "orders").drop("endpoint", "object")
+
+
 @query("d02_diff_snapshots", f"WITH {DIFF} SELECT * FROM changes")
 def _(t):
     return changes(t)
@@ -141,6 +182,25 @@ def _(t):
     return usage(t)
 
 
+@query(
+    "j05_usage_through_events",
+    """
+    WITH m AS (SELECT *, split_part(source, '.', 1) AS system, substr(source, instr(source, '.') + 1) AS entity FROM {workflow_maps}),
+    obj AS (SELECT DISTINCT endpoint, object FROM {catalog_new}),
+    o AS (SELECT m.*, e.endpoint, d.object AS direct FROM m JOIN {map_endpoints} e ON m.system = e.endpoint OR m.system = e.connector
+          LEFT JOIN obj d ON d.endpoint = e.endpoint AND d.object = m.entity),
+    r AS (SELECT endpoint, direct AS object, mapping, target, expression FROM o WHERE direct IS NOT NULL
+          UNION ALL SELECT o.endpoint, v.object, mapping, target, expression FROM o JOIN {map_events} v ON v.endpoint = o.endpoint AND v.event = o.trigger_event
+            JOIN obj x ON x.endpoint = v.endpoint AND x.object = v.object WHERE direct IS NULL AND trigger_endpoint = o.endpoint)
+    SELECT DISTINCT r.endpoint, r.object, c.field, printf('mapping %s (%s)', mapping, target) AS consumer FROM r
+    JOIN {catalog_new} c ON c.endpoint = r.endpoint AND c.object = r.object AND c.field = regexp_extract(expression, 'f[0-9]+')
+    """,
+)
+def _(t):
+    maps = D.mapped_objects(t["workflow_maps"], t["map_endpoints"], t["catalog_new"], t["map_events"])
+    return D.field_usage(maps, t["catalog_new"], t["catalog_uses"].limit(0))
+
+
 @query("u02_union_of_usage", f"WITH {USAGE} SELECT endpoint, object, field, count(*) AS users FROM usage GROUP BY endpoint, object, field")
 def _(t):
     return usage(t).groupBy("endpoint", "object", "field").agg(F.count(F.lit(1)).alias("users"))
