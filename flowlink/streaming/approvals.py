@@ -19,11 +19,16 @@ DECISION = (
 MESSAGE = "run_id bigint, kind string, step int, digest string, status string, actor string, at_ms bigint"
 
 
+KEEP_MS = 7 * 86_400_000
+
+
 class Decide(StatefulProcessor):
     """Holds a run's pending request until a matching signal comes or its time is over.
 
     One state value per run, read and written once per trigger: each access is a call to
-    the state store.
+    the state store. A decided run is remembered for ``keep_ms`` past its time, so that
+    messages delivered again change nothing, and then forgotten; so are signals whose
+    request never came.
     """
 
     STATE = (
@@ -31,15 +36,17 @@ class Decide(StatefulProcessor):
         "early array<struct<step:int,digest:string,status:string,actor:string,at_ms:bigint>>"
     )
 
-    def __init__(self, timeout_ms: int):
+    def __init__(self, timeout_ms: int, keep_ms: int = KEEP_MS):
         self.timeout_ms = timeout_ms
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("approval", self.STATE)
 
-    def _close(self) -> None:
-        self.state.update((True, None, None, None, None))
+    def _close(self, end: int) -> None:
+        self.state.update((True, None, None, end + self.keep_ms, None))
+        self.handle.registerTimer(end + self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         known = self.state.get()
@@ -61,18 +68,27 @@ class Decide(StatefulProcessor):
             if fits:
                 _, _, status, actor, at = min(fits, key=lambda s: (s[4], s[2], s[3]))
                 verdict = "approved" if status == "approved" else "rejected"
-                self._close()
+                self._close(end)
                 yield Row(run_id=key[0], status=verdict, decided_by=actor, wait_ms=at - asked)
                 return
             signals = []
             if not asked_before:
                 self.handle.registerTimer(end)
+        elif signals:
+            self.handle.registerTimer(max(s[4] for s in signals) + self.keep_ms)
         self.state.update((False, *(request or (None, None, None)), signals))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.state.get()
-        if known is not None and not known[0] and known[3] is not None:
-            self._close()
+        if known is None:
+            return
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if known[0] or known[3] is None:
+            last = known[3] if known[0] else max((e[4] for e in known[4] or []), default=at - self.keep_ms) + self.keep_ms
+            if at >= last:
+                self.state.clear()
+        elif at >= known[3] + self.timeout_ms:
+            self._close(known[3] + self.timeout_ms)
             yield Row(run_id=key[0], status="rejected", decided_by=TIMEOUT_ACTOR, wait_ms=self.timeout_ms)
 
     def close(self) -> None:
