@@ -99,6 +99,16 @@ def _top(value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _summed(index: np.ndarray, source: np.ndarray, place: np.ndarray, size: int, step: int = 1 << 20) -> np.ndarray:
+    """Per index, the sum of ``source[place]``, column by column and a slice at a time."""
+    out = np.zeros((size, source.shape[1]))
+    for at in range(0, len(index), step):
+        i, p = index[at : at + step], place[at : at + step]
+        for d in range(source.shape[1]):
+            out[:, d] += np.bincount(i, source[:, d][p], size)
+    return out
+
+
 def train(rows: pa.Table, epochs: int = EPOCHS) -> Model:
     """Fits embeddings and softmax together.
 
@@ -126,14 +136,13 @@ def train(rows: pa.Table, epochs: int = EPOCHS) -> Model:
         bounds.append(spans.bounds[1:] + bounds[-1][-1])
         n_words = len(seen)
     gram_word, gram_bucket, sequence = (np.concatenate(x) for x in (gram_word, gram_bucket, sequence))
-    order = np.argsort(gram_word, kind="stable")
-    gram_word, gram_bucket = gram_word[order], gram_bucket[order]
     per_word = np.bincount(gram_word, minlength=n_words)
     # N-grams of few texts teach nothing that holds elsewhere: their vectors stay zero.
     texts_with = np.bincount(np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts]), n_words)
     usual = np.bincount(gram_bucket, texts_with[gram_word], BUCKETS) >= FEWEST
     kept = usual[gram_bucket]
     gram_word, gram_bucket = gram_word[kept], gram_bucket[kept]
+    del kept, counts, texts_with, seen
     bounds = np.concatenate(bounds)
     begin, row = passages(bounds)
     end = np.minimum(begin + PASSAGE, bounds[row + 1])
@@ -145,7 +154,7 @@ def train(rows: pa.Table, epochs: int = EPOCHS) -> Model:
     steps = Adam(vectors.shape, 0.1), Adam(soft.shape, 0.1), Adam(base.shape, 0.05)
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(epochs):
-        word = np.stack([np.bincount(gram_word, vectors[gram_bucket, d], n_words) for d in range(WIDTH)], 1) / per_word[:, None]
+        word = _summed(gram_word, vectors, gram_bucket, n_words) / per_word[:, None]
         margin = word @ (soft[:, 1] - soft[:, 0])
         total = np.concatenate([[0.0], np.cumsum(margin[sequence], dtype=np.float64)])
         top = _top((total[end] - total[begin]) / (end - begin), row, len(y))
