@@ -9,12 +9,9 @@ Shingles are ordered by a sketch of how common they are, rarest first.
 - *Large* sets scan the inverted lists of their prefix shingles, in which the small sets
   just below the boundary are entered too.
 
-The boundary is where the subsets of one more size would cost more than its scans, counted
-over all sets. A key (a subset or a shingle) with a very long list, as groups of copies make
-them, is not expanded into pairs: equal sets are one set; the sets of a key are compared
-with its lowest first, which joins copies into components; then, exactly, sets of a key that
-are in different components still are compared with each other. No link between two
-components can be missed, and none inside one is needed.
+The boundary is where subsets of small sets and scans of large ones move the least rows
+together, counted over all sets. Equal sets are one set; a key (a subset or a shingle) with
+a very long list, as groups of copies make them, is not expanded into pairs (``pairing``).
 """
 
 from __future__ import annotations
@@ -27,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlink.llm import arrays as A
-from flowlink.llm.components import components
-from flowlink.llm.shared import stored
+from flowlink.llm.pairing import Fits, resolve, sizes_fit
+from flowlink.llm.shared import bitmap_of, stored, wanted
 
 WORDS = 3
 PERCENT = 90
 SKETCH_BITS = 20  # counters of the commonness sketch: 4 MB, whatever the corpus
 WINDOW = 1 << 21  # shingles looked at together for the sketch
+PROFILE_BITS = 6  # of the hash ranges whose shingles are counted
+STEPS = 3  # size classes are so many times as wide as linked sizes can be apart
 LARGEST_SMALL = 512  # sizes up to which subsets are ever considered
 
 
@@ -87,7 +86,10 @@ def sketch_of(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix, scan): size, a 128-bit name of the set, its prefix and what scanning it costs.
+    """(doc_id, n, h1, h2, profile, prefix, met): a row per document.
+
+    The set's size, a 128-bit name of it, how many of its shingles fall into each of some
+    hash ranges, its prefix, and which share of that is common.
 
     Sets that can link with equal ones only have no prefix.
     """
@@ -99,44 +101,52 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
         common = sketch.value
         for batch in batches:
             for text in A.chunks(batch.column(1)):
-                sizes, first, second, scans, prefixes = [], [], [], [], []
+                sizes, first, second, shares, prefixes, profiles = [], [], [], [], [], []
                 for row in distinct_shingles(text, k):
                     n = len(row)
                     sizes.append(n)
+                    profiles.append(np.minimum(np.bincount((row >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=1 << PROFILE_BITS), 32767))
                     first.append(int(A.mix(row).sum(dtype=np.uint64)) if n else 0)
                     second.append(int(A.mix(row ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) if n else 0)
                     if n < alone:
                         prefixes.append(row[:0])
-                        scans.append(0.0)
+                        shares.append(0.0)
                         continue
                     met = common[(row >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     head = np.argsort(met, kind="stable")[: n - least_overlap(n, percent) + 2]
                     prefixes.append(row[head])
-                    scans.append(float((1.0 + met[head[:-1]]).sum()))
+                    shares.append(float((met[head] > 0).mean()))
                 bounds = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(text.first, text.rows), pa.array(sizes, pa.int32()),
                         pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(0, (len(sizes) + 1) << PROFILE_BITS, 1 << PROFILE_BITS, dtype=np.int32)),
+                            pa.array(np.concatenate(profiles).astype(np.int16)),
+                        ),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(prefixes).view(np.int64))),
-                        pa.array(scans, pa.float64()),
+                        pa.array(shares, pa.float64()),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "prefix", "scan"],
+                    names=["doc_id", "n", "h1", "h2", "profile", "prefix", "met"],
                 )
 
-    schema = "doc_id bigint, n int, h1 bigint, h2 bigint, prefix array<bigint>, scan double"
+    schema = "doc_id bigint, n int, h1 bigint, h2 bigint, profile array<smallint>, prefix array<bigint>, met double"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
 def boundary(sets: DataFrame, percent: int) -> int:
-    """The largest small size: where subsets up to it and scans beyond it cost least together.
+    """The largest small size: up to it subsets and beyond it scans move the least rows.
 
-    Subsets cost one row each; a scan costs its lists' lengths. Sums per size, over all sets.
+    A set has a row for each subset, or for each prefix shingle; and where those are met by
+    others' (a shingle by its share of common ones, a subset by that share squared) it is
+    itself moved to be compared, its size counting as rows. Sums per size, over all sets.
     """
-    size = F.size("prefix")
+    size, n, met = F.size("prefix"), F.col("n"), F.col("met")
+    subsets, scan = size * (size - 1) / 2 + n * met * met, size - 1 + n * met
     costs = (
-        sets.filter((size > 0) & (F.col("n") <= LARGEST_SMALL)).groupBy("n")
-        .agg(F.sum(size * (size - 1) / 2).alias("subsets"), F.sum("scan").alias("scan")).orderBy("n").collect()
+        sets.filter((size > 0) & (n <= LARGEST_SMALL)).groupBy("n").agg(F.sum(subsets).alias("subsets"), F.sum(scan).alias("scan"))
+        .orderBy("n").collect()
     )
     best, here, at = 0.0, 0.0, 0
     for r in costs:
@@ -148,44 +158,78 @@ def boundary(sets: DataFrame, percent: int) -> int:
 
 def keyed(sets: DataFrame, limit: int, percent: int) -> DataFrame:
     """(key, id, n): the subsets of small sets, and the list entries of large and nearly large ones."""
-    n, prefix = F.col("n"), F.col("prefix")
+    n = F.col("n")
     pairs = least_overlap(n, percent) >= 2
     small = sets.filter(pairs & (n <= limit))
     subsets = small.select(
         F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("i", "a"), "prefix"
     ).select("id", "n", "a", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("b"))
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    by_subset = subsets.select(F.xxhash64(least, most).alias("key"), "id", "n")
+    by_subset = subsets.select(F.struct(least.alias("a"), most.alias("b")).alias("key"), "id", "n")
     listed = sets.filter(~pairs | (n >= -(-(limit + 1) * percent // 100)))
-    by_list = listed.select(F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("key"), F.col("doc_id").alias("id"), "n")
-    return by_subset.unionByName(by_list)
+    by_list = listed.select(F.explode(F.slice("prefix", F.lit(1), n - least_overlap(n, percent) + 1)).alias("a"), F.col("doc_id").alias("id"), "n")
+    by_list = by_list.select(F.struct("a", F.lit(0).cast("bigint").alias("b")).alias("key"), "id", "n")
+    # Sets link only if their sizes are close: keys of other size classes never meet. A set
+    # that may link with one of the next class is entered there too.
+    wide = STEPS * float(np.log(100 / percent)) if percent < 100 else 1e-9
+    own, last = F.floor(F.log("n") / wide), F.floor(F.log(n * 100 / percent) / wide)
+    classes = F.array_distinct(F.array(own, last))
+    every = by_subset.unionByName(by_list).select("key", "id", "n", F.explode(classes).alias("class"))
+    return every.select(F.xxhash64("key.a", "key.b", "class").alias("key"), "id", "n")
+
 
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the documents whose ids are given; by chance of a few others too.
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, tokens) of the documents whose ids are wanted."""
+    A bitmap of fixed size tells which texts to look at, so none has to be shuffled.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(F.xxhash64("id").alias("h"))))
 
-    @F.arrow_udf("array<bigint>")
-    def tokens(texts: pa.Array) -> pa.Array:
-        rows = [r for text in A.chunks(texts) for r in distinct_shingles(text, k)]
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = pa.array(wanted(bitmap.value, batch.column(2).to_numpy().view(np.uint64)))
+            found, texts = batch.column(0).filter(asked), batch.column(1).filter(asked)
+            for text in A.chunks(texts):
+                rows = list(distinct_shingles(text, k))
+                bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                flat = np.concatenate(rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [found.slice(text.first, text.rows), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["id", "tokens"]
+                )
 
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    return found.select("id", tokens("text").alias("tokens"))
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    return named.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(tokens, "id bigint, tokens array<bigint>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose sets truly link."""
-    left = sets.select(F.col("id").alias("u"), F.col("tokens").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("tokens").alias("b"))
-    both = pairs.join(left, "u").join(right, "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+def profiles_fit(percent: int) -> Fits:
+    """Whether two sides' profiles differ by no more than linked sets of their sizes do."""
 
+    def fits(a: str, b: str) -> Column:
+        gaps = F.zip_with(f"{a}.detail", f"{b}.detail", lambda x, y: F.abs(x - y))
+        apart = F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
+        return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
-def _fit(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return fits
+
+
+def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose sets truly link.
+
+    Where sets link, their profiles differ by no more than the sets do: that leaves few
+    pairs that don't link, and only those left are compared shingle by shingle.
+    """
+    known = sets.filter(F.size("prefix") > 0).select("doc_id", "n", "profile")
+    left = known.select(F.col("doc_id").alias("u"), F.col("n"), F.col("profile").alias("detail")).alias("l")
+    right = known.select(F.col("doc_id").alias("v"), F.col("n"), F.col("profile").alias("detail")).alias("r")
+    close = pairs.join(left, "u").join(right, "v").filter(profiles_fit(percent)("l", "r"))
+    close = stored(close.select("u", "v").distinct(), "jaccard-close")
+    ids = close.select(F.explode(F.array("u", "v")).alias("id"))
+    tokens = stored(shingle_sets(docs, ids, k), "jaccard-tokens")
+    a = tokens.select(F.col("id").alias("u"), F.col("tokens").alias("a"))
+    b = tokens.select(F.col("id").alias("v"), F.col("tokens").alias("b"))
+    both = close.join(a, "u").join(b, "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
 def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -207,35 +251,13 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     firsts = sets.filter(F.size("prefix") > 0).join(
         equal.select(F.col("first").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi"
     )
+
     entries = keyed(firsts, boundary(sets, percent), percent)
-    # Keys of one set only are most of them: gone here.
-    lists = stored(
-        entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low"),
-        "jaccard-lists",
-    )
-    shared = stored(entries.join(lists, "key"), "jaccard-entries")
-    sizes = equal.select(F.col("first").alias("low"), F.col("n").alias("low_n"))
-    wanted = shared.select("id").distinct()
-    tokens = stored(shingle_sets(docs, wanted, k), "jaccard-tokens")
-    stars = shared.filter("id <> low").select("id", "n", "low").distinct().join(sizes, "low").filter(_fit("n", "low_n", percent))
-    links = stored(linked(stars.select(F.col("id").alias("u"), F.col("low").alias("v")), tokens, percent), "jaccard-links")
-    # What is in different components still may link; what is in one need not be looked at.
-    groups = stored(components(links), "jaccard-components")
-    placed = shared.select("key", "id", "n").distinct().join(
-        groups.select(F.col("node").alias("id"), "component"), "id", "left"
-    ).withColumn("component", F.coalesce("component", "id"))
-    placed = stored(placed, "jaccard-placed")
-    mixed = stored(
-        placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"), "jaccard-mixed"
+    details = firsts.select(F.col("doc_id").alias("id"), F.col("profile").alias("detail")).dropDuplicates(["id"])
+    whole = resolve(
+        entries, lambda _: lambda pairs: linked(pairs, sets, docs, k, percent), sizes_fit(percent), "jaccard",
+        details=details, near=profiles_fit(percent),
     )
-    open_ = stored(placed.join(mixed, "key", "left_semi"), "jaccard-open")
-    left, right = open_.alias("l"), open_.alias("r")
-    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & _fit("l.n", "r.n", percent)
-    rest = left.join(right, apart).select(F.col("l.id").alias("u"), F.col("r.id").alias("v")).distinct()
-    done = stars.select(F.col("id").alias("u"), F.col("low").alias("v"))
-    rest = rest.join(done, ["u", "v"], "left_anti").join(done.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    more = stored(linked(rest, tokens, percent), "jaccard-more")
-    whole = groups if more.isEmpty() else stored(components(links.unionByName(more)), "jaccard-all")
     rows = sets.alias("s").join(equal.alias("e"), [F.col(f"s.{c}") == F.col(f"e.{c}") for c in names], "left").select(
         "s.doc_id", "s.n", "e.first"
     )

@@ -2,60 +2,110 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlink.llm.components import components
-from flowlink.llm.shared import stored
+from flowlink.llm.shared import bitmap_of, stored, wanted
 
 Check = Callable[[DataFrame], DataFrame]
+Fits = Callable[[str, str], Column]
 
 
-def fits(a: str, b: str, percent: int) -> Column:
+def sizes_fit(percent: int) -> Fits:
     """Whether sets of these sizes can have that Jaccard similarity at all."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def resolve(entries: DataFrame, prepare: Callable[[DataFrame], Check], percent: int, name: str) -> DataFrame:
+def _lowest(entries: DataFrame) -> DataFrame:
+    """(key, low) of the keys that several ids share."""
+    return entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
+
+
+def _held(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """The entries whose keys are listed, and by chance a few others: a bitmap of fixed size tells."""
+    bitmap = entries.sparkSession.sparkContext.broadcast(bitmap_of(lists.select(F.col("key").alias("h"))))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(bitmap.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return entries.mapInArrow(rows, entries.schema)
+
+
+def resolve(
+    entries: DataFrame, prepare: Callable[[DataFrame], Check], fits: Fits, name: str, largest: int | None = None,
+    details: DataFrame | None = None, near: Fits | None = None, held: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(node, component) of the ids that some verified link touches.
 
-    ``entries`` is (key, id, n): things that share a key may link if their sizes ``n`` fit.
-    ``prepare`` gets the ids (id) that may take part and returns what verifies pairs (u, v)
-    of them, giving back those that link.
+    ``entries`` is (key, id, n): things that share a key may link if what is known of them,
+    ``n``, fits. ``prepare`` gets the ids (id) that may take part and returns what verifies
+    pairs (u, v) of them, giving back those that link.
 
     First each thing is compared with the lowest of each of its keys: as many pairs as
     entries, and enough to join groups of copies. Then things of one key that are in
     different components still are compared, all of them; inside a component no link is
     needed. So no link between components is missed, and a key that one group of copies
     fills costs its length, not its square.
+
+    ``details`` (id, detail), one row per id, and ``near`` may tell more closely which things
+    of one key can link; only those leave the join that compares a key's things.
+
+    ``held`` may give the entries of listed keys (key) more directly than from ``entries``,
+    which then need no ``n``.
+
+    Where keys are a hash's chance meetings anyway, ``largest`` is the number of things in a
+    key up to which that second comparison is done. In longer ones, things that share two
+    keys are compared with the lowest that shares both: a finer hash instead of all pairs.
     """
-    # Most keys have one id only; they go before anything is kept.
-    lists = stored(
-        entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low"),
-        f"{name}-lists",
-    )
-    shared = stored(entries.join(lists, "key").distinct(), f"{name}-entries")
-    sizes = stored(shared.groupBy("id").agg(F.max("n").alias("n")), f"{name}-sizes")
-    check = prepare(sizes.select("id"))
-    stars = shared.filter("id <> low").select("id", "n", "low").distinct().join(
-        sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n")), "low"
-    )
-    done = stored(stars.filter(fits("n", "low_n", percent)).select(F.col("id").alias("u"), F.col("low").alias("v")), f"{name}-stars")
+    # Most keys have one id only; they go before anything is kept, most of them unshuffled.
+    lists = stored(_lowest(entries), f"{name}-lists")
+    found = _held(entries.select("key", "id", "n"), lists) if held is None else held(lists)
+    shared = stored(found.join(lists, "key").distinct(), f"{name}-entries")
+    known = stored(shared.select("id", "n").distinct(), f"{name}-known")
+    check = prepare(known.select("id").distinct())
+
+    def starred(members: DataFrame) -> DataFrame:
+        """(u, v): members and the lowest of their key, where that fits."""
+        pairs = members.filter("id <> low").select("id", "n", "low").distinct()
+        lows = known.select(F.col("id").alias("low"), F.col("n").alias("low_n"))
+        return pairs.join(lows, "low").filter(fits("n", "low_n")).select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
+
+    done = stored(starred(shared), f"{name}-stars")
     links = stored(check(done), f"{name}-links")
     groups = stored(components(links), f"{name}-groups")
+    of = groups.select(F.col("node").alias("id"), "component")
     placed = stored(
-        shared.select("key", "id", "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id")),
-        f"{name}-placed",
+        shared.select("key", "id", "n").join(of, "id", "left").withColumn("component", F.coalesce("component", "id")), f"{name}-placed"
+    )
+    mixed = stored(
+        placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("many"))
+        .filter("a <> b").select("key", "many"),
+        f"{name}-mixed",
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    undecided = stored(placed.join(stored(mixed, f"{name}-mixed"), "key", "left_semi"), f"{name}-undecided")
-    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & fits("l.n", "r.n", percent)
-    pairs = undecided.alias("l").join(undecided.alias("r"), apart).select(
-        F.least("l.id", "r.id").alias("v"), F.greatest("l.id", "r.id").alias("u")
+    short = mixed if largest is None else mixed.filter(F.col("many") <= largest)
+    undecided = placed.join(short.select("key"), "key", "left_semi")
+    if details is not None:
+        undecided = undecided.join(details, "id")
+    undecided = stored(undecided, f"{name}-undecided")
+    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & fits("l.n", "r.n")
+    if near is not None:
+        apart = apart & near("l", "r")
+    rest = undecided.alias("l").join(undecided.alias("r"), apart).select(
+        F.greatest("l.id", "r.id").alias("u"), F.least("l.id", "r.id").alias("v")
     ).distinct()
-    rest = pairs.select("u", "v").join(done, ["u", "v"], "left_anti")  # a star's centre is its lower end
+    if largest is not None:
+        long = placed.join(mixed.filter(F.col("many") > largest).select("key"), "key", "left_semi").select("id", "n", F.col("key").alias("long"))
+        finer = long.join(shared.select("id", F.col("key").alias("other")), "id").filter("long <> other").select(
+            F.xxhash64(F.least("long", "other"), F.greatest("long", "other")).alias("key"), "id", "n"
+        )
+        finer = stored(finer.distinct(), f"{name}-finer")
+        rest = rest.unionByName(starred(finer.join(stored(_lowest(finer), f"{name}-finer-lists"), "key"))).distinct()
+    rest = rest.join(done, ["u", "v"], "left_anti")  # a star's centre is its lower end
     more = stored(check(rest), f"{name}-more")
     return groups if more.isEmpty() else stored(components(links.unionByName(more)), f"{name}-whole")

@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from flowlink.session import scratch
 
+FILTER_BITS = 26  # of the bitmap that says which hashes are wanted: 8 MB, however many there are
+
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """A table written once and read again: later jobs start from it, whoever is lost."""
     path = scratch(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of a column ``h`` of hashes: what isn't in it isn't wanted.
+
+    Its words are combined before the shuffle; at most 2 ** 20 of them reach the driver.
+    """
+    place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")
+    words = hashes.select(F.shiftright(place, 6).cast("int").alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def wanted(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be wanted."""
+    at = hashes >> np.uint64(64 - FILTER_BITS)
+    return ((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
