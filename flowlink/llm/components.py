@@ -28,24 +28,32 @@ def small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(low.select("u", F.col("low").alias("v")))
 
 
+PART = 100_000  # edges that a task writes, roughly
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, which hangs on none: its component's lowest."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hung = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return twice.select("u").unionByName(hung).isEmpty()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node that an edge touches; a component is its lowest node.
 
     ``edges`` is (u, v), of any orderable type; loops, repeats and both directions may occur.
-    Rounds of large and small stars until nothing changes; each is a minimum per node, taken
-    before the shuffle, and a join with one row per node, so a node with very many
-    neighbours is neither gathered nor a task's own burden. Every round's edges are written
-    to the shared folder, which cuts the lineage. Rounds grow with the logarithm of the
-    longest chain; past ``most`` an error is raised rather than a wrong answer given.
+    Rounds of large and small stars until each node hangs on its root; each is a minimum per
+    node, taken before the shuffle, and a join with one row per node, so a node with very
+    many neighbours is neither gathered nor a task's own burden. Every round's edges are
+    written to the shared folder, which cuts the lineage. Rounds grow with the logarithm of
+    the longest chain; past ``most`` an error is raised rather than a wrong answer given.
     """
-    now = stored(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).filter("u <> v").distinct(), "links")
-    before = None
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     for _ in range(most):
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).collect()[0]
-        if mark == before or mark["n"] == 0:
-            return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = mark
-        now = stored(small_star(large_star(now)).distinct(), "links")
+        if _settled(now):
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        # A few edges need not be as many files as a large table's shuffle has parts.
+        parts = max(8, now.count() // PART)
+        now = stored(small_star(large_star(now)).distinct().coalesce(parts), "links")
     raise RuntimeError(f"components did not settle in {most} rounds")
