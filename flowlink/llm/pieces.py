@@ -9,7 +9,7 @@ given, never trained.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -19,10 +19,16 @@ import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from flowlink.llm import arrays as A
 
 SPACE = "▁".encode()  # what stands for a space in pieces
 
-RESULT = "struct<ids:array<int>,starts:array<int>,ends:array<int>,decoded:string>"
+NUMBERS = ArrayType(IntegerType())
+RESULT = StructType(
+    [StructField(n, NUMBERS) for n in ("ids", "starts", "ends")] + [StructField("decoded", StringType())]
+)
 
 
 class Rules(NamedTuple):
@@ -238,22 +244,33 @@ def encoded(texts: pa.Array, model: Encoder) -> pa.StructArray:
     )
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", into: str = "pieces") -> DataFrame:
+def encode(
+    docs: DataFrame, model_path: str, text: str = "text", into: str = "pieces", keep: Sequence[str] | None = None
+) -> DataFrame:
     """``docs`` with a struct column ``into``: ids, starts, ends, decoded.
 
     ``ids`` are those of the library with the end id only and without sampling; ``starts``
     and ``ends`` are byte offsets in the UTF-8 source; ``decoded`` is the library's decoding
-    of the ids. Null and empty texts have the end id alone. All other columns stay; one
-    named as ``into`` is replaced. An empty table stays empty. Each row is encoded by itself:
-    no shuffle, and a lost executor's rows are simply encoded again.
+    of the ids. Null and empty texts have the end id alone. All other columns stay (or those
+    named in ``keep``); one named as ``into`` is replaced. An empty table stays empty. Each
+    row is encoded by itself: no shuffle, and a lost executor's rows are simply encoded
+    again. Results leave in batches of about ``CHUNK`` bytes of text, which bounds memory.
 
     The model file is read on the driver and shipped by Spark to every executor.
     """
     docs.sparkSession.sparkContext.addFile(model_path)
     name = model_path.rsplit("/", 1)[-1]
-
-    @F.arrow_udf(RESULT)
-    def run(texts: pa.Array) -> pa.Array:
-        return encoded(texts, encoder(name))
-
-    return docs.withColumn(into, run(F.col(text)))
+    kept = [c for c in (docs.columns if keep is None else keep) if c != into]
+    rows = docs.select(*kept, F.col(text).alias("_text"))
+    schema = StructType([*rows.select(*kept).schema.fields, StructField(into, RESULT)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(name)
+        for batch in batches:
+            texts = batch.column(len(kept))
+            for part in A.chunks(texts):
+                found = encoded(texts.slice(part.first, part.rows), model)
+                columns = [batch.column(i).slice(part.first, part.rows) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, found], names=[*kept, into])
+
+    return rows.mapInArrow(run, schema)

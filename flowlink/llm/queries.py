@@ -40,8 +40,8 @@ def digest(values: Column, separator: str = ",") -> Column:
 
 @query("op1_sentencepiece")
 def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, folder, "documents")
+    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     spans = F.concat(F.col("pieces.starts"), F.col("pieces.ends"))
     return found.select(
         "doc_id",
