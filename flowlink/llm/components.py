@@ -49,11 +49,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     the longest chain; past ``most`` an error is raised rather than a wrong answer given.
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    # A few edges need not be as many files as a large table's shuffle has parts; rounds add none.
+    parts = max(8, now.count() // PART)
     for _ in range(most):
         if _settled(now):
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        # A few edges need not be as many files as a large table's shuffle has parts.
-        parts = max(8, now.count() // PART)
         now = stored(small_star(large_star(now)).distinct().coalesce(parts), "links")
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlink.session import scratch
 
-FILTER_BITS = 26  # of the bitmap that says which hashes are wanted: 8 MB, however many there are
+FILTER_BITS = 24  # of the bitmap that says which hashes are wanted: 2 MB, however many there are
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -21,7 +21,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
     """A bitmap of fixed size of a column ``h`` of hashes: what isn't in it isn't wanted.
 
-    Its words are combined before the shuffle; at most 2 ** 20 of them reach the driver.
+    Its words are combined before the shuffle; at most 2 ** 18 of them reach the driver.
     """
     place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")
