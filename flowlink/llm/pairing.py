@@ -40,6 +40,7 @@ def _held(entries: DataFrame, lists: DataFrame) -> DataFrame:
 def resolve(
     entries: DataFrame, prepare: Callable[[DataFrame], Check], fits: Fits, name: str, largest: int | None = None,
     details: DataFrame | None = None, near: Fits | None = None, held: Callable[[DataFrame], DataFrame] | None = None,
+    split: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of the ids that some verified link touches.
 
@@ -59,9 +60,10 @@ def resolve(
     ``held`` may give the entries of listed keys (key) more directly than from ``entries``,
     which then need no ``n``.
 
-    Where keys are a hash's chance meetings anyway, ``largest`` is the number of things in a
-    key up to which that second comparison is done. In longer ones, things that share two
-    keys are compared with the lowest that shares both: a finer hash instead of all pairs.
+    Where keys are a hash's chance meetings, ``largest`` is the number of things in a key up
+    to which its things are compared directly. Those of longer keys get further keys (key, id)
+    from ``split``, given their ids (id): any two that link share one of those, so comparing
+    what shares one misses no link.
     """
     # Most keys have one id only; they go before anything is kept, most of them unshuffled.
     lists = stored(_lowest(entries), f"{name}-lists")
@@ -94,18 +96,21 @@ def resolve(
         undecided = undecided.join(details, "id")
     undecided = stored(undecided, f"{name}-undecided")
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & fits("l.n", "r.n")
-    if near is not None:
-        apart = apart & near("l", "r")
-    rest = undecided.alias("l").join(undecided.alias("r"), apart).select(
-        F.greatest("l.id", "r.id").alias("u"), F.least("l.id", "r.id").alias("v")
-    ).distinct()
-    if largest is not None:
-        long = placed.join(mixed.filter(F.col("many") > largest).select("key"), "key", "left_semi").select("id", "n", F.col("key").alias("long"))
-        finer = long.join(shared.select("id", F.col("key").alias("other")), "id").filter("long <> other").select(
-            F.xxhash64(F.least("long", "other"), F.greatest("long", "other")).alias("key"), "id", "n"
+
+    def crossed(members: DataFrame, close: Column) -> DataFrame:
+        """(u, v): members of one key in different components, where that fits."""
+        return members.alias("l").join(members.alias("r"), close).select(
+            F.greatest("l.id", "r.id").alias("u"), F.least("l.id", "r.id").alias("v")
         )
-        finer = stored(finer.distinct(), f"{name}-finer")
-        rest = rest.unionByName(starred(finer.join(stored(_lowest(finer), f"{name}-finer-lists"), "key"))).distinct()
+
+    rest = crossed(undecided, apart if near is None else apart & near("l", "r")).distinct()
+    if largest is not None:
+        long = placed.join(mixed.filter(F.col("many") > largest).select("key"), "key", "left_semi")
+        long = stored(long.select("id", "n", "component").distinct(), f"{name}-long")
+        finer = stored(split(long.select("id")).join(long, "id"), f"{name}-finer")
+        several = finer.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+        finer = stored(finer.join(several, "key", "left_semi"), f"{name}-finer-mixed")
+        rest = rest.unionByName(crossed(finer, apart)).distinct()
     rest = rest.join(done, ["u", "v"], "left_anti")  # a star's centre is its lower end
     more = stored(check(rest), f"{name}-more")
     return groups if more.isEmpty() else stored(components(links.unionByName(more)), f"{name}-whole")
