@@ -1,6 +1,7 @@
 """Secret scans (operator 5): fixed patterns, and novelty under a primed compressor.
 
-A candidate is a long run of token characters with digits in a sensitive context. It is
+A candidate is a long run of token characters with digits in a sensitive context, cut at its
+inner ``=`` signs, so an unspaced ``NAME=value`` has its name as context. It is
 compressed by zstandard primed with the text around it and a dictionary of identifiers:
 what repeats its surroundings or is made of known names costs few bytes, a random key costs
 nearly all of its own. Candidates whose marginal bytes stay high are reported.
@@ -89,6 +90,19 @@ def novel_spans(text: str, candidates: list[tuple[int, int]], least: float = NOV
     return out
 
 
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+
+
+def values(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a run between its inner ``=`` signs that can be keys; padding at its end stays."""
+    out = []
+    for m in PART.finditer(text[start:end]):
+        told = m[0]
+        if len(told) >= SHORTEST and re.search("[0-9]", told) and re.search("[A-Za-z]", told):
+            out.append((start + m.start(), start + m.end()))
+    return out
+
+
 def _runs(mask: np.ndarray, text: A.Text, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of at least ``least`` true bytes within a row."""
     spans = A.words(text, ~mask)
@@ -120,7 +134,10 @@ def scan(texts: pa.Array, least: float = NOVELTY) -> list[list[tuple[str, int, i
         for i in maybe:
             lo, hi = int(text.bounds[i]), int(text.bounds[i + 1])
             piece = raw[lo:hi].decode()
-            here = [(len(raw[lo:a].decode()), len(raw[lo:b].decode())) for a, b in zip(starts[row == i].tolist(), ends[row == i].tolist())]
+            here = [
+                part for a, b in zip(starts[row == i].tolist(), ends[row == i].tolist())
+                for part in values(piece, len(raw[lo:a].decode()), len(raw[lo:b].decode()))
+            ]
             found = [(*s, None) for s in base_spans(piece)] + novel_spans(piece, here, least)
             spans[i] = sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
         out += spans

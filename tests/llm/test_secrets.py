@@ -51,6 +51,18 @@ def test_random_keys_in_sensitive_places_are_novel():
     assert secrets.scan(pa.array(["auth request_handler_response_timeout_00000000"]))[0] == []
 
 
+def test_an_unspaced_name_is_the_context_of_its_value():
+    key = base64.b64encode(hashlib.sha512(b"y").digest()).decode()[:39] + "="
+    for name in ("AWS_SECRET_ACCESS_KEY", "PRIVATE_KEY", "AUTH", "?session"):
+        told = f"{name}={key}\nnext line"
+        novel = [s[1:3] for s in secrets.scan(pa.array([told]))[0] if s[0] == "novel"]
+        assert novel == [(len(name) + 1, len(name) + 1 + len(key))], name
+    # A key that another assignment follows, and a name that isn't sensitive.
+    told = f"auth={key[:39]}=on"
+    assert [s[1:3] for s in secrets.scan(pa.array([told]))[0]] == [(5, 44)]
+    assert secrets.scan(pa.array([f"picture={key}"]))[0] == []
+
+
 def test_operator_keeps_rows_and_other_columns(spark, odd):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(odd)], "doc_id bigint, text string, secrets int")
     out = secrets.find_secrets(docs)
