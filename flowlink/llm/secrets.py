@@ -3,13 +3,14 @@
 A candidate is a long run of token characters with digits in a sensitive context, cut at its
 inner ``=`` signs, so an unspaced ``NAME=value`` has its name as context. It is
 compressed by zstandard primed with the text around it and a dictionary of identifiers:
-what repeats its surroundings or is made of known names costs few bytes, a random key costs
-nearly all of its own. Candidates whose marginal bytes stay high are reported.
+what repeats its surroundings or is made of known names costs few bytes, a random key as many
+as any random characters of its alphabet. Candidates that cost nearly that are reported.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ SENSITIVE = re.compile(
 NEAR = 48  # code points before a candidate that count as its context
 AROUND = 2048  # code points on each side that prime the compressor
 SHORTEST = 16
-NOVELTY = 0.8  # marginal bytes per byte of the candidate: about 1 for random keys, 0.7 for known names run together
+NOVELTY = 0.8  # marginal bytes, by those of random characters: about 1 for random keys, 0.7 for known names run together
+DRAWS = 4  # random strings that tell what a length and alphabet cost
 
 IDENTIFIERS = " ".join(
     "abstract access account address api_key application argument array assert async attribute authorization await "
@@ -60,6 +62,13 @@ LETTER[65:91] = LETTER[97:123] = True
 HEXES = np.zeros(256, bool)
 HEXES[48:58] = HEXES[97:103] = True
 
+# What keys are written in, smallest first.
+ALPHABETS = [
+    "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567",
+    "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz",
+    "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-",
+]
+
 RESULT = "array<struct<kind:string,start:bigint,end:bigint,novelty:double>>"
 
 
@@ -70,13 +79,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def marginal(told: bytes, primer: bytes) -> int:
+    """Compressed bytes of ``told`` beyond those of nothing, given ``primer``."""
+    primed = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return max(0, len(press.compress(told)) - len(press.compress(b"")))
+
+
+@lru_cache(maxsize=4096)
+def random_cost(length: int, alphabet: str) -> float:
+    """What as many random characters of that alphabet cost, on average: zstandard packs long ones closer."""
+    draw = np.random.default_rng(length)
+    letters = np.frombuffer(alphabet.encode(), np.uint8)
+    return sum(marginal(letters[draw.integers(0, len(letters), length)].tobytes(), IDENTIFIERS) for _ in range(DRAWS)) / DRAWS
+
+
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes of text[start:end], per byte, given what surrounds it."""
+    """Marginal compressed bytes of text[start:end], given what surrounds it, by those of random characters of its alphabet."""
     around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    told = text[start:end].encode()
-    return max(0, len(press.compress(told)) - len(press.compress(b""))) / len(told)
+    told = text[start:end]
+    used = set(told.rstrip("="))
+    alphabet = next(a for a in ALPHABETS if used.issubset(a))
+    return marginal(told.encode(), IDENTIFIERS + b" " + around.encode()) / random_cost(len(told), alphabet)
 
 
 def novel_spans(text: str, candidates: list[tuple[int, int]], least: float = NOVELTY) -> list[tuple[str, int, int, float]]:

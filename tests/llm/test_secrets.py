@@ -63,6 +63,23 @@ def test_an_unspaced_name_is_the_context_of_its_value():
     assert secrets.scan(pa.array([f"picture={key}"]))[0] == []
 
 
+def test_random_keys_of_every_length_and_alphabet_are_novel():
+    draw = random.Random(8)
+    for length in (16, 24, 40, 64, 128, 256, 1024, 4096):
+        for size in (8, 10, 12):
+            raw = [draw.randbytes(length) for _ in range(5)]
+            code = {8: lambda b: b.hex().upper(), 10: lambda b: base64.b32encode(b).decode(), 12: lambda b: base64.b64encode(b).decode()}[size]
+            for b in raw:
+                key = code(b)[: length - 1] + "7A"[length % 2]
+                told = f"private key {key}\n"
+                assert "novel" in [s[0] for s in secrets.scan(pa.array([told]))[0]], (length, key)
+    # Long runs of known names, or that repeat themselves, are not.
+    names = [w for w in secrets.IDENTIFIERS.decode().split() if w.isalpha()]
+    for length in (8, 32, 128):
+        told = "auth " + "_".join(draw.choice(names) for _ in range(length)) + "_2\nauth " + "Ab3" * length
+        assert secrets.scan(pa.array([told]))[0] == [], told
+
+
 def test_operator_keeps_rows_and_other_columns(spark, odd):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(odd)], "doc_id bigint, text string, secrets int")
     out = secrets.find_secrets(docs)
