@@ -2,9 +2,9 @@
 
 Paths are cut into segments. Segments that are variable by their form (numbers, hexadecimal
 ids, long slugs) are wildcards from the start, so a host of millions of articles is a few
-patterns before anything is shuffled. Going down from the host, a segment stays a branch of
-its own only if it is frequent among its siblings and the share of bad labels below it
-differs from theirs beyond chance; similar branches merge into the wildcard. Each template
+patterns before anything is shuffled. Going down from the host, as deep as paths go, a
+segment stays a branch of its own only if the share of bad labels below it differs from its
+siblings' beyond chance; similar branches merge into the wildcard. Each template
 left has a purity: its bad labels among all its labels, smoothed towards its host's, which is
 smoothed towards that of all hosts. Impure templates are rejected. DataFrame functions only.
 """
@@ -20,10 +20,12 @@ from flowlink.llm.shared import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-DEPTH = 8  # levels of the tree; what lies deeper is one last wildcard
-FREQUENT = 0.05  # share of its siblings' URLs that a branch needs
+# No bounds of the tree: the names stay for those who read them.
+DEPTH = (1 << 31) - 1  # levels: all that an array can have
+FREQUENT = 0.0  # share of its siblings' URLs that a branch needs
 LEAST = 10  # URLs that a branch needs
 APART = 2.58  # standard errors between a branch and its siblings that are beyond chance
+SIBLINGS = 20  # branches up to which that holds; among more, chance goes further
 WEIGHT = 4.0  # labels that the smoothing counts as
 IMPURE = 0.5
 SALTS = 32
@@ -57,51 +59,75 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
 
 
 def pattern_of(path: Column) -> Column:
-    """A path's segments, those variable by form as ``*`` and their extension; at most DEPTH + 1."""
+    """A path's segments, those variable by form as ``*`` and their extension."""
     segments = F.array_remove(F.split(path, "/"), "")
-    shown = F.transform(
+    return F.transform(
         segments,
         lambda s: F.when(
             s.rlike(r"^([0-9]+|[0-9a-fA-F-]{16,}|.*[0-9].*[0-9].*[0-9].*|.{40,}|([^-]+-){3,}[^-]+)(\.[A-Za-z]{1,5})?$"),
             F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]{1,5}$", 0)),
         ).otherwise(s),
     )
-    return F.when(F.size(shown) <= DEPTH, shown).otherwise(F.concat(F.slice(shown, 1, DEPTH), F.array(F.lit("**"))))
 
 
-def _apart(bad: Column, known: Column, all_bad: Column, all_known: Column) -> Column:
-    """Whether a branch's share of bad labels differs from its siblings' beyond chance."""
+def _apart(bad: Column, known: Column, all_bad: Column, all_known: Column, siblings: Column) -> Column:
+    """Whether a branch's share of bad labels differs from its siblings' beyond chance.
+
+    The bar grows with the branches, as the largest of many errors does.
+    """
     rest, rest_bad = all_known - known, all_bad - bad
     share = F.try_divide(all_bad, all_known)
     error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), known) + F.try_divide(F.lit(1), rest)))
     gap = F.abs(F.try_divide(bad, known) - F.try_divide(rest_bad, rest))
-    return F.coalesce((error > 0) & (gap >= APART * error), F.lit(False))
+    bar = F.when(siblings <= SIBLINGS, F.lit(APART)).otherwise(F.sqrt(F.lit(APART**2) + 2 * F.log(siblings / SIBLINGS)))
+    return F.coalesce((error > 0) & (gap >= bar * error), F.lit(False))
+
+
+def _wild(segment: Column) -> Column:
+    return F.when(segment.startswith("*"), segment).otherwise(F.lit("*"))
 
 
 def templates(patterns: DataFrame) -> DataFrame:
     """(host, pattern, n, known, bad, template): which template of its host a pattern belongs to.
 
     Level by level; each level's branches and their parents are sums over patterns, so a
-    host with very many URLs weighs no more than its patterns do.
+    host with very many URLs weighs no more than its patterns do. Where no branch can differ
+    any more (labels all alike, one pattern, or too few URLs) all deeper levels are wildcards
+    and are written at once, so a few very long paths cost no levels.
     """
-    depth = patterns.agg(F.max(F.size("pattern"))).collect()[0][0] or 0
-    now = patterns.withColumn("template", F.lit(""))
     sums = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
-    for level in range(1, depth + 1):
-        segment = F.get("pattern", F.lit(level - 1))
-        now = now.withColumn("segment", segment)
-        branch = stored(now.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums), "url-branches")
-        parent = stored(branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad")]), "url-parents")
-        own = (F.col("n") >= LEAST) & (F.col("n") >= FREQUENT * F.col("all_n")) & _apart(
-            F.col("bad"), F.col("known"), F.col("all_bad"), F.col("all_known")
+    now, done, level = patterns.withColumn("template", F.lit("")), [], 0
+    while True:
+        level += 1
+        all_ = now.filter(F.size("pattern") >= level).groupBy("host", "template").agg(
+            *[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad")], F.count(F.lit(1)).alias("patterns")
+        )
+        parent = stored(
+            all_.filter((F.col("patterns") > 1) & (F.col("all_n") > LEAST) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_known"))),
+            "url-parents",
         )
-        wild = F.when(F.col("segment").startswith("*"), F.col("segment")).otherwise(F.lit("*"))
-        grown = branch.join(parent, ["host", "template"]).select(
-            "host", "template", "segment", F.concat("template", F.lit("/"), F.when(own, F.col("segment")).otherwise(wild)).alias("grown")
+        closed = now.join(parent.select("host", "template"), ["host", "template"], "left_anti")
+        rest = F.transform(F.slice("pattern", F.lit(level), F.greatest(F.size("pattern") - (level - 1), F.lit(0))), lambda s: F.concat(F.lit("/"), _wild(s)))
+        done.append(stored(closed.withColumn("template", F.concat("template", F.array_join(rest, ""))).select(*now.columns), "url-closed"))
+        if parent.isEmpty():
+            break
+        now = now.join(parent.select("host", "template"), ["host", "template"], "left_semi").withColumn("segment", F.get("pattern", F.lit(level - 1)))
+        branch = stored(now.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums), "url-branches")
+        siblings = branch.groupBy("host", "template").agg(F.count_if(F.col("n") >= LEAST).alias("siblings"))
+        own = (F.col("n") >= LEAST) & _apart(F.col("bad"), F.col("known"), F.col("all_bad"), F.col("all_known"), F.col("siblings"))
+        grown = branch.join(parent, ["host", "template"]).join(siblings, ["host", "template"]).select(
+            "host", "template", "segment",
+            F.concat("template", F.lit("/"), F.when(own, F.col("segment")).otherwise(_wild(F.col("segment")))).alias("grown"),
         )
         now = now.join(stored(grown, "url-grown"), ["host", "template", "segment"], "left")
-        now = stored(now.withColumn("template", F.coalesce("grown", "template")).drop("grown", "segment"), "url-templates")
-    return now
+        now = stored(now.withColumn("template", F.coalesce("grown", "template")).select(*patterns.columns, "template"), "url-templates")
+        # Patterns that end here have no deeper level: they keep their template.
+        done.append(now.filter(F.size("pattern") <= level))
+        now = now.filter(F.size("pattern") > level)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return stored(out, "url-found")
 
 
 def purities(found: DataFrame) -> DataFrame:

@@ -117,6 +117,26 @@ def test_verdicts_match_plain_python(spark, seed):
     assert judged["one.test", "ads"] == "block" and judged["one.test", "news"] == "allow"
 
 
+def test_small_sections_and_deep_ones_are_branches(spark):
+    pages, bad = [], {}
+
+    def add(host, path, label, many):
+        for _ in range(many):
+            bad[len(pages)] = label
+            pages.append((len(pages), f"http://{host}/{path}/{1000 + len(pages)}"))
+
+    words = [a + b for a in ("red", "blue", "green", "grey", "pink") for b in ("tree", "bird", "lake", "hill", "road", "town")]
+    for word in words:
+        add("even.test", word, int(word == "pinkbird"), 20)
+        add("foul.test", word, int(word != "pinkbird"), 20)
+    add("deep.test", "a/b/c/d/e/f/g/h/good", 0, 30)
+    add("deep.test", "a/b/c/d/e/f/g/h/wrong", 1, 30)
+    add("long.test", "/".join(["s"] * 300), 0, 1)
+    left, right = table(spark, pages, bad)
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(left, right).collect()}
+    assert got == {p: "block" if bad[p] else "allow" for p, _ in pages}
+
+
 def test_no_labels_empty_tables_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "x"), (1, "http://a.b/c", "x"), (None, None, "y")], "page_id bigint, url string, verdict string")
     labels = spark.createDataFrame([], "page_id bigint, bad int")
