@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlink.llm import context_tree, decontaminate, jaccard, lines, pieces, quality, rules, secrets, toxicity, urls
+from flowlink.llm import (
+    collocations, context_tree, decontaminate, divergence, jaccard, lines, packing, pieces, quality, rules, secrets, toxicity, urls,
+)
 from flowlink.llm.labelled import held_out
 
 
@@ -181,3 +183,84 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
     marked = shows.join(labels, "doc_id").select("page_id", bad.alias("bad"))
     return urls.filter_urls(pages, marked, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op11_bestfit_packing")
+def bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, end=2)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), spoken AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM spoken, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size)
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+held AS (
+  SELECT * FROM cand c WHERE NOT (size = 2 AND EXISTS (
+    SELECT 1 FROM cand t WHERE t.size = 3 AND t.lang = c.lang AND 100 * t.a >= 50 * c.a
+      AND (array_to_string(t.w[1:2], ' ') = c.phrase OR array_to_string(t.w[2:3], ' ') = c.phrase)))
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1 : size], ' ') AS q
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM held)
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = p JOIN f y ON y.lang = c.lang AND y.phrase = q
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+) JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", COLLOCATIONS_SQL)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("text", "lang")
+    return collocations.collocations(docs, longest=3, threshold=10, inside=50, best=2000)
+
+
+DIVERGENCE_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), token AS (SELECT d, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS c FROM token GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+size AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+here AS (SELECT token.lang, source, term, count(*) AS c FROM token JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (
+  SELECT g.lang, g.source, coalesce(s.v, 0) AS v, coalesce(sum(h.c), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN size s ON s.lang = g.lang LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source
+  GROUP BY ALL
+), share AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS c,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(h.c, 0) + 2) // (g.n + 2 * g.v)::HUGEINT AS BIGINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (k.c + 2) // (s.n + 2 * s.v)::HUGEINT AS BIGINT) AS q
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN size s ON s.lang = g.lang
+  LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    CAST(coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM share x JOIN share y ON x.lang = y.lang AND x.term = y.term
+      WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM share WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("text", "lang", "source")
+    return divergence.audit(docs, least=10, best=10)

@@ -18,20 +18,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of a column ``h`` of hashes: what isn't in it isn't wanted.
+def bitmap_of(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of 2 ** bits of a column ``h`` of hashes: what isn't in it isn't wanted.
 
-    Its words are combined before the shuffle; at most 2 ** 18 of them reach the driver.
+    Its words are combined before the shuffle; at most 2 ** (bits - 6) of them reach the driver.
     """
-    place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")
+    place = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
     words = hashes.select(F.shiftright(place, 6).cast("int").alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def wanted(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def wanted(bitmap: np.ndarray, hashes: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
     """Which hashes may be wanted."""
-    at = hashes >> np.uint64(64 - FILTER_BITS)
+    at = hashes >> np.uint64(64 - bits)
     return ((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
