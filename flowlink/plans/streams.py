@@ -11,6 +11,7 @@ from flowlink.plans import reports as RP
 from flowlink.plans.registry import query
 from flowlink.session import scratch
 from flowlink.sources import change_topic as C
+from flowlink.sources import polling as P
 from flowlink.streaming import approvals as A
 from flowlink.streaming import intake as S
 
@@ -48,6 +49,11 @@ def few_parts(t):
         conf.set(name, before)
 
 
+def to_inbox(t, stream, inbox: str, checkpoint: str) -> None:
+    with few_parts(t):
+        S.run_to_inbox(stream, inbox, checkpoint)
+
+
 def arrivals_stream(t, per_batch: int = 1):
     """Arrivals, redeliveries included, a file at a time."""
     path = written(t, t["arrivals"], "arrivals")
@@ -60,9 +66,7 @@ _ONCE = "SELECT DISTINCT source, event_id FROM {arrivals}"
 @query("t01_exactly_once_intake", _ONCE)
 def _(t):
     inbox, checkpoint = scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
-    timed = arrivals_stream(t).withColumn("at", F.timestamp_millis("arrived"))
-    with few_parts(t):
-        S.run_to_inbox(timed, inbox, checkpoint, at="at", retention="36500 days")
+    to_inbox(t, arrivals_stream(t), inbox, checkpoint)
     return S.read_inbox_table(t.spark, inbox).select("source", "event_id")
 
 
@@ -78,7 +82,7 @@ def _(t):
         F.lit("orders").alias("source"), C.change_id().alias("event_id"), F.to_json("payload").alias("payload"), F.col("offset").alias("arrived")
     )
     inbox, checkpoint = scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
-    S.run_to_inbox(events, inbox, checkpoint)
+    to_inbox(t, events, inbox, checkpoint)
     return S.read_inbox_table(t.spark, inbox).agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
@@ -87,7 +91,23 @@ def _(t):
     timed = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
     twice = timed.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     out, checkpoint = scratch(t.spark, "runs"), scratch(t.spark, "checkpoint")
-    run(t, S.start_runs(twice, F.col("event_type"), "ts", "3650 days").select("event_id", "run_id"), out, checkpoint)
+    run(t, S.start_runs(twice, F.col("event_type"), "ts").select("event_id", "run_id"), out, checkpoint)
+    return t.spark.read.parquet(out)
+
+
+@query("t02_late_events_start_runs", "SELECT event_id, concat(event_type, '/', cast(event_id as varchar)) AS run_id FROM {events}")
+def _(t):
+    # The newest week comes first, each batch is a week older than the one before, and the first
+    # week's repeats come last. What is remembered for a day of receipts knows them all.
+    timed = t["events"].withColumn("ts", F.col("ts").cast("timestamp"))
+    path, week = scratch(t.spark, "late"), F.floor(F.unix_seconds("ts") / (7 * 86_400))
+    marked = timed.withColumn("week", week)
+    first, last = marked.agg(F.min("week"), F.max("week")).first()
+    for number in [*range(last, first - 1, -1), last]:
+        marked.filter(F.col("week") == number).drop("week").coalesce(1).write.mode("append").parquet(path)
+    stream = S.read_folder(t.spark, path, timed.schema, per_batch=1)
+    out, checkpoint = scratch(t.spark, "runs"), scratch(t.spark, "checkpoint")
+    run(t, S.start_runs(stream, F.col("event_type"), "ts", "1 day").select("event_id", "run_id"), out, checkpoint)
     return t.spark.read.parquet(out)
 
 
@@ -98,7 +118,7 @@ def _(t):
     polled = t["arrivals"].filter("via = 'poll'").withColumn("arrived", F.col("arrived") + 100000000)
     streams = [S.read_folder(t.spark, written(t, df, "arrivals"), df.schema) for df in (push, polled)]
     inbox, checkpoint = scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
-    S.run_to_inbox(S.reconcile(*streams), inbox, checkpoint)
+    to_inbox(t, S.reconcile(*streams), inbox, checkpoint)
     return S.read_inbox_table(t.spark, inbox).select("source", "event_id", "via")
 
 
@@ -180,12 +200,23 @@ def _(t):
     path = written(t, t["arrivals"], "arrivals")
     inbox, lost = scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
     half = t["arrivals"].filter("user_id % 2 = 0")
-    S.run_to_inbox(S.read_folder(t.spark, written(t, half, "half"), half.schema), inbox, scratch(t.spark, "checkpoint"))
-    # The position is gone: everything kept is read again under new batch numbers.
-    shifted = f"{inbox}-all"
-    S.read_inbox_table(t.spark, inbox).drop("batch").write.parquet(f"{shifted}/batch=-1")
-    S.resume(lambda _: S.read_folder(t.spark, path, t["arrivals"].schema, per_batch=2), shifted, lost, scratch(t.spark, "checkpoint"))
-    return S.read_inbox_table(t.spark, shifted).select("source", "event_id")
+    to_inbox(t, S.read_folder(t.spark, written(t, half, "half"), half.schema), inbox, scratch(t.spark, "checkpoint"))
+    # The position is gone: everything kept is read again beside the inbox as it is.
+    with few_parts(t):
+        S.resume(lambda _: S.read_folder(t.spark, path, t["arrivals"].schema, per_batch=2), inbox, lost, scratch(t.spark, "checkpoint"))
+    return S.read_inbox_table(t.spark, inbox).select("source", "event_id")
+
+
+@query("t08_resume_from_stored_position", _ONCE)
+def _(t):
+    # Two files are read, then the stream is stopped; two more come, and it goes on from its checkpoint.
+    path, inbox, checkpoint = written(t, t["arrivals"].filter("user_id % 2 = 0"), "arrivals", 2), scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
+    rows = lambda start: S.read_folder(t.spark, path, t["arrivals"].schema)
+    with few_parts(t):
+        S.resume(rows, inbox, None, checkpoint)
+        t["arrivals"].repartition(2).write.mode("append").parquet(path)
+        S.resume(rows, inbox, checkpoint, scratch(t.spark, "unused"))
+    return S.read_inbox_table(t.spark, inbox).select("source", "event_id")
 
 
 def json_pages(t):
@@ -196,28 +227,17 @@ def json_pages(t):
     return path, items.schema
 
 
-@query("t08_resume_from_stored_position", _ONCE)
-def _(t):
-    # Two files are read, then the stream is stopped; two more come, and it goes on from its checkpoint.
-    path, inbox, checkpoint = written(t, t["arrivals"].filter("user_id % 2 = 0"), "arrivals", 2), scratch(t.spark, "inbox"), scratch(t.spark, "checkpoint")
-    rows = lambda start: S.read_folder(t.spark, path, t["arrivals"].schema)
-    S.resume(rows, inbox, None, checkpoint)
-    t["arrivals"].repartition(2).write.mode("append").parquet(path)
-    S.resume(rows, inbox, checkpoint, scratch(t.spark, "unused"))
-    batches = S.read_inbox_table(t.spark, inbox)
-    return batches.select("source", "event_id")
-
-
 @query("x03_connector_pages", "SELECT cast(id as varchar) AS id, position, status FROM {polled} WHERE position > 1704931200000")
 def _(t):
     path, schema = json_pages(t)
-    return t.spark.read.schema(schema).json(path).filter("position > 1704931200000")
+    return P.poll(t.spark.read.schema(schema).json(path), 1704931200000).select("id", "position", "status")
 
 
 @query("x03_connector_stream", "SELECT cast(id as varchar) AS id, position FROM {polled}")
 def _(t):
     path, schema = json_pages(t)
-    stream = t.spark.readStream.schema(schema).json(path)
-    out, checkpoint = scratch(t.spark, "read"), scratch(t.spark, "checkpoint")
-    run(t, stream.select("id", "position"), out, checkpoint)
-    return t.spark.read.parquet(out)
+    pages = P.poll(t.spark.readStream.schema(schema).json(path), 0, versioned=True).withColumn("source", F.lit("pages"))
+    inbox = scratch(t.spark, "inbox")
+    with few_parts(t):
+        S.run_to_inbox(pages, inbox, scratch(t.spark, "checkpoint"), order="position")
+    return S.read_inbox_table(t.spark, inbox).select("id", "position")

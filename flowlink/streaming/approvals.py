@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
 
 from flowlink.operators.reports import TIMEOUT_ACTOR
-from flowlink.session import ROCKSDB
 
 DECISION = (
     T.StructType().add("run_id", "long").add("status", "string").add("decided_by", "string").add("wait_ms", "long")
@@ -99,9 +98,8 @@ def await_decisions(messages: DataFrame, timeout_ms: int, delay: str = "1 minute
     """A stream of decisions from a stream of requests and signals (see ``MESSAGE``).
 
     The first signal about exactly the pending request decides; without one in time, event
-    time rejects it.
+    time rejects it. To be started with RocksDB as its state store (``intake.started``).
     """
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = messages.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
     return timed.groupBy("run_id").transformWithState(
         Decide(timeout_ms), outputStructType=DECISION, outputMode="Append", timeMode="EventTime"
@@ -165,8 +163,10 @@ class OpenRequests(StatefulProcessor):
 
 
 def open_requests(messages: DataFrame) -> DataFrame:
-    """A stream of answers from a stream of (key, seq, run, kind, at_ms, until)."""
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """A stream of answers from a stream of (key, seq, run, kind, at_ms, until).
+
+    To be started with RocksDB as its state store (``intake.started``).
+    """
     return messages.groupBy("key").transformWithState(
         OpenRequests(), outputStructType=ANSWER, outputMode="Append", timeMode="None"
     )

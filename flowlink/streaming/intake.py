@@ -1,14 +1,40 @@
-"""Streaming intake: events into the inbox exactly once, runs started once, late rows."""
+"""Streaming intake: events into the inbox exactly once, runs started once, late rows.
+
+What a stream has given out is remembered in its own keyed state, partitioned by the hash of
+the identity and kept in RocksDB, by the time of receipt: an event is as welcome when it
+comes late as when it comes early, only repeats are dropped, and no batch reads what earlier
+ones wrote.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from flowlink.operators import inbox as I
+from flowlink.session import ROCKSDB
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """A query started on what its source has now, with its state in RocksDB.
+
+    The session's own choice of a state store comes back.
+    """
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def read_folder(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*", per_batch: int | None = None) -> DataFrame:
@@ -25,20 +51,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def deliver(
-    batch: DataFrame, batch_id: int, inbox: str, order: str = "arrived", retention: int | None = None, compare: bool = True
-) -> None:
-    """Adds a micro-batch to the inbox table at a path: each event once.
+def deliver(batch: DataFrame, batch_id: int, inbox: str, order: str = "arrived", retention: int | None = None) -> None:
+    """Adds a batch that no stream remembers to the inbox table at a path: each event once.
 
     The batch goes to a folder of its own, overwritten when the batch is run again, and is
-    compared with the events of the other batches kept (the last ``retention``, where older
-    ones have been pruned): neither a repeated batch nor a repeated event is stored twice.
-    Only the two identity columns of the partitions in question are read, and none where the
-    stream remembers itself what it has given (``compare`` false).
+    compared with the identities of the other batches kept (the last ``retention``, where
+    older ones have been pruned): neither a repeated batch nor a repeated event is stored
+    twice. Streams use ``run_to_inbox``, which doesn't read the inbox.
     """
     spark = batch.sparkSession
     stored = None
-    if compare and _exists(spark, inbox):
+    if _exists(spark, inbox):
         earlier = spark.read.option("basePath", inbox).schema("source string, event_id string, batch bigint").parquet(inbox)
         stored = earlier.filter(F.col("batch") != batch_id)
         if retention is not None:
@@ -47,50 +70,87 @@ def deliver(
     new.write.mode("overwrite").parquet(f"{inbox}/batch={batch_id}")
 
 
-def run_to_inbox(
-    arrivals: DataFrame, inbox: str, checkpoint: str, order: str = "arrived", at: str | None = None, retention: str = "7 days"
-) -> None:
+def run_to_inbox(arrivals: DataFrame, inbox: str, checkpoint: str, order: str = "arrived", retention: str = "7 days") -> None:
     """Runs a stream of arrivals into the inbox until its source is read.
 
-    The checkpoint keeps the source's position. It and the inbox move in two steps, so a
-    batch may be delivered again after a loss; ``deliver`` makes that harmless.
-
-    With ``at``, the arrivals' time, the stream's own state knows the events of the inbox's
-    ``retention`` and forgets older ones: no batch reads what earlier ones wrote, however
-    long the history. Without it, or where a new checkpoint goes on with an old inbox, each
-    batch is compared with the inbox.
+    The checkpoint holds the source's position and the identities received within
+    ``retention``, and moves both in one step; a batch is written to a folder of its own, so
+    one that is run again after a loss replaces itself. A checkpoint that begins beside an
+    inbox that has events already takes their identities over as its first state: that is
+    the only time the inbox is read.
     """
-    stream = arrivals if at is None else once(arrivals, list(I.IDENTITY), at, retention)
-    query = (
-        stream.writeStream.foreachBatch(lambda df, n: deliver(df, n, inbox, order, compare=at is None))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    spark = arrivals.sparkSession
+    known, first = f"{checkpoint.rstrip('/')}-known", f"{checkpoint.rstrip('/')}-first"
+    if not _exists(spark, checkpoint):
+        # Folders of an earlier checkpoint stay: this one's batches are numbered after them.
+        empty = spark.createDataFrame([], "source string, event_id string, batch bigint")
+        stored = read_inbox_table(spark, inbox) if _exists(spark, inbox) else empty
+        stored.select(*I.IDENTITY).distinct().write.mode("overwrite").parquet(known)
+        stored.agg((F.coalesce(F.max("batch"), F.lit(-1)) + 1).cast("bigint").alias("batch")).write.mode("overwrite").parquet(first)
+    offset = spark.read.schema("batch bigint").parquet(first).collect()[0]["batch"]
+    identities = read_folder(spark, known, T.StructType().add("source", "string").add("event_id", "string"))
+    fresh = once(arrivals, I.IDENTITY, order, retention, identities)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{inbox}/batch={offset + number}")
+
+    started(fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), spark).awaitTermination()
 
 
 def read_inbox_table(spark: SparkSession, inbox: str) -> DataFrame:
     return spark.read.option("basePath", inbox).parquet(inbox)
 
 
-def once(arrivals: DataFrame, keys: list[str], at: str, retention: str) -> DataFrame:
-    """A stream's first arrival per key, remembered for the inbox's retention.
+def _first_of_batch(keys: Sequence[str], order: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a partition that holds all of a batch's rows of its keys, the first row per key."""
 
-    Repeats inside the retention are dropped; state older than it is forgotten.
-    """
-    return arrivals.withWatermark(at, retention).dropDuplicatesWithinWatermark(keys)
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if best is None else pa.concat_tables([best, rows])
+            ranked = rows.select([*keys, *order]).to_pandas().sort_values(list(order), kind="stable", na_position="last")
+            best = rows.take(pa.array(ranked.drop_duplicates(list(keys)).index.to_numpy()))
+        if best is not None:
+            yield from best.to_batches()
 
+    return firsts
 
-def start_runs(events: DataFrame, workflow: Column, at: str, retention: str = "7 days") -> DataFrame:
+
+def once(
+    arrivals: DataFrame, keys: Sequence[str], order: str, retention: str = "7 days", known: DataFrame | None = None
+) -> DataFrame:
+    """A stream's first arrival per key, remembered for ``retention`` after its receipt.
+
+    The watermark runs over the time of receipt, which no row can be behind: no arrival is
+    too late to be given out, whatever times it carries, and a key is forgotten when its
+    receipt is older than ``retention``, as the inbox is pruned. Of the rows of a key that
+    one batch holds the first by ``order`` counts (rows without one come last, equal ones
+    are told apart by their hash). ``known`` is a stream of keys that have been given out
+    already; it wins over arrivals of its batch. Rows held at a time are those of a batch.
+    """
+    keys = list(keys)
+    plain = [f.name for f in arrivals.schema.fields if not re.search(r"\b(map|variant)\b", f.dataType.simpleString())]
+    rows = arrivals.withColumns({"_tie": F.xxhash64(*plain), "_known": F.lit(0)})
+    if known is not None:
+        absent = {f.name: F.lit(None).cast(f.dataType) for f in arrivals.schema.fields if f.name not in keys}
+        rows = rows.unionByName(known.select(*keys).withColumns(absent | {"_tie": F.lit(0).cast("bigint"), "_known": F.lit(-1)}))
+    parts = int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = rows.repartition(parts, *keys).mapInArrow(_first_of_batch(keys, ["_known", order, "_tie"]), rows.schema)
+    timed = first.withColumn("_received", F.current_timestamp()).withWatermark("_received", retention)
+    return timed.dropDuplicatesWithinWatermark(keys).filter("_known = 0").select(*arrivals.columns)
+
+
+def start_runs(events: DataFrame, workflow: Column, order: str, retention: str = "7 days") -> DataFrame:
     """A stream's events with their run: one run per (workflow, event id).
 
-    Runs started are remembered for the inbox's ``retention``, after which the inbox no
-    longer gives out their events.
+    Runs started are remembered for the inbox's ``retention`` from their events' receipt,
+    after which the inbox no longer gives those out. An event that comes late starts its run
+    late.
     """
     named = events.withColumn("workflow", workflow)
     named = named.withColumn("run_id", F.concat_ws("/", "workflow", F.col("event_id").cast("string")))
-    return once(named, ["workflow", "event_id"], at, retention)
+    return once(named, ["workflow", "event_id"], order, retention)
 
 
 def settled(events: DataFrame, at: str, delay: str, keys: list[str], width: str) -> DataFrame:
@@ -110,7 +170,7 @@ def reconcile(push: DataFrame, polled: DataFrame) -> DataFrame:
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream into a Parquet table until its source is read."""
     writer = stream.writeStream.format("parquet").outputMode(mode).option("path", path)
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    started(writer.option("checkpointLocation", checkpoint), stream.sparkSession).awaitTermination()
 
 
 def resume(

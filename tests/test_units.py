@@ -5,6 +5,8 @@ import hashlib
 import hmac
 import json
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -400,6 +402,70 @@ def test_a_batch_delivered_again_changes_nothing(spark):
     assert sorted((r["event_id"], r["arrived"]) for r in got.collect()) == [("1", 1), ("2", 2), ("3", 4)]
 
 
+ARRIVAL = T.StructType().add("source", "string").add("event_id", "string").add("arrived", "long").add("extra", "string")
+
+
+def arrive(spark, path, rows):
+    spark.createDataFrame(rows, ARRIVAL).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_events_start_their_runs_and_repeats_do_not(spark):
+    day, path, out = 86_400_000, scratch(spark, "events"), scratch(spark, "runs")
+    for days in (30, 29, 31, 1, 30, 1):
+        arrive(spark, path, [("s", str(days), days * day, None)])
+    stream = intake.read_folder(spark, path, ARRIVAL, per_batch=1)
+    intake.to_table(intake.start_runs(stream, F.lit("w"), "arrived", "7 days"), out, scratch(spark, "checkpoint"))
+    assert sorted(r["run_id"] for r in spark.read.parquet(out).collect()) == ["w/1", "w/29", "w/30", "w/31"]
+
+
+def test_the_first_of_a_batch_is_kept_and_nulls_come_last(spark):
+    path, inbox, checkpoint = scratch(spark, "events"), scratch(spark, "inbox"), scratch(spark, "checkpoint")
+    arrive(spark, path, [("s", "1", None, "none"), ("s", "1", 7, "late"), ("s", "1", 3, "first"), (None, "1", 5, "other"), ("s", None, 1, "odd"), ("s", None, 2, "odd")])
+    intake.run_to_inbox(intake.read_folder(spark, path, ARRIVAL), inbox, checkpoint)
+    got = {(r["source"], r["event_id"], r["arrived"], r["extra"]) for r in intake.read_inbox_table(spark, inbox).collect()}
+    assert got == {("s", "1", 3, "first"), (None, "1", 5, "other"), ("s", None, 1, "odd")}
+
+
+def test_batches_do_not_read_what_earlier_ones_wrote(spark):
+    path, inbox, checkpoint = scratch(spark, "events"), scratch(spark, "inbox"), scratch(spark, "checkpoint")
+    run = lambda: intake.run_to_inbox(intake.read_folder(spark, path, ARRIVAL, per_batch=1), inbox, checkpoint)
+    arrive(spark, path, [("s", str(i), i, None) for i in range(5)])
+    run()
+    held = spark.read.parquet(f"{inbox}/batch=0").count()
+    # Unreadable from now on: nine more batches, each with a repeat of the first, must not mind.
+    for file in Path(inbox, "batch=0").glob("*.parquet"):
+        file.write_bytes(b"not parquet")
+        Path(file.parent, f".{file.name}.crc").unlink(missing_ok=True)
+    for n in range(1, 10):
+        arrive(spark, path, [("s", "0", 100 + n, None), ("s", str(10 * n), n, None)])
+    run()
+    folders = [str(f) for f in Path(inbox).glob("batch=*") if f.name != "batch=0"]
+    later = [r["event_id"] for r in spark.read.schema(ARRIVAL).parquet(*folders).collect()]
+    assert held == 5 and sorted(later, key=int) == [str(10 * n) for n in range(1, 10)]
+
+
+def test_a_new_checkpoint_goes_on_beside_the_inbox(spark):
+    path, inbox = scratch(spark, "events"), scratch(spark, "inbox")
+    for n, rows in enumerate(([("s", "1", 1, None), ("s", "2", 2, None)], [("s", "3", 3, None)], [("s", "4", 4, None), ("s", "1", 9, None)])):
+        arrive(spark, path, rows)
+        for _ in range(2):  # every checkpoint is new, and reads everything again
+            intake.run_to_inbox(intake.read_folder(spark, path, ARRIVAL, per_batch=1), inbox, scratch(spark, "checkpoint"))
+    got = sorted((r["event_id"], r["arrived"]) for r in intake.read_inbox_table(spark, inbox).collect())
+    assert got == [("1", 1), ("2", 2), ("3", 3), ("4", 4)]
+
+
+def test_an_identity_is_forgotten_when_its_receipt_is_old(spark):
+    path, out, checkpoint = scratch(spark, "events"), scratch(spark, "once"), scratch(spark, "checkpoint")
+    for arrived in (5, 4, 3):
+        arrive(spark, path, [("s", "1", arrived, None)])
+        stream = intake.read_folder(spark, path, ARRIVAL, per_batch=1)
+        intake.to_table(intake.once(stream, ["source", "event_id"], "arrived", "1 second"), out, checkpoint)
+        time.sleep(2)
+        arrive(spark, path, [("s", f"other{arrived}", arrived, None)])  # moves the time of receipt on
+        intake.to_table(intake.once(intake.read_folder(spark, path, ARRIVAL, per_batch=1), ["source", "event_id"], "arrived", "1 second"), out, checkpoint)
+    assert sorted(r["arrived"] for r in spark.read.parquet(out).collect() if r["event_id"] == "1") == [3, 4, 5]
+
+
 def test_stream_and_replay_of_open_requests_agree(spark):
     rng = random.Random(4)
     rows = [(f"k{rng.randint(0, 3)}", i, f"r{rng.randint(0, 4)}", rng.choice(["open", "open", "close"]), i * 10, i * 10 + rng.randint(5, 60)) for i in range(120)]
