@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator, Mapping
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +74,38 @@ def jaro_winkler_arrays(left: list[str], right: list[str]) -> np.ndarray:
     return np.where((la == 0) & (lb == 0), 1.0, out)
 
 
+BUCKETS, BUCKET_BITS = 12, 5
+
+
+def letters(name: Column) -> Column:
+    """How often the letters of a name occur, by code point modulo ``BUCKETS``, in one number.
+
+    NULL where a count might not fit: names of more than 31 characters.
+    """
+    most = (1 << BUCKET_BITS) - 1
+    places = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(F.array().cast("array<int>"))
+    one = lambda i: F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.ascii(F.substr(name, i, F.lit(1))), F.lit(BUCKETS)) * BUCKET_BITS).cast("bigint")
+    return F.when(F.length(name) <= most, F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, i: acc + one(i)))
+
+
+def similarity_bound(a: Column, b: Column, a_letters: Column, b_letters: Column) -> Column:
+    """What the Jaro-Winkler similarity of two names can be at most; NULL where unknown.
+
+    No more characters match than the names share letters, and nothing is transposed at
+    best; the common prefix is counted exactly.
+    """
+    most = F.lit((1 << BUCKET_BITS) - 1)
+    held = lambda c, i: F.shiftright(c, i * BUCKET_BITS).bitwiseAND(most)
+    shared = sum((F.least(held(a_letters, i), held(b_letters, i)) for i in range(1, BUCKETS)), F.least(held(a_letters, 0), held(b_letters, 0)))
+    jaro = (shared / F.length(a) + shared / F.length(b) + 1) / 3
+    alike = lambda n: (F.length(a) >= n) & (F.length(b) >= n) & (F.substring(a, 1, n) == F.substring(b, 1, n))
+    prefix = F.lit(0.0)
+    for n in range(1, PREFIX_LENGTH + 1):
+        prefix = F.when(alike(n), n * PREFIX_WEIGHT).otherwise(prefix)
+    known = a_letters.isNotNull() & b_letters.isNotNull() & (F.length(a) > 0) & (F.length(b) > 0)
+    return F.when(known, jaro + prefix * (1 - jaro))
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """NULL when either name is NULL."""
@@ -112,3 +150,57 @@ def similar_in_blocks(left: list[str], right: list[str], floor: float = CLOSE) -
     scores = jaro_winkler_arrays([left[x] for x in i], [right[x] for x in j])
     kept = scores >= floor
     return i[kept], j[kept], scores[kept]
+
+
+# --- An index of close names ------------------------------------------------------------
+
+MOST_KEYS = 24  # keys a name may have per length of its partner and common prefix
+
+
+@lru_cache(maxsize=1 << 16)
+def _shared_letters(la: int, lb: int, prefix: int, floor: float) -> int | None:
+    """Letters that names of these lengths must share to be that close; NULL if they can't be.
+
+    With ``prefix`` first letters alike, Jaro has to reach the floor less the boost, and it
+    does only if m matches give m / la + m / lb + 1 >= 3 * Jaro.
+    """
+    jaro = (floor - PREFIX_WEIGHT * prefix) / (1 - PREFIX_WEIGHT * prefix)
+    need = max(1, math.ceil((3 * jaro - 1) * la * lb / (la + lb) - 1e-9))
+    return None if need > min(la, lb) or prefix > min(la, lb) else need
+
+
+@lru_cache(maxsize=1 << 16)
+def _at_once(la: int, lb: int, need: int) -> int:
+    """How many shared letters make one key: as many as keep the keys of both names few."""
+    best = 1
+    for r in range(2, min(need, 4) + 1):
+        if math.comb(max(la, lb) - need + r, r) <= MOST_KEYS:
+            best = r
+    return best
+
+
+def index_keys(name: str, lengths: Iterable[int], frequency: Mapping[str, float], left: bool, floor: float = CLOSE) -> Iterator[tuple]:
+    """Keys of a name: two names as close as ``floor`` have one in common.
+
+    ``lengths`` are those of the other side's names, ``frequency`` says how often letters
+    occur. Per common prefix and pair of lengths, names that are close share ``need``
+    letters; sorted from the rarest to the most frequent, the first len - need + r letters
+    of both then hold r shared ones, and each such r letters are a key. Neither letters
+    shared by many names nor names of other lengths make a key of their own.
+    """
+    seen: dict[str, int] = {}
+    letters = []
+    for c in name:
+        seen[c] = seen.get(c, 0) + 1
+        letters.append((frequency.get(c, 0.0) * 0.3 ** seen[c], c, seen[c]))
+    letters.sort()
+    tokens = [f"{c}{k}" for _, c, k in letters]
+    for prefix in range(PREFIX_LENGTH + 1):
+        for other in lengths:
+            need = _shared_letters(len(name), other, prefix, floor)
+            if need is None:
+                continue
+            la, lb = (len(name), other) if left else (other, len(name))
+            r = _at_once(la, lb, need)
+            for chosen in combinations(tokens[: len(name) - need + r], r):
+                yield (prefix, name[:prefix], la, lb, *chosen)

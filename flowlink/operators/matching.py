@@ -11,11 +11,13 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlink.functions.similarity import CLOSE, SAME, jaro_winkler, similar_in_blocks
+from flowlink.functions.similarity import CLOSE, SAME, index_keys, jaro_winkler, letters, similar_in_blocks, similarity_bound
+from flowlink.session import stored
 
 # Mail providers whose domain says nothing about an employer, and the
 # levels with their default m and u probabilities, in order.
@@ -193,11 +195,18 @@ def compare(a: str = "a_", b: str = "b_", similarity: Column | None = None) -> d
     return {"email": email, "domain": domain, "name": name, "exact": exact}
 
 
-def name_similarity(a: str = "a_", b: str = "b_") -> Column:
-    """Jaro-Winkler of the names of a pair; only unequal present names are sent to Python."""
+def name_similarity(a: str = "a_", b: str = "b_", bounded: bool = False) -> Column:
+    """Jaro-Winkler of the names of a pair; only unequal present names are sent to Python.
+
+    With ``bounded``, the pair has the names' ``letters`` as well, and names that can't be
+    close by those are not compared: their similarity is NULL.
+    """
     x, y = F.col(a + "name"), F.col(b + "name")
-    unequal = x.isNotNull() & y.isNotNull() & (x != y)
-    return jaro_winkler(F.when(unequal, x), F.when(unequal, y))
+    compared = x.isNotNull() & y.isNotNull() & (x != y)
+    if bounded:
+        bound = similarity_bound(x, y, F.col(a + "letters"), F.col(b + "letters"))
+        compared = compared & (F.coalesce(bound, F.lit(1.0)) >= CLOSE - 1e-9)
+    return jaro_winkler(F.when(compared, x), F.when(compared, y))
 
 
 def log_odds(levels: Mapping[str, Column], model: Model) -> Column:
@@ -237,8 +246,12 @@ def reasons(levels: Mapping[str, Column]) -> Column:
 
 
 def score_pairs(pairs: DataFrame, model: Model = DEFAULT_MODEL) -> DataFrame:
-    """Adds score (unrounded) and reasons to pairs of a_ and b_ attributes."""
-    known = pairs.withColumn("_similarity", name_similarity())
+    """Adds score (unrounded) and reasons to pairs of a_ and b_ attributes.
+
+    Pairs with the ``letters`` of both names are compared by those first.
+    """
+    bounded = {"a_letters", "b_letters"} <= set(pairs.columns)
+    known = pairs.withColumn("_similarity", name_similarity(bounded=bounded))
     levels = compare(similarity=F.col("_similarity"))
     named = known.withColumns({f"_{k}": v for k, v in levels.items()}).drop("_similarity")
     read = {k: F.col(f"_{k}") for k in levels}
@@ -305,15 +318,28 @@ def block_sizes(linked: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("size"))
 
 
+def _listed(df: DataFrame, *ids: str, into: str) -> DataFrame:
+    """``blocks`` with one text per block, each row with all texts of its record, in order."""
+    keys = F.array_distinct(F.transform(block_keys(), lambda k: F.concat_ws("\x1f", k["rule"], k["key"])))
+    return df.select("entity", *ids, keys.alias(into)).withColumn("block", F.explode(into))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Joined rows of two ``_listed`` tables, each pair once: at the first block it shares."""
+    return left.join(right, ["entity", "block"]).filter(F.col("block") == F.try_element_at(F.array_intersect("_a", "_b"), F.lit(1))).drop("block", "_a", "_b")
+
+
 def candidate_pairs(records: DataFrame, linked: DataFrame) -> DataFrame:
-    """Distinct (entity, record_id, source_id) of linked records sharing any block.
+    """(entity, record_id, source_id) of linked records sharing any block, each pair once.
 
-    One equi-join on exploded keys; an OR of four conditions would be a nested loop. Its
-    result grows with the product of a block's sides: to find masters, use ``suggest``.
+    One equi-join on exploded keys; an OR of four conditions would be a nested loop. A pair
+    that shares several blocks is given out at the first of them only, so pairs needn't be
+    shuffled again to be made distinct. The result grows with the product of a block's
+    sides: to find masters, use ``suggest``. Keys of a record may be repeated in the tables;
+    then so are its pairs.
     """
-    left = blocks(records, "record_id")
-    right = blocks(linked, "source_id", "system") if "system" in linked.columns else blocks(linked, "source_id")
-    return left.join(right, ["entity", "rule", "key"]).drop("rule", "key").distinct()
+    ids = ["source_id", "system"] if "system" in linked.columns else ["source_id"]
+    return _met(_listed(records, "record_id", into="_a"), _listed(linked, *ids, into="_b"))
 
 
 # --- Suggestions ------------------------------------------------------------------------
@@ -323,11 +349,13 @@ NAME_CHUNK = 2000
 
 
 def _ordinary_pairs(left: DataFrame, right: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(entity, a_profile, b_profile) that share a block that isn't hot; with hot ones, some twice."""
+    if hot is None:
+        a = _listed(left.withColumnRenamed("profile", "a_profile"), "a_profile", into="_a")
+        return _met(a, _listed(right.withColumnRenamed("profile", "b_profile"), "b_profile", into="_b"))
     key = ["entity", "rule", "key"]
-    a = blocks(left, "profile").withColumnRenamed("profile", "a_profile")
-    b = blocks(right, "profile").withColumnRenamed("profile", "b_profile")
-    if hot is not None:
-        a, b = a.join(hot, key, "left_anti"), b.join(hot, key, "left_anti")
+    a = blocks(left, "profile").withColumnRenamed("profile", "a_profile").join(hot, key, "left_anti")
+    b = blocks(right, "profile").withColumnRenamed("profile", "b_profile").join(hot, key, "left_anti")
     return a.join(b, key).select("entity", "a_profile", "b_profile")
 
 
@@ -351,11 +379,16 @@ def _hot_keys(df: DataFrame, hot: DataFrame, profile: str = "profile") -> DataFr
     )
 
 
-def similar_names(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
+DIRECT = 1 << 25  # pairs of names of a block that are compared rather than searched
+
+
+def similar_names(left: DataFrame, right: DataFrame, chunk: int, direct: int = DIRECT) -> DataFrame:
     """(entity, block, a_name, b_name) of unequal but close names sharing a hot block.
 
-    Names are made distinct per block and cut into chunks; each pair of chunks is one task's
-    work, which returns the close pairs only. No task holds more than two chunks.
+    Names are made distinct per block. Blocks of up to ``direct`` pairs are cut into chunks,
+    and each pair of chunks is one task's work; in larger ones names meet by the keys of an
+    index (``index_keys``), which every two close names share, and only those are compared.
+    Either way the close pairs alone are given out, and none is missing.
     """
 
     def named(df: DataFrame) -> DataFrame:
@@ -365,15 +398,24 @@ def similar_names(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
     a, b = named(left), named(right)
     block = ["entity", "block"]
 
-    def chunks(df: DataFrame, count: str) -> DataFrame:
-        return df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(count))
+    def counted(df: DataFrame, count: str) -> DataFrame:
+        return df.groupBy(*block).agg(F.count(F.lit(1)).alias(count))
+
+    sizes = stored(counted(a, "na").join(counted(b, "nb"), block), "blocks")
+    few = F.col("na") * F.col("nb") <= direct
+    close = _compared_chunks(a, b, sizes.filter(few), chunk)
+    large = sizes.filter(~few)
+    return close if large.isEmpty() else close.unionByName(_searched(a, b, large.select(*block)))
+
 
-    sizes = chunks(a, "na").join(chunks(b, "nb"), block)
-    a = a.join(sizes, block).select(
+def _compared_chunks(a: DataFrame, b: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
+    block = ["entity", "block"]
+    parts = sizes.select(*block, *[F.ceil(F.col(c) / chunk).cast("int").alias(c) for c in ("na", "nb")])
+    a = a.join(parts, block).select(
         *block, "name", F.pmod(F.xxhash64("name"), "na").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")
     )
     # Both sides may be the same table: new names keep their columns apart.
-    b = b.join(sizes, block).select(
+    b = b.join(parts, block).select(
         *[F.col(c).alias(c) for c in (*block, "name")], F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("name"), "nb").cast("int").alias("j")
     )
 
@@ -396,7 +438,42 @@ def similar_names(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
     )
 
 
-def _hot_pairs(left: DataFrame, right: DataFrame, hot: DataFrame, limit: int, chunk: int) -> DataFrame:
+MOST_LETTERS = 4096  # whose frequency is known; all others count as rare
+
+
+def close_names(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., a_name, b_name) of the unequal but close ``name``s of two tables with equal keys.
+
+    Names meet by the keys of an index that every two close names share; names that can't be
+    close by their letters are not compared. The driver sees how often letters occur (at most
+    ``MOST_LETTERS``) and the lengths of names.
+    """
+    keys = list(keys)
+    chars = b.select(F.explode(F.split("name", "")).alias("c")).filter(F.col("c") != "").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    frequency = {r["c"]: float(r["n"]) for r in chars.orderBy(F.desc("n"), "c").limit(MOST_LETTERS).collect()}
+    lengths = [sorted(r[0] for r in df.select(F.length("name")).distinct().collect()) for df in (a, b)]
+
+    def indexed(df: DataFrame, other: list[int], left: bool, p: str) -> DataFrame:
+        # Names whose keys are equal by their hash alone are told apart when they are compared.
+        @F.pandas_udf("array<string>")
+        def found(names: pd.Series) -> pd.Series:
+            return names.map(lambda n: sorted({"\x1f".join(map(str, k)) for k in index_keys(n, other, frequency, left)}))
+
+        named = df.select(*keys, F.col("name").alias(p + "name"), letters(F.col("name")).alias(p + "letters"), found("name").alias("_keys"))
+        return named.select(*keys, p + "name", p + "letters", F.explode(F.transform("_keys", lambda k: F.xxhash64(k))).alias("_key"))
+
+    met = indexed(a, lengths[1], True, "a_").join(indexed(b, lengths[0], False, "b_"), [*keys, "_key"]).filter(F.col("a_name") != F.col("b_name"))
+    bound = similarity_bound(F.col("a_name"), F.col("b_name"), F.col("a_letters"), F.col("b_letters"))
+    able = met.filter(F.coalesce(bound, F.lit(1.0)) >= CLOSE - 1e-9).select(*keys, "a_name", "b_name").distinct()
+    return able.filter(jaro_winkler("a_name", "b_name") >= CLOSE)
+
+
+def _searched(a: DataFrame, b: DataFrame, large: DataFrame) -> DataFrame:
+    block = ["entity", "block"]
+    return close_names(a.join(large, block, "left_semi"), b.join(large, block, "left_semi"), block).select(*block, "a_name", "b_name")
+
+
+def _hot_pairs(left: DataFrame, right: DataFrame, hot: DataFrame, limit: int, chunk: int, direct: int) -> DataFrame:
     """Pairs to score in blocks too large to compare pair by pair, without losing a result.
 
     Linked profiles agreeing on the same hot keys, with the same attributes present, score
@@ -432,7 +509,7 @@ def _hot_pairs(left: DataFrame, right: DataFrame, hot: DataFrame, limit: int, ch
     by_evidence = evident.join(any_name, ["entity", "agreed"]).select("entity", "a_profile", "b_profile")
     by_name = lowest(["entity", "agreed", "present", "name"])
     same = a_groups.join(by_name, ["entity", "agreed", "name"]).select("entity", "a_profile", "b_profile")
-    alike = similar_names(a, b, chunk).select("entity", "a_name", "b_name").distinct()
+    alike = similar_names(a, b, chunk, direct).select("entity", "a_name", "b_name").distinct()
     close = (
         a_groups.withColumnRenamed("name", "a_name")
         .join(alike, ["entity", "a_name"])
@@ -450,6 +527,7 @@ def suggest(
     hot_block: int | None = HOT_BLOCK,
     chunk: int = NAME_CHUNK,
     decimals: int = 3,
+    direct: int = DIRECT,
 ) -> DataFrame:
     """The ``limit`` best masters per record: (record_id, master_id, score, reasons, rank),
     and the unrounded probability.
@@ -481,11 +559,11 @@ def suggest(
     if hot is not None:
         # Groups count masters, so each profile takes part with all the masters it keeps.
         grouped = masters.select("entity", "profile", "master_id", "source_id", *ATTRIBUTES)
-        pairs = pairs.unionByName(_hot_pairs(left, grouped, hot, limit, chunk))
-    pairs = pairs.dropDuplicates()
+        pairs = pairs.unionByName(_hot_pairs(left, grouped, hot, limit, chunk, direct)).dropDuplicates()
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select("entity", F.col("profile").alias(f"{p}profile"), *[F.col(x).alias(p + x) for x in ATTRIBUTES])
+        found = [F.col(x).alias(p + x) for x in ATTRIBUTES]
+        return df.select("entity", F.col("profile").alias(f"{p}profile"), *found, letters(F.col("name")).alias(p + "letters"))
 
     wide = pairs.join(side(left, "a_"), ["entity", "a_profile"]).join(side(right, "b_"), ["entity", "b_profile"])
     scored = model.score(wide).filter(F.size("reasons") > 0).select("entity", "a_profile", "b_profile", "score", "reasons")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlink.functions.similarity import jaro_winkler, jaro_winkler_arrays, similar_in_blocks
+from flowlink.functions.similarity import index_keys, jaro_winkler, jaro_winkler_arrays, letters, similar_in_blocks, similarity_bound
 from flowlink.operators import contact_model as K
 from flowlink.operators import matching as M
 from flowlink.operators import training as T
@@ -58,6 +58,55 @@ def test_similarity_equals_plain_python_and_bounds_lose_nothing():
     assert {(words[x], words[y]) for x, y in zip(i, j)} == {p for p, v in scores.items() if v >= 0.84}
 
 
+def odd_names(seed, many):
+    rng = random.Random(seed)
+    names = {"".join(rng.choice("aabcdeé日😀") for _ in range(rng.randint(1, 14))) for _ in range(many)}
+    for name in list(names)[: many // 2]:  # neighbours: swapped, dropped, doubled and changed letters
+        i = rng.randrange(len(name))
+        names |= {name[:i] + name[i + 1 :] or "x", name[:i] + name[i:][::-1], name + rng.choice("ab"), name[:i] + "z" + name[i + 1 :]}
+    return sorted(names) + ["a" * 31, "a" * 32, "ab" * 40]
+
+
+def test_letters_bound_the_similarity_from_above(spark):
+    names = odd_names(3, 40)
+    df = spark.createDataFrame([(a, b) for a in names for b in names[::3]], "a string, b string")
+    bound = similarity_bound(F.col("a"), F.col("b"), letters(F.col("a")), letters(F.col("b")))
+    for a, b, most in df.select("a", "b", bound).collect():
+        assert (most is None) == (max(len(a), len(b)) > 31)
+        assert most is None or plain_jaro_winkler(a, b) <= most + 1e-9
+
+
+def test_close_names_have_a_key_in_common():
+    names = odd_names(4, 90)
+    lengths = sorted({len(n) for n in names})
+    frequency = {c: sum(n.count(c) for n in names) for n in names for c in n}
+    frequency.pop("b")
+    keys = [[set(index_keys(n, lengths, frequency, left)) for n in names] for left in (True, False)]
+    i, j, _ = similar_in_blocks(names, names)
+    assert len(i) > len(names)
+    assert all(keys[0][x] & keys[1][y] for x, y in zip(i, j))
+
+
+def test_close_names_equal_comparing_all(spark):
+    names = odd_names(5, 120)
+    df = spark.createDataFrame([(n, k) for n in names for k in ("x", "y") if k == "x" or len(n) > 5], "name string, k string")
+    got = {tuple(r) for r in M.close_names(df, df.withColumnRenamed("name", "n").withColumnRenamed("n", "name"), ["k"]).collect()}
+    i, j, _ = similar_in_blocks(names, names)
+    close = {(names[x], names[y]) for x, y in zip(i, j) if x != y}
+    assert got == {("x", *p) for p in close} | {("y", a, b) for a, b in close if len(a) > 5 and len(b) > 5}
+
+
+def test_candidates_are_given_once_however_many_blocks_they_share(spark):
+    records, linked = people(40, 8, "r"), people(80, 9, "l")
+    got = sorted((r["record_id"], r["source_id"]) for r in M.candidate_pairs(frames(spark, records, "record_id").drop("master_id"), frames(spark, linked, "source_id")).collect())
+    want = {
+        (a["id"], b["id"]) for a in records for b in linked
+        if (a["email"] and a["email"] == b["email"]) or (a["domain"] and a["domain"] == b["domain"])
+        or (a["name"] and b["name"] and a["name"][:3] == b["name"][:3]) or any(b["exact"].get(k) == v for k, v in a["exact"].items())
+    }
+    assert got == sorted(want)
+
+
 def test_extract_vectors(spark):
     rows = [(" Grace@Lovelace-GmbH.example ", "Hopper,  Grace ", "at u 123 456"), ("x@gmail.com", "  ", None), ("@a", "Ä-1", ""), ("a@", None, "7")]
     df = spark.createDataFrame(rows, "mail string, who string, vat string")
@@ -136,11 +185,11 @@ def frames(spark, rows, id_name):
     return spark.createDataFrame(data, schema)
 
 
-@pytest.mark.parametrize("hot_block", [None, 2, 8])
-def test_suggestions_equal_brute_force(spark, hot_block):
+@pytest.mark.parametrize("hot_block,direct", [(None, 1 << 20), (2, 1 << 20), (8, 1 << 20), (2, 0), (8, 40)])
+def test_suggestions_equal_brute_force(spark, hot_block, direct):
     records, linked = people(60, 1, "r"), people(150, 2, "l")
     want = plain_suggest(records, linked, M.DEFAULT_MODEL, 3)
-    out = M.suggest(frames(spark, records, "record_id").drop("master_id"), frames(spark, linked, "source_id"), hot_block=hot_block, chunk=3)
+    out = M.suggest(frames(spark, records, "record_id").drop("master_id"), frames(spark, linked, "source_id"), hot_block=hot_block, chunk=3, direct=direct)
     got = {}
     for r in out.orderBy("record_id", "rank").collect():
         got.setdefault(r["record_id"], []).append((r["master_id"], r["score"]))
