@@ -283,8 +283,12 @@ def block_keys(prefix: str = "") -> Column:
 
 def comparable() -> Column:
     """Whether a record has any attribute at all."""
-    plain = F.col("email").isNotNull() | F.col("domain").isNotNull() | F.col("name").isNotNull()
-    return plain | (F.size("exact") > 0)
+    return comparable_of("")
+
+
+def comparable_of(prefix: str) -> Column:
+    plain = F.col(prefix + "email").isNotNull() | F.col(prefix + "domain").isNotNull() | F.col(prefix + "name").isNotNull()
+    return plain | (F.size(prefix + "exact") > 0)
 
 
 def profiles(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlink.operators import matching as M
 from flowlink.operators.linking import link_digest
+from flowlink.session import stored
 
 RECORDS_PER_MASTER = 50
 MAX_NON_MATCHING = 200_000
@@ -152,6 +153,10 @@ def evaluate(pairs: DataFrame, model: M.Model, threshold: float = THRESHOLD) ->
         F.count_if(above & ~F.col("match")).alias("fp"),
         F.count_if(~above & F.col("match")).alias("fn"),
     )
+    return _quality(counts)
+
+
+def _quality(counts: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(F.lit(0.0))
     return counts.select(
         share(F.col("tp"), F.col("fp")).alias("precision"),
@@ -160,6 +165,117 @@ def evaluate(pairs: DataFrame, model: M.Model, threshold: float = THRESHOLD) ->
     )
 
 
+# --- Every pair, counted without being formed -------------------------------------------
+
+MOST_FIELDS = 6  # exact identifiers of an entity; each doubles the ways a pair can agree
+COUNT = "decimal(38,0)"
+
+
+def _agreements(spread: DataFrame, keys: list[str], attributes: list[str], n: str) -> DataFrame:
+    """(keys..., s, a values array, mask, n): rows counted by every set ``s`` of attributes they have."""
+    present = [i for i, c in enumerate(attributes)]
+    values = F.array(*[F.col(c) for c in attributes])
+    inside = lambda s: F.transform(values, lambda v, i: F.when(F.shiftright(s, i).bitwiseAND(F.lit(1)) == 1, v))
+    sets = F.filter(F.sequence(F.lit(0), F.lit((1 << len(present)) - 1)), lambda s: s.bitwiseAND(F.col("mask")) == s)
+    rows = spread.select(*keys, "mask", F.explode(sets).alias("s"), values.alias("_v"), F.col(n).alias("_n"))
+    named = {c: F.when(F.col("s").bitwiseAND(F.lit(1 << i)) != 0, F.get("_v", F.lit(i))) for i, c in enumerate(attributes)}
+    return rows.select(*keys, "s", F.array(*named.values()).alias("a"), "mask", "_n").groupBy(*keys, "s", "a", "mask").agg(F.sum("_n").alias("n"))
+
+
+def _exactly(met: DataFrame, by: list[str], attributes: int) -> DataFrame:
+    """From pairs that agree on ``s`` at least to pairs that agree on ``s`` and nothing else.
+
+    By inclusion and exclusion: a pair that agrees on s counts for each subset of s, with
+    the sign of what the subset lacks.
+    """
+    parts = F.filter(F.sequence(F.lit(0), F.lit((1 << attributes) - 1)), lambda x: x.bitwiseAND(F.col("s")) == x)
+    lacks = met.withColumn("x", F.explode(parts))
+    sign = F.when(F.bit_count(F.col("s") - F.col("x")) % 2 == 0, F.col("pairs")).otherwise(-F.col("pairs"))
+    return lacks.groupBy(*by, F.col("x").alias("s"), "p", "q").agg(F.sum(sign).cast(COUNT).alias("pairs")).filter("pairs <> 0")
+
+
+def _paired(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(s, p, q, pairs) of rows with equal keys, s and values; a key has few masks, so few rows."""
+    held = counts.groupBy(*keys, "s", "a").agg(F.array_sort(F.collect_list(F.struct("mask", F.col("n").cast(COUNT).alias("n")))).alias("m"))
+    one = held.select("s", "m", F.posexplode("m").alias("i", "x"))
+    two = one.select("s", F.col("i"), F.col("x"), F.posexplode("m").alias("j", "y")).filter("i <= j")
+    same = F.col("x.n") * (F.col("x.n") - 1) / 2
+    pairs = F.when(F.col("i") == F.col("j"), same.cast(COUNT)).otherwise((F.col("x.n") * F.col("y.n")).cast(COUNT))
+    return two.select("s", F.col("x.mask").alias("p"), F.col("y.mask").alias("q"), pairs.alias("pairs")).groupBy("s", "p", "q").agg(F.sum("pairs").cast(COUNT).alias("pairs"))
+
+
+def pair_classes(records: DataFrame) -> DataFrame:
+    """All pairs of records by how they compare: (match, email, domain, name, exact, pairs).
+
+    A pair's levels follow from what both records have, what they agree on, and whether
+    unequal names are close. How many pairs agree on a set of attributes is a count per
+    value of that set; inclusion and exclusion give how many agree on just that set. Only
+    close names are looked up, in an index, and then counted by name. No pair of records is
+    formed, so no block is too large, no master has too many records and nothing is sampled.
+    Without attributes a record isn't compared. Counts are exact (38 digits).
+    """
+    usable = records.filter(M.comparable())
+    fields = sorted(r[0] for r in usable.select(F.explode("exact.field")).distinct().limit(MOST_FIELDS + 1).collect())
+    if len(fields) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} exact identifiers are compared")
+    attributes = ["email", "domain", "name", *[f"x{i}" for i in range(len(fields))]]
+    known = F.map_from_entries("exact")
+    spread = usable.select("master_id", "email", "domain", "name", *[F.try_element_at(known, F.lit(f)).alias(f"x{i}") for i, f in enumerate(fields)])
+    mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(attributes)), F.lit(0))
+    spread = stored(spread.groupBy("master_id", *attributes).agg(F.count(F.lit(1)).alias("n")).withColumn("mask", mask), "profiles")
+    name_bit = 1 << attributes.index("name")
+    others = [c for c in attributes if c != "name"]
+
+    names = spread.filter(F.col("name").isNotNull()).select("name").distinct()
+    near = M.close_names(names, names).filter(F.col("a_name") < F.col("b_name"))
+    level = F.when(M.jaro_winkler("a_name", "b_name") >= M.SAME, "name.same").otherwise("name.close")
+    near = stored(near.withColumn("level", level), "close-names")
+
+    def classes(keys: list[str]) -> DataFrame:
+        """Pairs with equal keys, by (level, s, p, q); the level is that of unequal close names."""
+        every = _exactly(_paired(_agreements(spread, keys, attributes, "n"), keys), [], len(attributes))
+        by_name = _agreements(spread.filter(F.col("name").isNotNull()).withColumn("name_", F.col("name")).withColumn("name", F.lit(None).cast("string")).withColumn(
+            "mask", F.col("mask") - name_bit), [*keys, "name_"], attributes, "n")
+        on = [*keys, "s", "a"]
+        first = near.join(by_name.withColumnRenamed("name_", "a_name"), "a_name").select(*on, "b_name", "level", F.col("mask").alias("p"), F.col("n").alias("n1"))
+        second = by_name.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("name_").alias("_name"), F.col("mask").alias("q"), F.col("n").alias("n2"))
+        same = F.col("b_name") == F.col("_name")
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        both = first.join(second, same).select(
+            "level", "s", (F.least("p", "q") + name_bit).alias("p"), (F.greatest("p", "q") + name_bit).alias("q"), (F.col("n1").cast(COUNT) * F.col("n2")).cast(COUNT).alias("pairs")
+        )
+        close = _exactly(both.groupBy("level", "s", "p", "q").agg(F.sum("pairs").cast(COUNT).alias("pairs")), ["level"], len(attributes))
+        ordered = every.select(F.lit(None).cast("string").alias("level"), "s", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "pairs")
+        # Close names are among the unequal ones: what is close is no longer different.
+        less = close.select(F.lit(None).cast("string").alias("level"), "s", "p", "q", (-F.col("pairs")).alias("pairs"))
+        return close.select("level", "s", "p", "q", "pairs").unionByName(ordered).unionByName(less)
+
+    matching = classes(["master_id"]).withColumn("match", F.lit(True))
+    rest = classes([]).withColumn("match", F.lit(False)).unionByName(matching.withColumn("pairs", -F.col("pairs")).withColumn("match", F.lit(False)))
+    found = matching.unionByName(rest).groupBy("match", "level", "s", "p", "q").agg(F.sum("pairs").cast(COUNT).alias("pairs")).filter("pairs > 0")
+    bit = lambda c, i: F.col(c).bitwiseAND(F.lit(1 << i)) != 0
+    both = lambda i: bit("p", i) & bit("q", i)
+    agree = lambda i, kind: F.when(both(i), F.when(bit("s", i), f"{kind}.same").otherwise(f"{kind}.differs"))
+    exact = F.array_compact(F.array(*[
+        F.when(both(3 + i), F.struct(agree(3 + i, "exact").alias("level"), F.lit(f).alias("field"))) for i, f in enumerate(fields)
+    ])) if fields else F.array().cast("array<struct<level:string,field:string>>")
+    return found.select(
+        "match", agree(0, "email").alias("email"), F.when(~bit("s", 0), agree(1, "domain")).alias("domain"),
+        F.when(both(2), F.when(bit("s", 2), "name.same").otherwise(F.coalesce("level", F.lit("name.differs")))).alias("name"), exact.alias("exact"), "pairs",
+    )
+
+
+def evaluate_all(classes: DataFrame, model: M.Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``evaluate`` over the classes of all pairs (one row)."""
+    above = M.probability({k: F.col(k) for k in ("email", "domain", "name", "exact")}, model) >= threshold
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("pairs"))), F.lit(0)).cast("bigint")
+    counts = classes.withColumn("_above", above).agg(
+        total(F.col("_above") & F.col("match")).alias("tp"), total(F.col("_above") & ~F.col("match")).alias("fp"), total(~F.col("_above") & F.col("match")).alias("fn")
+    )
+    return _quality(counts)
+
+
 class Training(NamedTuple):
     """The model to use, the level report, and the quality of both models on held-out pairs."""
 
@@ -170,14 +286,16 @@ class Training(NamedTuple):
 
 def fit(records: DataFrame, holdout: float = HOLDOUT, threshold: float = THRESHOLD, most: int = MAX_NON_MATCHING) -> Training:
     """Trains on some masters, judges on the others; the trained model is used only if it
-    is at least as precise as the default. Only the nine levels and two quality rows are
-    brought to the driver."""
+    is at least as precise as the default. It is fitted on ``RECORDS_PER_MASTER`` records of
+    a master and ``most`` pairs of different ones, and judged on all pairs held out. The
+    nine levels, two quality rows, the names of exact identifiers and what the index of
+    close names needs are brought to the driver."""
     marked = records.withColumn("_held", held_out(F.col("master_id"), holdout))
     levels = train(labelled_pairs(marked.filter(~F.col("_held")).drop("_held"), most, seed=1))
     trained = M.read_model(levels)
-    held = labelled_pairs(marked.filter("_held").drop("_held"), most, seed=2)
-    quality = evaluate(held, M.DEFAULT_MODEL, threshold).withColumn("model", F.lit("default")).unionByName(
-        evaluate(held, trained, threshold).withColumn("model", F.lit("trained"))
+    held = stored(pair_classes(marked.filter("_held").drop("_held")), "classes")
+    quality = evaluate_all(held, M.DEFAULT_MODEL, threshold).withColumn("model", F.lit("default")).unionByName(
+        evaluate_all(held, trained, threshold).withColumn("model", F.lit("trained"))
     )
     by_model = {r["model"]: r["precision"] for r in quality.select("model", "precision").collect()}
     better = by_model["trained"] >= by_model["default"]

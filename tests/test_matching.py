@@ -296,3 +296,29 @@ def test_contact_counts_equal_all_pairs(spark):
     for hot in (1000, 2):
         got = {r["level"]: r["pairs"] for r in K.within_master_counts(df, ["duns", "vat"], hot, 2).collect() if r["pairs"]}
         assert got == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_of_all_pairs_equal_forming_them(spark, seed):
+    rows = people(120, seed, "x")
+    records = frames(spark, rows, "source_id").drop("entity")
+    a = records.select(F.col("source_id").alias("a_id"), F.col("master_id").alias("am"), *[F.col(c).alias(f"a_{c}") for c in M.ATTRIBUTES]).filter(M.comparable_of("a_"))
+    b = records.select(F.col("source_id").alias("b_id"), F.col("master_id").alias("bm"), *[F.col(c).alias(f"b_{c}") for c in M.ATTRIBUTES]).filter(M.comparable_of("b_"))
+    pairs = a.crossJoin(b).filter("a_id < b_id").withColumn("match", F.col("am") == F.col("bm"))
+    levels = M.compare(similarity=M.name_similarity())
+    shape = lambda r: (r["match"], r["email"], r["domain"], r["name"], tuple((e["level"], e["field"]) for e in r["exact"]))
+    want = {shape(r): r["n"] for r in pairs.select("match", *[v.alias(k) for k, v in levels.items()]).groupBy("match", "email", "domain", "name", "exact").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = T.pair_classes(records)
+    got = {}
+    for r in classes.collect():
+        got[shape(r)] = got.get(shape(r), 0) + int(r["pairs"])
+    assert got == want and any(k[3] == "name.close" for k in want)
+    for model in (M.DEFAULT_MODEL, M.Model({**M.DEFAULT_LEVELS, "name.differs": (0.9, 0.01)})):
+        for threshold in (0.5, 0.95):
+            assert [tuple(r) for r in T.evaluate_all(classes, model, threshold).collect()] == [tuple(r) for r in T.evaluate(pairs, model, threshold).collect()]
+
+
+def test_classes_of_few_records(spark):
+    records = frames(spark, people(3, 1, "x"), "source_id").drop("entity")
+    assert T.pair_classes(records.limit(0)).collect() == []
+    assert [tuple(r) for r in T.evaluate_all(T.pair_classes(records.limit(0)), M.DEFAULT_MODEL).collect()] == [(0.0, 0.0, 0)]
