@@ -221,6 +221,70 @@ def failing_runs(runs: DataFrame, ratio: float, least: int = 3, width_ms: int =
     return windows.filter((F.col("failed") >= least) & (F.col("failed") / F.col("finished") > ratio))
 
 
+def alert_windows(events: DataFrame, keys: Sequence[str], test: Column, width_ms: int, slide_ms: int = 5 * MINUTE, above: int = 0) -> DataFrame:
+    """Sliding windows with more than ``above`` events of a kind, named by their end.
+
+    What an alert sees when it looks back ``width_ms`` every ``slide_ms``: events on both
+    sides of a full hour are in one window all the same.
+    """
+    kind = events.filter(F.coalesce(test, F.lit(False)))
+    return sliding_counts(kind, keys, {"events": F.lit(True)}, width_ms, slide_ms).filter(F.col("events") > above)
+
+
+def lasting(windows: DataFrame, keys: Sequence[str], for_ms: int, slide_ms: int = 5 * MINUTE) -> DataFrame:
+    """Spells in which an alert's condition held at every look for ``for_ms``: (keys..., since_ms, fires_ms, last_ms).
+
+    ``windows`` has the windows (by their end) in which the condition holds. A key has no
+    more of them than there were looks, whatever its number of events.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("window_end_ms"))
+    spells = windows.select(*keys, "window_end_ms", (F.col("window_end_ms") - nth * slide_ms).alias("_spell"))
+    found = spells.groupBy(*keys, "_spell").agg(F.min("window_end_ms").alias("since_ms"), F.max("window_end_ms").alias("last_ms"))
+    return found.filter(F.col("last_ms") - F.col("since_ms") >= for_ms).select(*keys, "since_ms", (F.col("since_ms") + for_ms).alias("fires_ms"), "last_ms")
+
+
+def slow_windows(
+    runs: DataFrame, targets: DataFrame, width_ms: int = 30 * MINUTE, slide_ms: int = 5 * MINUTE, share: float = 0.95
+) -> DataFrame:
+    """Sliding windows in which a workflow's 95th percentile of active time is above its target.
+
+    Times are counted per slide in classes an eighth of a doubling wide; such counts merge
+    into those of windows and tell the class in which the percentile lies. Only the times of
+    that class are looked at, which makes it exact.
+    """
+    active = F.col("closed_ms") - F.col("started_ms") - F.col("waited_ms")
+    done = runs.filter(F.col("status") == "completed").select(
+        "workflow", (F.floor(F.col("closed_ms") / slide_ms) * slide_ms).cast("bigint").alias("_slot"), active.alias("active_ms")
+    )
+    done = done.withColumn("_class", F.floor(F.log2(F.greatest(F.col("active_ms"), F.lit(0)) + 1) * 8).cast("int"))
+    per_slot = done.groupBy("workflow", "_slot", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    ends = F.sequence(F.col("_slot") + slide_ms, F.col("_slot") + width_ms, F.lit(slide_ms))
+    classes = per_slot.withColumn("window_end_ms", F.explode(ends)).groupBy("workflow", "window_end_ms", "_class").agg(F.sum("_n").alias("_n"))
+    window = Window.partitionBy("workflow", "window_end_ms")
+    below = F.coalesce(F.sum("_n").over(window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.floor(F.lit(share) * (F.sum("_n").over(window) - 1)).cast("bigint")
+    placed = classes.withColumns({"_below": below, "_wanted": wanted})
+    held = placed.filter((F.col("_below") <= F.col("_wanted")) & (F.col("_wanted") < F.col("_below") + F.col("_n")))
+    slots = F.sequence(F.col("window_end_ms") - width_ms, F.col("window_end_ms") - slide_ms, F.lit(slide_ms))
+    looked = held.select("workflow", "window_end_ms", "_class", (F.col("_wanted") - F.col("_below")).alias("_nth"), F.explode(slots).alias("_slot"))
+    nth = F.row_number().over(window.orderBy("active_ms")) - 1
+    found = looked.join(done, ["workflow", "_class", "_slot"]).withColumn("_i", nth).filter("_i = _nth")
+    return found.select("workflow", "window_end_ms", "active_ms").join(targets, "workflow").filter(F.col("active_ms") > F.col("target_ms"))
+
+
+def stream_windows(
+    events: DataFrame, keys: Sequence[str], counts: dict[str, Column], at: str, delay: str, width: str, slide: str
+) -> DataFrame:
+    """``sliding_counts`` of a stream, each window once ``delay`` has passed since its end.
+
+    Two stateful steps: counts per slide, and windows of those. A row changes one count, not
+    as many as a window has slides.
+    """
+    slots = events.withWatermark(at, delay).groupBy(F.window(at, slide).alias("_slot"), *keys).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    windows = slots.groupBy(F.window(F.window_time("_slot"), width, slide).alias("_window"), *keys).agg(*[F.sum(n).alias(n) for n in counts])
+    return windows.select(*keys, F.unix_millis("_window.end").alias("window_end_ms"), *counts)
+
+
 def counted_alert(events: DataFrame, keys: Sequence[str], test: Column, width_ms: int, above: int = 0) -> DataFrame:
     """Tumbling windows with more than ``above`` events of a kind: failed compensations,
     records waiting for a steward, approvals timing out, webhooks with bad signatures."""

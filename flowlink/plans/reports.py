@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from flowlink.operators import audit as A
 from flowlink.operators import reports as R
 from flowlink.plans.registry import derive, query
+from flowlink.session import scratch
+from flowlink.streaming import intake as S
 
 CHAIN = 50
 NOW = 1706745600000
@@ -277,6 +279,63 @@ def _(t):
     return R.failing_runs(t["runs"], 0.6).select("workflow", "window_end_ms", F.col("finished").cast("bigint").alias("finished"), "failed")
 
 
+_FAILING = """
+    WITH s AS (SELECT workflow, closed_ms // 300000 * 300000 AS slot, status FROM {runs} WHERE status <> 'running'),
+    w AS (SELECT workflow, slot + 300000 * i AS window_end_ms, status FROM s, range(1, 13) r(i)),
+    f AS (SELECT workflow, window_end_ms, count(*) AS finished, count(*) FILTER (status = 'failed') AS failed FROM w GROUP BY 1, 2)
+"""
+
+
+@query(
+    "t07_failing_runs_lasting",
+    _FAILING + """, g AS (SELECT *, window_end_ms - 300000 * row_number() OVER (PARTITION BY workflow ORDER BY window_end_ms) AS spell FROM f WHERE failed >= 3 AND failed / finished > 0.6)
+    SELECT workflow, min(window_end_ms) AS since_ms, min(window_end_ms) + 600000 AS fires_ms, max(window_end_ms) AS last_ms FROM g GROUP BY workflow, spell HAVING max(window_end_ms) - min(window_end_ms) >= 600000
+    """,
+)
+def _(t):
+    return R.lasting(R.failing_runs(t["runs"], 0.6), ["workflow"], 10 * R.MINUTE)
+
+
+@query(
+    "t07_failing_runs_stream",
+    _FAILING + "SELECT workflow, window_end_ms, finished, failed FROM f WHERE failed >= 3 AND failed / finished > 0.6 AND window_end_ms <= (SELECT max(closed_ms) FROM {runs} WHERE status <> 'running') - 60000",
+)
+def _(t):
+    done = t["runs"].filter(F.col("status").isin("completed", "failed")).select("workflow", "status", F.timestamp_millis("closed_ms").alias("at"))
+    path, out = scratch(t.spark, "runs"), scratch(t.spark, "windows")
+    done.orderBy("at").coalesce(1).write.parquet(path)
+    stream = S.read_folder(t.spark, path, done.schema)
+    counts = {"finished": F.lit(True), "failed": F.col("status") == "failed"}
+    windows = R.stream_windows(stream, ["workflow"], counts, "at", "1 minute", "1 hour", "5 minutes")
+    S.to_table(windows, out, scratch(t.spark, "checkpoint"))
+    return t.spark.read.parquet(out).filter((F.col("failed") >= 3) & (F.col("failed") / F.col("finished") > 0.6))
+
+
+@query(
+    "t07_steward_waits_sliding",
+    """
+    WITH s AS (SELECT workflow, closed_ms // 300000 * 300000 AS slot FROM {runs} WHERE failure_type = 'Unresolved')
+    SELECT workflow, slot + 300000 * i AS window_end_ms, count(*) AS events FROM s, range(1, 13) r(i) GROUP BY 1, 2 HAVING count(*) > 1
+    """,
+)
+def _(t):
+    timed = t["runs"].withColumn("at_ms", F.col("closed_ms"))
+    return R.alert_windows(timed, ["workflow"], F.col("failure_type") == "Unresolved", 60 * R.MINUTE, above=1).select("workflow", "window_end_ms", "events")
+
+
+@query(
+    "t07_slow_runs_sliding",
+    f"""
+    WITH r AS (SELECT workflow, closed_ms // 300000 * 300000 + 300000 * i AS window_end_ms, active_ms FROM {_ACTIVE}, range(1, 7) x(i)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY workflow, window_end_ms ORDER BY active_ms) - 1 AS i, count(*) OVER (PARTITION BY workflow, window_end_ms) AS c FROM r)
+    SELECT workflow, window_end_ms, active_ms, length(workflow) * 12000 AS target_ms FROM n WHERE i = cast(floor(0.95 * (c - 1)) as bigint) AND active_ms > length(workflow) * 12000
+    """,
+)
+def _(t):
+    targets = t["runs"].select("workflow").distinct().withColumn("target_ms", (F.length("workflow") * 12000).cast("bigint"))
+    return R.slow_windows(t["runs"], targets).select("workflow", "window_end_ms", "active_ms", "target_ms")
+
+
 @query(
     "t07_steward_waits",
     "SELECT workflow, closed_ms // 3600000 * 3600000 AS window_ms, count(*) AS events FROM {runs} WHERE failure_type = 'Unresolved' GROUP BY 1, 2",

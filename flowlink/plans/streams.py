@@ -178,12 +178,35 @@ def request_log(t):
     )
 
 
-@query("t06_open_requests")
+# One message of every key per step: the state is the holder, its time, and the waiters.
+_REPLAY = """
+    WITH RECURSIVE log AS (
+      SELECT concat('w', cast(user_id as varchar)) AS key, event_id AS seq, concat('r', cast(event_id % 5 as varchar)) AS run,
+        CASE WHEN event_id % 3 = 2 THEN 'close' ELSE 'open' END AS kind, epoch_ms(ts) AS at, CASE WHEN event_id % 3 <> 2 THEN epoch_ms(ts) + 604800000 END AS until,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}
+    ), step(key, n, seq, run, kind, holder, waiters, h, u, w) AS (
+      SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, '', NULL::VARCHAR, NULL::BIGINT, CAST([] AS VARCHAR[]) FROM log
+      UNION ALL
+      SELECT l.key, l.n, l.seq, l.run, l.kind,
+        CASE WHEN l.kind = 'open' AND h IS NOT NULL AND h <> l.run AND u > l.at THEN h END,
+        CASE WHEN l.kind = 'close' AND h = l.run THEN array_to_string(w, ',') ELSE '' END,
+        CASE WHEN l.kind = 'open' THEN CASE WHEN h IS NULL OR h = l.run OR u <= l.at THEN l.run ELSE h END WHEN h = l.run THEN NULL ELSE h END,
+        CASE WHEN l.kind = 'open' THEN CASE WHEN h IS NULL OR h = l.run OR u <= l.at THEN l.until ELSE u END WHEN h = l.run THEN NULL ELSE u END,
+        CASE WHEN h IS NULL OR (l.kind = 'close' AND h = l.run) THEN CAST([] AS VARCHAR[])
+             WHEN l.kind = 'close' OR h = l.run OR u <= l.at THEN list_filter(w, lambda x: x <> l.run)
+             ELSE list_append(list_filter(w, lambda x: x <> l.run), l.run) END
+      FROM step s JOIN log l ON l.key = s.key AND l.n = s.n + 1
+    )
+    SELECT key, seq, run, kind, holder, waiters FROM step WHERE n > 0
+"""
+
+
+@query("t06_open_requests", _REPLAY)
 def _(t):
     return A.replay_requests(request_log(t))
 
 
-@query("t06_open_requests_stream")
+@query("t06_open_requests_stream", _REPLAY)
 def _(t):
     log = request_log(t)
     # Files follow the log's order, so that each trigger goes on where the last one ended.

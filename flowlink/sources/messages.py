@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlink.functions.joins import small
 from flowlink.functions.prefix import run_starts
+from flowlink.session import stored
 
 # --- Change events covering several records ---------------------------------------------
 
@@ -132,36 +133,49 @@ def parse_segments(data: DataFrame, definition: DataFrame) -> DataFrame:
     return joined.withColumn("fields", F.map_from_entries(kept)).withColumn("segment", F.trim("segnam"))
 
 
+def _parents(numbered: DataFrame) -> DataFrame:
+    """(docnum, _pos, _up): the place of the segment that each one hangs below, if any."""
+    group = Window.partitionBy("docnum", "_number").orderBy("_pos", "_named")
+    named = numbered.select("docnum", "_pos", F.col("_own_number").alias("_number"), F.col("_own").alias("_text"), F.lit(1).alias("_named"))
+    asking = numbered.filter("_parent <> ''").select("docnum", "_pos", F.col("_parent").alias("_number"), F.lit(None).cast("string").alias("_text"), F.lit(0).alias("_named"))
+    so_far = group.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.first("_text", ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, 0))
+    both = named.unionByName(asking).withColumn("_first", first)
+    up = F.last(F.when(F.col("_text") == F.col("_first"), F.col("_pos")), ignorenulls=True).over(so_far)
+    return both.withColumn("_up", up).filter("_named = 0").select("docnum", "_pos", "_up")
+
+
 def segment_tree(segments: DataFrame) -> DataFrame:
     """One row per segment with its place in its document's tree: level, path, parent_path.
 
-    A segment hangs below the first earlier one whose number (leading zeros aside) its
-    parent number names, at any depth; without a parent, or with an unknown one, it is at
-    the top, level 1. A path is the numbers from the top down, with ``/`` before each.
+    A segment hangs below an earlier one whose number (leading zeros aside) its parent
+    number names, at any depth; without a parent, or with an unknown one, it is at the top,
+    level 1. Where several earlier ones have that number as the same text, the latest takes
+    the children; where as different texts, those of the text that came first. A segment
+    that names itself hangs below an earlier namesake, or is at the top. A path is the
+    numbers from the top down, with ``/`` before each.
 
-    A document is one message and is walked in one row; its segments come back as rows.
+    Segments stay rows: parents are found by windows over the segments of one number, and
+    paths by pointer doubling, as many joins as the depth has binary digits. A document's
+    size is bounded by nothing but the disk.
     """
     own, parent = F.trim(F.coalesce("segnum", F.lit(""))), F.trim(F.coalesce("psgnum", F.lit("")))
-    row = F.struct(
-        F.col("segnum"), own.alias("own"), F.regexp_replace(own, "^0+", "").alias("number"),
-        F.regexp_replace(parent, "^0+", "").alias("parent"), "segment", F.map_entries("fields").alias("fields"),
-    )
-    whole = segments.groupBy("docnum").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    none = F.array().cast("array<struct<number:string,path:string>>")
-
-    def above(seen: Column, s: Column) -> Column:
-        named = F.filter(seen, lambda x: (s["parent"] != "") & (x["number"] == s["parent"]))
-        return F.coalesce(F.get(F.transform(named, lambda x: x["path"]), 0), F.lit(""))
-
-    paths = F.aggregate(
-        "_rows", none,
-        lambda seen, s: F.array_append(seen, F.struct(s["number"].alias("number"), F.concat(above(seen, s), F.lit("/"), s["own"]).alias("path"))),
+    place = F.row_number().over(Window.partitionBy("docnum").orderBy("segnum", "segment", F.xxhash64("psgnum", F.map_entries("fields"))))
+    numbered = segments.select(
+        "docnum", "segnum", "segment", "fields", own.alias("_own"), F.regexp_replace(own, "^0+", "").alias("_own_number"),
+        F.regexp_replace(parent, "^0+", "").alias("_parent"), place.alias("_pos"),
     )
-    placed = whole.select("docnum", F.inline(F.arrays_zip(F.col("_rows").alias("s"), paths.alias("p"))))
-    path = F.col("p.path")
-    return placed.select(
-        "docnum", "s.segnum", "s.segment", F.map_from_entries("s.fields").alias("fields"), path.alias("path"),
-        F.regexp_replace(path, "/[^/]*$", "").alias("parent_path"), (F.length(path) - F.length(F.translate(path, "/", ""))).alias("level"),
+    numbered = stored(numbered, "segments")
+    at = ["docnum", "_pos"]
+    ways = numbered.join(_parents(numbered), at, "left").select(*at, "_up", F.concat(F.lit("/"), "_own").alias("path"), F.lit(1).alias("level"))
+    ways = stored(ways, "paths")
+    while not ways.filter(F.col("_up").isNotNull()).isEmpty():
+        above = ways.select("docnum", F.col("_pos").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_path"), F.col("level").alias("_level"))
+        ways = stored(ways.join(above, ["docnum", "_up"], "left").select(
+            *at, F.col("_next").alias("_up"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"), (F.coalesce("_level", F.lit(0)) + F.col("level")).alias("level")
+        ), "paths")
+    return numbered.join(ways.drop("_up"), at).select(
+        "docnum", "segnum", "segment", "fields", "path", F.regexp_replace("path", "/[^/]*$", "").alias("parent_path"), "level"
     )
 
 

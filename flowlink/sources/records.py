@@ -2,26 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlink.session import stored
+
 
 class IncompleteExport(ValueError):
     """An export whose files do not hold the rows its job reported."""
 
 
+def _cut_records(inside: dict[tuple[str, int], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines of blocks, in order, to records: a line begins one where no quote is open.
+
+    ``inside`` says which blocks begin inside quotes. What goes on from the block before
+    (part 0) and what isn't over at the block's end (part 2) come as they are, to be put
+    together; whole records are part 1. ``first`` marks what begins its file.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, int, int, bool, str]] = []
+        place, held, open_, begun, first = None, [], False, True, False
+
+        def end() -> None:
+            if held:
+                part = 2 if open_ and begun else 1 if begun else 0
+                out.append((*place, part, first, "\n".join(held)))
+                held.clear()
+
+        for batch in batches:
+            for value, file, block in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if (file, block) != place:
+                    end()
+                    place, open_ = (file, block), inside.get((file, block), False)
+                    begun, first = not open_, block == 0
+                held.append(value)
+                open_ ^= value.count('"') % 2 == 1
+                if not open_:
+                    end()
+                    begun, first = True, False
+            # A part that a later batch goes on with stays held.
+            yield pa.RecordBatch.from_pylist([dict(zip(PARTS, r)) for r in out], schema=PART_SCHEMA)
+            out.clear()
+        end()
+        yield pa.RecordBatch.from_pylist([dict(zip(PARTS, r)) for r in out], schema=PART_SCHEMA)
+
+    return cut
+
+
+PARTS = ("file", "block", "part", "first", "value")
+PART_SCHEMA = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("first", pa.bool_()), ("value", pa.string())])
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, value): the CSV records of files, line breaks in quotes and all.
+
+    Quotes stand around fields, and doubled inside them, only (RFC 4180).
+
+    Files are read in the byte ranges Spark cuts them into. Whether a range begins inside
+    quotes follows from the number of quotes before it: each range counts its own, one row
+    per range says so, and a running sum over a file's ranges tells the rest. Only what
+    crosses the end of a range, two parts of it at most, meets in a shuffle. The driver
+    holds the ranges that begin inside quotes, one entry for ``maxPartitionBytes`` of input
+    at most.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    blocks = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocks.withColumn("inside", F.sum("odd").over(earlier) % 2 == 1).filter("inside").select("file", "block").collect()
+    cut = lines.mapInArrow(_cut_records({(r["file"], r["block"]): True for r in inside}), "file string, block bigint, part int, first boolean, value string")
+    cut = stored(cut, "records")
+    # What is not over at a range's end goes on at the next one, up to a range whose first part ends it.
+    ragged = cut.filter("part <> 1")
+    so_far = Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.sum(F.when(F.col("part") == 2, 1).otherwise(0)).over(so_far)
+    pieces = ragged.withColumn("_nth", begun).groupBy("file", "_nth").agg(
+        F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("block", "part", "value"))).alias("_parts")
+    )
+    whole = pieces.select("file", "first", F.array_join(F.col("_parts.value"), "\n").alias("value"))
+    ended = cut.filter("part = 1").select("file", "first", "value").unionByName(whole)
+    return ended.withColumn("value", F.regexp_replace("value", r"\r$", "")).filter("first OR value <> ''")
+
+
 def read_export(spark: SparkSession, path: str, columns: list[str], reported: int | None = None) -> DataFrame:
     """CSV pages with a header: every value text, "" for empty.
 
-    With the job's reported row count, the files must hold exactly that many rows.
+    Quoted line breaks are legal in an export; a page is read by as many tasks as it has
+    byte ranges all the same (``quoted_records``). With the job's reported row count, the
+    files must hold exactly that many rows, which are counted as they are parsed.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    # Quoted line breaks are legal in an export, so pages are parsed as whole files.
-    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=False)
-    df = df.na.fill("")
+    schema = ", ".join(f"`{c}` STRING" for c in columns)
+    parsed = quoted_records(spark, path).withColumn("_row", F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}))
+    header = F.array(*[F.col("_row")[c] for c in columns]) == F.array(*[F.lit(c) for c in columns])
+    told = F.when(F.col("first") & ~F.coalesce(header, F.lit(False)), F.raise_error(F.concat(F.lit("the header differs in "), "file")).cast("boolean")).otherwise(~F.col("first"))
+    df = parsed.filter(told).select("_row.*").na.fill("")
     if reported is not None:
-        found = df.count()
+        seen = Observation("export")
+        df = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), "export")
+        found = seen.get["rows"]
         if found != reported:
             raise IncompleteExport(f"the export holds {found} rows, its job reported {reported}")
     return df

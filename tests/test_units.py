@@ -185,10 +185,55 @@ def test_keep_first_is_idempotent(spark):
 # --- Ordered computations across blocks -------------------------------------------------
 
 
-@pytest.mark.parametrize("values", ["ab", "a"])
-def test_runs_cross_blocks_and_groups(spark, values):
+@pytest.mark.parametrize("ending,size", [("\n", 120), ("\n", 1 << 20), ("\r\n", 200)])
+def test_exports_with_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, ending, size):
+    rng = random.Random(size)
+    said = ["plain", "", 'a ""quote""', "two\nlines", "\n\n\n", "x" * 80, "comma, too", 'long\n""and""\n' * 15, "é😀"]
+    rows = [(str(i), rng.choice(said), rng.choice(said)) for i in range(40)]
+    lines = ["id,note,other", *[f'{i},"{a}","{b}"' for i, a, b in rows]]
+    for n, part in enumerate((lines[:30], ['"id",note,other', *lines[30:]])):
+        (tmp_path / f"p{n}.csv").write_bytes((ending.join(part) + ending * (n + 1)).encode())
+    (tmp_path / "p2.csv").write_text("id,note,other")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in keep:
+        spark.conf.set(k, str(size))
+    try:
+        got = records.read_export(spark, str(tmp_path), ["id", "note", "other"], 40)
+        blocks = spark.read.text(str(tmp_path)).select(F.input_file_block_start()).distinct().count()
+        assert sorted(map(tuple, got.collect())) == sorted((i, a.replace('""', '"'), b.replace('""', '"')) for i, a, b in rows)
+        assert blocks > 8 or size > 300
+        with pytest.raises(records.IncompleteExport):
+            records.read_export(spark, str(tmp_path), ["id", "note", "other"], 41)
+        with pytest.raises(Exception, match="header"):
+            records.read_export(spark, str(tmp_path), ["id", "other", "note"]).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def orders_of(rng, sparse):
+    """Dense numbers, gaps of every width, and numbers as far apart as log positions."""
+    if sparse:
+        return [-(1 << 40) + (i << 15) for i in range(400)]
+    return sorted(rng.sample(range(1 << 20), 300)) + [(1 << 33) + i * 70000 for i in range(60)] + [(1 << 35) + i for i in range(20)]
+
+
+def test_blocks_hold_rows_however_far_apart_their_numbers_are(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(prefix, "LEVEL_BITS", 2)
+    for step in (1, 7, 1 << 15, 1 << 40):
+        df = spark.range(1000).select((F.col("id") * step + 5).alias("n"))
+        cut = prefix.cut_of(df, "n")
+        sizes = [r["count"] for r in df.groupBy(cut.block("n")).count().collect()]
+        assert max(sizes) <= 32 and len(sizes) <= 130 and cut.levels in (2, 3)
+
+
+@pytest.mark.parametrize("values,sparse,rows_,bits", [("ab", False, 1 << 16, 12), ("a", False, 4, 2), ("ab", True, 4, 2), ("a", True, 1, 1), ("ab", False, 1, 3)])
+def test_runs_cross_blocks_and_groups(spark, monkeypatch, values, sparse, rows_, bits):
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", rows_)
+    monkeypatch.setattr(prefix, "LEVEL_BITS", bits)
     rng = random.Random(8)
-    orders = sorted(rng.sample(range(1 << 20), 200)) + [(1 << 33) + i * 70000 for i in range(60)] + [(1 << 35) + i for i in range(20)]
+    orders = orders_of(rng, sparse)
     rows = [(n, rng.choice("kl"), rng.choice([*values * 6, None]) if values == "ab" else "a", n % 3) for n in orders]
     df = spark.createDataFrame(rows, "n bigint, k string, v string, other int").repartition(3)
     want, last = [], {}
@@ -199,9 +244,12 @@ def test_runs_cross_blocks_and_groups(spark, values):
     assert sorted(tuple(r) for r in prefix.run_starts(df, "n", ["v"], "start", ["k"]).collect()) == want
 
 
-def test_prefix_computations_cross_blocks_and_groups(spark):
+@pytest.mark.parametrize("sparse,rows_,bits", [(False, 1 << 16, 12), (False, 4, 2), (True, 2, 1)])
+def test_prefix_computations_cross_blocks_and_groups(spark, monkeypatch, sparse, rows_, bits):
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", rows_)
+    monkeypatch.setattr(prefix, "LEVEL_BITS", bits)
     rng = random.Random(5)
-    orders = sorted(rng.sample(range(1 << 20), 300)) + [(1 << 33) + i * 70000 for i in range(50)] + [(1 << 35) + i for i in range(20)]
+    orders = orders_of(rng, sparse)
     rows = [(n, rng.choice("ab"), rng.choice([None, None, n]), rng.randint(0, 3)) for n in orders]
     df = spark.createDataFrame(rows, "n bigint, k string, v bigint, x int")
     out = prefix.running_sum(df, "n", "x", "total", ["k"])
@@ -388,6 +436,67 @@ def test_equal_catalogs_have_equal_digests(spark):
     assert drift.diff(a, b).count() == 0
 
 
+# --- Segments and alerts ----------------------------------------------------------------
+
+
+def plain_tree(rows):
+    """(level, path) of segments (own number, parent's number) in order, by a walk of one document."""
+    out, texts = [], {}
+    for own, parent in rows:
+        named = next((v for k, v in texts.items() if k.lstrip("0") == parent.lstrip("0")), None) if parent.lstrip("0") else None
+        place = (1, f"/{own}") if named is None else (named[0] + 1, f"{named[1]}/{own}")
+        texts[own] = place  # a later namesake takes the children, its text stays where it was
+        out.append(place)
+    return out
+
+
+def test_segments_hang_together_across_rows(spark):
+    rng = random.Random(6)
+    documents = {
+        "chain": [(f"{i + 1:06d}", f"{i:06d}") for i in range(70)],
+        "wide": [("000001", "")] + [(f"{i:06d}", "1") for i in range(2, 300)],
+        "odd": [("000001", "9"), ("000002", "000002"), ("000003", "2"), ("0004", "3"), ("000004", ""), ("000005", "4"), ("000006", None)],
+    } | {f"r{k}": [(f"{i:06d}", str(rng.randint(0, i + 2))) for i in range(1, 40)] for k in range(5)}
+    rows = [(d, own, parent, "S") for d, found in documents.items() for own, parent in found]
+    df = spark.createDataFrame(rows, "docnum string, segnum string, psgnum string, segment string").withColumn("fields", F.create_map(F.lit("A"), "segnum")).repartition(4)
+    got = {(r["docnum"], r["segnum"]): (r["level"], r["path"]) for r in messages.segment_tree(df).collect()}
+    for name, found in documents.items():
+        found = sorted(found)
+        want = plain_tree([(own, parent or "") for own, parent in found])
+        assert [got[name, own] for own, _ in found] == want, name
+    twice = spark.createDataFrame([("d", "1", "", "A"), ("d", "1", "", "B"), ("d", "2", "1", "C")], "docnum string, segnum string, psgnum string, segment string")
+    paths = sorted(r["path"] for r in messages.segment_tree(twice.withColumn("fields", F.create_map(F.lit("A"), "segment"))).collect())
+    assert paths == ["/1", "/1", "/1/2"]
+
+
+def test_alerts_look_across_full_hours(spark):
+    minute, hour = 60_000, 3_600_000
+    times = [10 * hour - 2 * minute, 10 * hour - 1 * minute, 10 * hour + minute]
+    events = spark.createDataFrame([("w", t, True) for t in times] + [("w", 20 * hour, False)], "workflow string, at_ms bigint, bad boolean")
+    assert reports.counted_alert(events, ["workflow"], F.col("bad"), hour, above=2).count() == 0
+    windows = reports.alert_windows(events, ["workflow"], F.col("bad"), hour, 5 * minute, above=2)
+    ends = sorted(r["window_end_ms"] for r in windows.collect())
+    assert ends == [10 * hour + k * 5 * minute for k in range(1, 12)]
+    spell = reports.lasting(windows, ["workflow"], 10 * minute).collect()
+    assert [(r["since_ms"], r["fires_ms"], r["last_ms"]) for r in spell] == [(ends[0], ends[0] + 10 * minute, ends[-1])]
+    assert reports.lasting(windows, ["workflow"], 2 * hour).count() == 0
+
+
+def test_percentiles_of_sliding_windows_are_exact(spark):
+    rng = random.Random(12)
+    minute = 60_000
+    rows = [(rng.choice("ab"), "completed", 1000 * minute + rng.randint(0, 90) * minute, rng.choice([0, 1, 5, 900, 1000, 1001, 70_000]) + rng.randint(0, 3)) for _ in range(300)]
+    runs = spark.createDataFrame([(w, s, c, c - a, 0) for w, s, c, a in rows], "workflow string, status string, closed_ms bigint, started_ms bigint, waited_ms bigint")
+    targets = spark.createDataFrame([("a", 950), ("b", -1)], "workflow string, target_ms bigint")
+    want = set()
+    for w, target in (("a", 950), ("b", -1)):
+        for end in range(900 * minute, 1200 * minute, 5 * minute):
+            times = sorted(a for v, _, c, a in rows if v == w and end - 30 * minute <= c < end)
+            if times and times[int(0.95 * (len(times) - 1))] > target:
+                want.add((w, end, times[int(0.95 * (len(times) - 1))], target))
+    assert {tuple(r) for r in reports.slow_windows(runs, targets).select("workflow", "window_end_ms", "active_ms", "target_ms").collect()} == want
+
+
 # --- Streams ----------------------------------------------------------------------------
 
 
