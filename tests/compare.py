@@ -9,6 +9,7 @@ import datetime
 import decimal
 import math
 import os
+import re
 import sys
 import time
 
@@ -59,6 +60,8 @@ CHECKED_BY = {
     "pipeline": "tests/llm/test_pipeline.py",
 }
 
+OPERATOR = re.compile(r"op[0-9]+_")
+
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
