@@ -20,10 +20,8 @@ from flowlink.llm.shared import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# No bounds of the tree: the names stay for those who read them.
-DEPTH = (1 << 31) - 1  # levels: all that an array can have
-FREQUENT = 0.0  # share of its siblings' URLs that a branch needs
-LEAST = 10  # URLs that a branch needs
+CHANCE = 0.01  # how often siblings alike are taken for different, by chance
+FEW = 50  # labels of a branch up to which that is computed exactly
 APART = 2.58  # standard errors between a branch and its siblings that are beyond chance
 SIBLINGS = 20  # branches up to which that holds; among more, chance goes further
 WEIGHT = 4.0  # labels that the smoothing counts as
@@ -70,17 +68,38 @@ def pattern_of(path: Column) -> Column:
     )
 
 
+def _chance(bad: Column, known: Column, all_bad: Column, all_known: Column) -> Column:
+    """How likely ``known`` labels drawn from all of them are as far off as ``bad`` bad ones, either way.
+
+    The hypergeometric tail (Fisher's exact test), for branches of few labels.
+    """
+    def exactly(i: Column) -> Column:
+        def factor(total: Column, j: Column) -> Column:
+            drawn = F.when(j < i, (all_bad - j) * (known - j) / (j + 1)).otherwise(all_known - all_bad - (j - i))
+            return total * drawn / (all_known - j)
+
+        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), known - 1), F.lit(1.0), factor)
+
+    def total(low: Column, high: Column) -> Column:
+        return F.aggregate(F.sequence(low, high), F.lit(0.0), lambda t, i: t + exactly(i))
+
+    return 2 * F.least(total(bad, known), total(F.lit(0).cast("bigint"), bad))
+
+
 def _apart(bad: Column, known: Column, all_bad: Column, all_known: Column, siblings: Column) -> Column:
     """Whether a branch's share of bad labels differs from its siblings' beyond chance.
 
-    The bar grows with the branches, as the largest of many errors does.
+    The bar grows with the labelled branches, as the largest of many errors does. Few labels
+    are judged by an exact test, many by their error.
     """
     rest, rest_bad = all_known - known, all_bad - bad
     share = F.try_divide(all_bad, all_known)
     error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), known) + F.try_divide(F.lit(1), rest)))
     gap = F.abs(F.try_divide(bad, known) - F.try_divide(rest_bad, rest))
     bar = F.when(siblings <= SIBLINGS, F.lit(APART)).otherwise(F.sqrt(F.lit(APART**2) + 2 * F.log(siblings / SIBLINGS)))
-    return F.coalesce((error > 0) & (gap >= bar * error), F.lit(False))
+    by_error = F.coalesce((error > 0) & (gap >= bar * error), F.lit(False))
+    likely = CHANCE * F.least(F.lit(1.0), SIBLINGS / siblings)
+    return F.when((known <= 0) | (rest <= 0), False).when(known <= FEW, _chance(bad, known, all_bad, all_known) <= likely).otherwise(by_error)
 
 
 def _wild(segment: Column) -> Column:
@@ -92,7 +111,7 @@ def templates(patterns: DataFrame) -> DataFrame:
 
     Level by level; each level's branches and their parents are sums over patterns, so a
     host with very many URLs weighs no more than its patterns do. Where no branch can differ
-    any more (labels all alike, one pattern, or too few URLs) all deeper levels are wildcards
+    any more (labels all alike, or one pattern) all deeper levels are wildcards
     and are written at once, so a few very long paths cost no levels.
     """
     sums = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
@@ -103,7 +122,7 @@ def templates(patterns: DataFrame) -> DataFrame:
             *[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad")], F.count(F.lit(1)).alias("patterns")
         )
         parent = stored(
-            all_.filter((F.col("patterns") > 1) & (F.col("all_n") > LEAST) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_known"))),
+            all_.filter((F.col("patterns") > 1) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_known"))),
             "url-parents",
         )
         closed = now.join(parent.select("host", "template"), ["host", "template"], "left_anti")
@@ -113,8 +132,8 @@ def templates(patterns: DataFrame) -> DataFrame:
             break
         now = now.join(parent.select("host", "template"), ["host", "template"], "left_semi").withColumn("segment", F.get("pattern", F.lit(level - 1)))
         branch = stored(now.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums), "url-branches")
-        siblings = branch.groupBy("host", "template").agg(F.count_if(F.col("n") >= LEAST).alias("siblings"))
-        own = (F.col("n") >= LEAST) & _apart(F.col("bad"), F.col("known"), F.col("all_bad"), F.col("all_known"), F.col("siblings"))
+        siblings = branch.groupBy("host", "template").agg(F.count_if(F.col("known") > 0).alias("siblings"))
+        own = _apart(F.col("bad"), F.col("known"), F.col("all_bad"), F.col("all_known"), F.col("siblings"))
         grown = branch.join(parent, ["host", "template"]).join(siblings, ["host", "template"]).select(
             "host", "template", "segment",
             F.concat("template", F.lit("/"), F.when(own, F.col("segment")).otherwise(_wild(F.col("segment")))).alias("grown"),

@@ -36,7 +36,22 @@ def pattern(path):
     for s in [s for s in path.split("/") if s]:
         end = re.search(r"\.[A-Za-z]{1,5}$", s)
         out.append("*" + (end[0] if end else "") if VARIABLE.match(s) else s)
-    return tuple(out[: urls.DEPTH] + ["**"] * (len(out) > urls.DEPTH))
+    return tuple(out)
+
+
+def beyond_chance(bad, known, all_bad, all_known, siblings):
+    """Whether so many bad ones of so many labels are no draw from all of them."""
+    rest = all_known - known
+    if not known or not rest:
+        return False
+    if known <= urls.FEW:
+        drawn = [math.comb(all_bad, i) * math.comb(all_known - all_bad, known - i) for i in range(known + 1)]
+        tail = 2 * min(sum(drawn[bad:]), sum(drawn[: bad + 1])) / math.comb(all_known, known)
+        return tail <= urls.CHANCE * min(1, urls.SIBLINGS / siblings)
+    share = all_bad / all_known
+    error = math.sqrt(share * (1 - share) * (1 / known + 1 / rest))
+    bar = urls.APART if siblings <= urls.SIBLINGS else math.sqrt(urls.APART**2 + 2 * math.log(siblings / urls.SIBLINGS))
+    return error > 0 and abs(bad / known - (all_bad - bad) / rest) >= bar * error
 
 
 def brute(pages, bad):
@@ -59,11 +74,8 @@ def brute(pages, bad):
         grown = {}
         for (h, t, s), (n, known, b) in stats.items():
             all_n, all_known, all_b = parents[h, t]
-            rest, own = all_known - known, False
-            if known and rest and n >= urls.LEAST and n >= urls.FREQUENT * all_n:
-                share = all_b / all_known
-                error = math.sqrt(share * (1 - share) * (1 / known + 1 / rest))
-                own = error > 0 and abs(b / known - (all_b - b) / rest) >= urls.APART * error
+            siblings = sum(x[1] > 0 for (h2, t2, _), x in stats.items() if (h2, t2) == (h, t))
+            own = 0 < all_b < all_known and beyond_chance(b, known, all_b, all_known, siblings)
             grown[h, t, s] = t + "/" + (s if own else s if s.startswith("*") else "*")
         template = {(h, s): grown[h, t, s[level]] if len(s) > level else t for (h, s), t in template.items()}
     leaf, host = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
@@ -132,6 +144,9 @@ def test_small_sections_and_deep_ones_are_branches(spark):
     add("deep.test", "a/b/c/d/e/f/g/h/good", 0, 30)
     add("deep.test", "a/b/c/d/e/f/g/h/wrong", 1, 30)
     add("long.test", "/".join(["s"] * 300), 0, 1)
+    add("few.test", "fine", 0, 300)
+    add("few.test", "wrong", 1, 9)
+    add("few.test", "awry", 1, 4)
     left, right = table(spark, pages, bad)
     got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(left, right).collect()}
     assert got == {p: "block" if bad[p] else "allow" for p, _ in pages}
