@@ -95,9 +95,12 @@ def random_cost(length: int, alphabet: str) -> float:
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes of text[start:end], given what surrounds it, by those of random characters of its alphabet."""
-    around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
+    """Marginal compressed bytes of text[start:end], given what surrounds it, by those of random characters of its alphabet.
+
+    Its own copies are cut out of the surroundings: a key is no less a key for being said twice.
+    """
     told = text[start:end]
+    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).replace(told, "\n")
     used = set(told.rstrip("="))
     alphabet = next(a for a in ALPHABETS if used.issubset(a))
     return marginal(told.encode(), IDENTIFIERS + b" " + around.encode()) / random_cost(len(told), alphabet)

@@ -44,8 +44,10 @@ def test_random_keys_in_sensitive_places_are_novel():
     key = base64.b64encode(hashlib.sha512(b"x").digest()).decode()[:40]
     told = f"export SESSION_AUTH {key} # keep\n"
     assert [s[0] for s in secrets.scan(pa.array([told]))[0]] == ["novel"]
-    # The same run twice: the second copies its surroundings, and so does the first.
-    assert secrets.scan(pa.array([told + told]))[0] == []
+    # Said twice, near or far, it is as much a key at both places.
+    for between in (0, 1000, 1990, 2100, 6000):
+        apart = told + "some words in between " * (between // 22) + told
+        assert [s[0] for s in secrets.scan(pa.array([apart]))[0]] == ["novel", "novel"], between
     # No sensitive word near, or made of known names: nothing.
     assert secrets.scan(pa.array([f"the picture {key} is here"]))[0] == []
     assert secrets.scan(pa.array(["auth request_handler_response_timeout_00000000"]))[0] == []
