@@ -25,7 +25,7 @@ WIDTH = 8
 SIZES = (3, 4, 5, 6)
 PASSAGE = 4
 PER_CLASS = 1500  # labelled rows of each class that the model is fitted on, at most
-FEWEST = 20  # texts, counted once per word, that an n-gram is learned from
+FEWEST = 20  # texts, counted once per word, that an n-gram is learned from with ``PER_CLASS`` rows of each class
 EPOCHS = 40
 THRESHOLD = 0.5
 
@@ -137,9 +137,11 @@ def train(rows: pa.Table, epochs: int = EPOCHS) -> Model:
         n_words = len(seen)
     gram_word, gram_bucket, sequence = (np.concatenate(x) for x in (gram_word, gram_bucket, sequence))
     per_word = np.bincount(gram_word, minlength=n_words)
-    # N-grams of few texts teach nothing that holds elsewhere: their vectors stay zero.
+    # N-grams of few texts teach nothing that holds elsewhere: their vectors stay zero. What
+    # few means is a share of the smaller class, two texts at least.
+    fewest = max(2, int(min((y == 1).sum(), (y == 0).sum())) * FEWEST // PER_CLASS)
     texts_with = np.bincount(np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts]), n_words)
-    usual = np.bincount(gram_bucket, texts_with[gram_word], BUCKETS) >= FEWEST
+    usual = np.bincount(gram_bucket, texts_with[gram_word], BUCKETS) >= fewest
     kept = usual[gram_bucket]
     gram_word, gram_bucket = gram_word[kept], gram_bucket[kept]
     del kept, counts, texts_with, seen

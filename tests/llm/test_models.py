@@ -114,6 +114,17 @@ def test_one_class_or_none_gives_its_share():
     assert scores(toxicity, ["x", None], toxicity.train(none)).tolist() == [0.5, 0.5]
 
 
+@pytest.mark.parametrize("score,label,caught,wrong", [(toxicity, "toxic", 0.6, 0.08), (quality, "quality", 0.9, 0.1)])
+def test_held_out_rows_of_a_small_table_are_told(spark, score, label, caught, wrong):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    run = score.score_toxicity if score is toxicity else score.score_quality
+    held = run(docs.select("doc_id", "text"), labels).join(labels, "doc_id").filter(labelled.held_out("doc_id", 5, 0))
+    rows = [(r[label], r["score"] >= score.THRESHOLD) for r in held.select(label, "score").collect()]
+    assert sum(y and p for y, p in rows) >= caught * sum(y for y, _ in rows)
+    assert sum(p and not y for y, p in rows) <= wrong * sum(not y for y, _ in rows) + 1
+
+
 def test_the_sample_is_bounded_and_leaves_the_fold_out(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(900, None)], "doc_id bigint, text string")
     labels = [(i, int(i % 4 > 0), 0) for i in range(300)] + [(3, None, 0), (None, 1, 0), (4, 1, 1), (900, 1, 1), (7, 5, 0)]
