@@ -33,7 +33,7 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool = Fal
         same = F.col("_order").eqNullSafe(F.col("_best"))
         for k in keys:
             same = same & F.col(f"m.{k}").eqNullSafe(F.col(f"b.{k}"))
-        joined = marked.alias("m").join(bests.alias("b").hint("shuffle_hash"), same)
+        joined = marked.alias("m").join(bests.alias("b"), same)
         marked = joined.select("m.*")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(first, tie))
     return marked.withColumn("_rank", rank).filter(F.col("_rank") == 1).select(*df.columns)
