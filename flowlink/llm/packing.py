@@ -36,9 +36,9 @@ from flowlink.llm.tokens import CHUNK, encoder
 
 PIECE = [
     StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()),
-    StructField("ids", ArrayType(IntegerType())), StructField("ids_crc32", LongType()),
-    StructField("_task", IntegerType()), StructField("_nth", LongType()),
+    StructField("ids_crc32", LongType()), StructField("_task", IntegerType()), StructField("_nth", LongType()),
 ]
+IDS = StructField("ids", ArrayType(IntegerType()))
 RESULT = ("piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
 RANK_BITS = 42  # of a rank, in the one number that orders runs of places by length and rank
 
@@ -106,15 +106,16 @@ def cut(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def pieces(
     docs: DataFrame, tokenizer_path: str, limit: int = 1024, end: int | None = 2, text: str = "text",
-    keep: Sequence[str] | None = None, specials: bool = True,
+    keep: Sequence[str] | None = None, specials: bool = True, ids: bool = True,
 ) -> DataFrame:
-    """The pieces of every text: piece, start, length, ids, ids_crc32 beside the row's columns.
+    """The pieces of every text: piece, start, length, ids_crc32, ids beside the row's columns.
 
     ``ids`` are the library's without added special tokens, then ``end``; null and empty
     texts have that alone (without ``end``, none: a piece of length 0). ``start`` is the
     number of the row's ids before the piece, ``ids_crc32`` the checksum of the ids as
     little-endian 32-bit numbers. With ``specials`` the strings of special tokens in a text
     are those tokens, as is the library's default. Each row is encoded whole and by itself.
+    Where only the plan of the sequences is wanted, ``ids=False`` leaves the ids out.
     ``_task`` and ``_nth`` tell the pieces of one length apart.
     """
     if not 0 < limit < 1 << 20:
@@ -122,9 +123,9 @@ def pieces(
     docs.sparkSession.sparkContext.addFile(tokenizer_path)
     name = tokenizer_path.rsplit("/", 1)[-1]
     made = {*RESULT, "_task", "_nth"}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    kept = [c for c in ([c for c in docs.columns if c != text] if keep is None else keep) if c not in made]
     rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = StructType([*rows.select(*kept).schema.fields, *PIECE])
+    schema = StructType([*rows.select(*kept).schema.fields, *PIECE, *([IDS] if ids else [])])
     tail = np.array([] if end is None else [end], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +134,11 @@ def pieces(
         seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             for part in A.chunks(batch.column(len(kept)), CHUNK):
-                ids, bounds = coder.encode(part)
-                ids = np.insert(ids, bounds[1:], tail[0]) if len(tail) else ids
+                found, bounds = coder.encode(part)
+                found = np.insert(found, bounds[1:], tail[0]) if len(tail) else found
                 row, number, length = cut(np.diff(bounds) + len(tail), limit)
                 ends = np.cumsum(length)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(found.astype("<u4").tobytes())
                 sums = [zlib.crc32(raw[4 * b : 4 * e]) for b, e in zip((ends - length).tolist(), ends.tolist())]
                 order = np.argsort(length, kind="stable")
                 nth = np.empty(len(length), np.int64)
@@ -147,10 +148,11 @@ def pieces(
                 begin = ends - length - (ends - length)[number == 0][row]
                 columns = [batch.column(i).slice(part.first, part.rows).take(pa.array(row)) for i in range(len(kept))]
                 columns += [
-                    pa.array(number.astype(np.int32)), pa.array(begin), pa.array(length),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids)),
-                    pa.array(sums, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(nth),
+                    pa.array(number.astype(np.int32)), pa.array(begin), pa.array(length), pa.array(sums, pa.int64()),
+                    pa.array(np.full(len(row), task, np.int32)), pa.array(nth),
                 ]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -190,22 +192,22 @@ def place(cut_up: DataFrame, limit: int = 1024) -> DataFrame:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, limit: int = 1024, end: int | None = 2, text: str = "text",
-    keep: Sequence[str] | None = None, specials: bool = True,
+    keep: Sequence[str] | None = None, specials: bool = True, ids: bool = True,
 ) -> DataFrame:
     """Every document's pieces (see ``pieces``) and where each stands: sequence_id, offset.
 
     Only texts of more than ``limit`` ids are cut, into pieces of ``limit``, the first of
     which may be shorter. Sequences are filled without gaps from offset 0 and are as few as
-    best-fit decreasing makes them. The row's columns (or those in ``keep``) stand beside
-    each of its pieces; those named as a column of the result are replaced. Rows are told
+    best-fit decreasing makes them. The row's columns but its text (or those in ``keep``)
+    stand beside each of its pieces; those named as a column of the result are replaced. Rows are told
     apart by themselves, not by an id: null, equal and missing ids and repeated rows are
     documents like any other. An empty table gives an empty one. Pieces of length 0 (no
     ``end``, no text) belong to no sequence.
 
-    The pieces are written to the shared folder once, ids included; a lost executor's part
-    is encoded again.
+    The pieces are written to the shared folder once, with their ids (about twice the size
+    of compressed text) unless ``ids`` is false; a lost executor's part is encoded again.
     """
-    return place(stored(pieces(docs, tokenizer_path, limit, end, text, keep, specials), "pieces"), limit)
+    return place(stored(pieces(docs, tokenizer_path, limit, end, text, keep, specials, ids), "pieces"), limit)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_bestfit_packing")
 def bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, end=2)
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, end=2, ids=False)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
