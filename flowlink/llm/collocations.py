@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from flowlink.llm import arrays as A
 from flowlink.llm.shared import bitmap_of, stored, wanted
 
-CHUNK = 1 << 23  # bytes of text counted at a time
-HELD = 1 << 21  # counts a task gathers before it hands them on
+CHUNK = 1 << 21  # bytes of text counted at a time
+HELD = 1 << 20  # counts a task gathers before it puts them together, or hands them on
+PHRASES = 1 << 18  # of those that come with their text
+ROWS = 1 << 10  # texts of a batch looked at together
 MASS = 1 << 26  # occurrences a summary is meant for; the number of summaries grows with the text
 LEAST_BITS, MOST_BITS = 16, 27  # of the bitmap of survivors: 8 KB to 16 MB
 SALTS = 32  # first rounds of the tournament for the best phrases of a language
@@ -164,8 +166,9 @@ def _parts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[Co
     for batch in batches:
         coded = batch.column(0).dictionary_encode()
         groups, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        for part in A.chunks(batch.column(1), CHUNK):
-            yield count_grams(part, of[part.first : part.first + part.rows], longest), groups
+        for at in range(0, batch.num_rows, ROWS):
+            for part in A.chunks(batch.column(1).slice(at, ROWS), CHUNK):
+                yield count_grams(part, of[at + part.first : at + part.first + part.rows], longest), groups
 
 
 def survivors(texts: DataFrame, longest: int, threshold: int) -> DataFrame:
@@ -198,8 +201,20 @@ def survivors(texts: DataFrame, longest: int, threshold: int) -> DataFrame:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(capacity, threshold)
+        waiting: list[pa.RecordBatch] = []
+
+        def merge() -> None:
+            rows = pa.Table.from_batches(waiting)
+            waiting.clear()
+            summary.add(rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+
         for batch in batches:
-            summary.add(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+            waiting.append(batch)
+            # As many as it holds already, so that all its keys are sorted a few times only.
+            if sum(map(len, waiting)) > max(HELD, len(summary.keys)):
+                merge()
+        if waiting:
+            merge()
         # What is taken from an n-gram is known: less cannot have been the threshold.
         stays = summary.counts + summary.taken >= threshold
         yield pa.RecordBatch.from_arrays([pa.array(summary.keys[stays].view(np.int64))], names=["h"])
@@ -234,12 +249,13 @@ def exact_counts(texts: DataFrame, hashes: DataFrame, longest: int, threshold: i
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
                 size = np.full(len(held), k, np.int32)
                 tables.append(pa.table({"g": names.take(pa.array(grams.group[held])), "phrase": phrase, "size": size, "n": grams.count[held]}))
-            if sum(map(len, tables)) > HELD:
+            if sum(map(len, tables)) > PHRASES:
                 tables = [_merged(tables)]
-                if len(tables[0]) > HELD // 2:
-                    yield from tables.pop().to_batches(1 << 16)
+                pa.default_memory_pool().release_unused()
+                if len(tables[0]) > PHRASES // 2:
+                    yield from tables.pop().to_batches(1 << 14)
         if tables:
-            yield from _merged(tables).to_batches(1 << 16)
+            yield from _merged(tables).to_batches(1 << 14)
 
     rows = texts.mapInArrow(counts, "g string, phrase string, size int, n bigint")
     # Words are never empty, so size 0 is the totals'.
