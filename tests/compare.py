@@ -47,7 +47,6 @@ def rows_of(columns, rows):
 # Queries that SQL can't express, and the test that holds each against plain Python, brute
 # force, an exact round trip or held-out labels.
 CHECKED_BY = {
-    "i12_contact_match": "tests/test_matching.py",
     "op1_sentencepiece": "tests/llm/test_pieces.py",
     "op2_url_filter": "tests/llm/test_urls.py",
     "op3_context_tree": "tests/llm/test_context_tree.py",
