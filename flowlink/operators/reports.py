@@ -237,7 +237,7 @@ def lasting(windows: DataFrame, keys: Sequence[str], for_ms: int, slide_ms: int
     ``windows`` has the windows (by their end) in which the condition holds. A key has no
     more of them than there were looks, whatever its number of events.
     """
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("window_end_ms"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("window_end_ms")).cast("bigint")
     spells = windows.select(*keys, "window_end_ms", (F.col("window_end_ms") - nth * slide_ms).alias("_spell"))
     found = spells.groupBy(*keys, "_spell").agg(F.min("window_end_ms").alias("since_ms"), F.max("window_end_ms").alias("last_ms"))
     return found.filter(F.col("last_ms") - F.col("since_ms") >= for_ms).select(*keys, "since_ms", (F.col("since_ms") + for_ms).alias("fires_ms"), "last_ms")

@@ -482,6 +482,13 @@ def test_alerts_look_across_full_hours(spark):
     assert reports.lasting(windows, ["workflow"], 2 * hour).count() == 0
 
 
+def test_spells_of_more_looks_than_fit_an_int_of_milliseconds(spark):
+    slide = 5 * reports.MINUTE
+    windows = spark.range(1, 8001).select(F.lit("a").alias("workflow"), (F.col("id") * slide).alias("window_end_ms"))
+    got = reports.lasting(windows, ["workflow"], 10 * reports.MINUTE).collect()
+    assert [tuple(r) for r in got] == [("a", slide, slide + 10 * reports.MINUTE, 8000 * slide)]
+
+
 def test_percentiles_of_sliding_windows_are_exact(spark):
     rng = random.Random(12)
     minute = 60_000
