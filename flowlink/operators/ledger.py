@@ -166,12 +166,14 @@ def generations(requests: DataFrame, ledger: DataFrame) -> DataFrame:
             F.when(number.between(2, MAX_GENERATIONS), F.struct(F.regexp_replace("_whole", r"~[0-9]{1,2}$", "").alias("_base"), number.alias("_n"))),
         )
     )
-    done = undo.select(F.inline(ways)).groupBy("_base").agg(F.collect_set("_n").alias("_done"))
+    # A bit per generation done, in one number. The list is as long as the ledger, however small
+    # the tables it was made from looked: it is never broadcast.
+    done = undo.select(F.inline(ways)).groupBy("_base").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_n"))).alias("_done"))
     keyed = requests.withColumn("_base", store_key(F.col("target"), F.col("compensation"), F.col("idempotency_key")))
-    free = F.filter(
-        F.sequence(F.lit(1), F.lit(MAX_GENERATIONS - 1)), lambda n: ~F.array_contains(F.coalesce("_done", F.array().cast("array<int>")), n)
-    )
-    out = keyed.join(done, "_base", "left").withColumn("generation", F.get(free, 0))
+    # The lowest bit not set from 1 on: bit 0 is no generation.
+    lowest = F.coalesce("_done", F.lit(0)).bitwiseOR(F.lit(1))
+    free = F.bit_count(lowest.bitwiseAND(F.bitwise_not(lowest + 1))).cast("int")
+    out = keyed.join(done.hint("merge"), "_base", "left").withColumn("generation", F.when(free < MAX_GENERATIONS, free))
     key = F.when(F.col("generation") == 1, F.col("idempotency_key")).otherwise(
         F.concat(F.col("idempotency_key"), F.lit("~"), F.col("generation").cast("string"))
     )

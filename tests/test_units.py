@@ -346,6 +346,16 @@ def test_generation_of_a_key_that_looks_like_one(spark):
     assert got == {"a": "a~3", "a~2": "a~2~2", "b": "b"}
 
 
+def test_generations_take_the_first_gap_and_are_not_broadcast(spark):
+    gaps = {"a": [1, 2, 4], "b": [2, 3], "c": list(range(1, 49)), "d": list(range(1, 50)), "e": [], "f": list(range(1, 51))}
+    requests = spark.createDataFrame([("t", "undo", k) for k in [*gaps, None]], "target string, compensation string, idempotency_key string")
+    keys = [(f"t/undo/{k}" + ("" if n == 1 else f"~{n}") + "#compensate", "done") for k, done in gaps.items() for n in done]
+    out = ledger.generations(requests, spark.createDataFrame(keys, "key string, status string"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["idempotency_key"]: (r["generation"], r["write_key"]) for r in out.collect()}
+    assert got == {"a": (3, "a~3"), "b": (1, "b"), "c": (49, "c~49"), "d": (None, None), "e": (1, "e"), "f": (None, None), None: (1, None)}
+
+
 def test_ledger_states(spark):
     requests = spark.createDataFrame([("k1", 1), ("k1", 2), ("k2", 3), ("k3", 4), ("k4", 5)], "key string, arrived int")
     held = spark.createDataFrame([("k2", "done", 0), ("k3", "inflight", 98), ("k4", "inflight", 10)], "key string, status string, claimed_minute int")
