@@ -8,6 +8,7 @@ import random
 import time
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -552,6 +553,25 @@ def test_the_first_of_a_batch_is_kept_and_nulls_come_last(spark):
     assert got == {("s", "1", 3, "first"), (None, "1", 5, "other"), ("s", None, 1, "odd")}
 
 
+@pytest.mark.parametrize("most", [1 << 16, 1 << 30])
+def test_rows_of_a_large_batch_are_ranked_once_and_held_in_part(monkeypatch, most):
+    rng = random.Random(6)
+    ranked = []
+    if hasattr(intake, "pc"):
+        sort = intake.pc.sort_indices
+        monkeypatch.setattr(intake.pc, "sort_indices", lambda rows, **how: ranked.append(rows.num_rows) or sort(rows, **how))
+        monkeypatch.setattr(intake, "HELD_BYTES", most)
+    rows = [(None if rng.random() < 0.01 else f"s{rng.randint(0, 2)}", str(rng.randint(0, 150_000)), None if rng.random() < 0.1 else rng.randint(0, 9), i) for i in range(200_000)]
+    rows = [(*r, hash(r[:2]) % 64) for r in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 500])], names=["source", "event_id", "arrived", "_tie", "_part"]) for at in range(0, len(rows), 500)]
+    got = pa.Table.from_batches(list(intake._first_of_batch(["source", "event_id"], ["arrived", "_tie"])(iter(batches)))).to_pylist()
+    assert sum(ranked) == len(rows) and (max(ranked) < 5000 if most < 1 << 20 else len(ranked) == 1)
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[3])):
+        want.setdefault(r[:2], r)
+    assert sorted(map(str, (tuple(r.values()) for r in got))) == sorted(map(str, want.values()))
+
+
 def test_batches_do_not_read_what_earlier_ones_wrote(spark):
     path, inbox, checkpoint = scratch(spark, "events"), scratch(spark, "inbox"), scratch(spark, "checkpoint")
     run = lambda: intake.run_to_inbox(intake.read_folder(spark, path, ARRIVAL, per_batch=1), inbox, checkpoint)
