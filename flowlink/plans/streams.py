@@ -154,14 +154,14 @@ def _(t):
 def _(t):
     r = t["approval_requests"].select("run_id", F.lit("request").alias("kind"), "step", "digest", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("actor"), F.col("asked_ms").alias("at_ms"))
     s = t["approval_signals"].select("run_id", F.lit("signal").alias("kind"), "step", "digest", "status", "actor", "at_ms")
-    first = written(t, r.unionByName(s), "messages", 1)
+    first = written(t, r.unionByName(s), "messages", STATE_PARTS)
     # A last message far in the future lets every request's time run out.
     end = t["orders"].select((F.max("o_orderkey") + 1).alias("run_id")).select(
         "run_id", F.lit("signal").alias("kind"), F.lit(0).alias("step"), F.lit("").alias("digest"), F.lit("").alias("status"), F.lit("").alias("actor"), F.lit(4 * 10**12).alias("at_ms")
     )
     end.write.mode("append").parquet(first)
     schema = r.unionByName(s).schema
-    stream = S.read_folder(t.spark, first, schema, per_batch=1)
+    stream = S.read_folder(t.spark, first, schema, per_batch=STATE_PARTS)
     out, checkpoint = scratch(t.spark, "decisions"), scratch(t.spark, "checkpoint")
     run(t, A.await_decisions(stream, RP.TIMEOUT), out, checkpoint)
     return t.spark.read.schema(A.DECISION).parquet(out)

@@ -21,18 +21,22 @@ MESSAGE = "run_id bigint, kind string, step int, digest string, status string, a
 KEEP_MS = 7 * 86_400_000
 
 
+BUCKETS = 1 << 12  # of runs; the state of a bucket is read and written as one value
+
+
 class Decide(StatefulProcessor):
     """Holds a run's pending request until a matching signal comes or its time is over.
 
-    One state value per run, read and written once per trigger: each access is a call to
-    the state store. A decided run is remembered for ``keep_ms`` past its time, so that
+    Runs are kept by bucket, as each access is a call to the state store: one value per
+    bucket, read and written once per trigger, and one timer at the first time at which one
+    of its runs is due. A decided run is remembered for ``keep_ms`` past its time, so that
     messages delivered again change nothing, and then forgotten; so are signals whose
     request never came.
     """
 
     STATE = (
-        "closed boolean, step int, digest string, asked_ms bigint, "
-        "early array<struct<step:int,digest:string,status:string,actor:string,at_ms:bigint>>"
+        "runs array<struct<run_id:bigint,closed:boolean,step:int,digest:string,asked_ms:bigint,until:bigint,"
+        "early:array<struct<step:int,digest:string,status:string,actor:string,at_ms:bigint>>>>"
     )
 
     def __init__(self, timeout_ms: int, keep_ms: int = KEEP_MS):
@@ -41,54 +45,72 @@ class Decide(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("approval", self.STATE)
+        self.state = handle.getValueState("approvals", self.STATE)
 
-    def _close(self, end: int) -> None:
-        self.state.update((True, None, None, end + self.keep_ms, None))
-        self.handle.registerTimer(end + self.keep_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def _read(self) -> dict:
+        """Per run: (closed, request or None, until, signals before it); due at ``until``."""
         known = self.state.get()
-        if known is not None and known[0]:
+        return {} if known is None else {
+            r[0]: (r[1], None if r[4] is None else (r[2], r[3], r[4]), r[5], [tuple(e) for e in r[6] or []]) for r in known[0] or []
+        }
+
+    def _write(self, runs: dict, before: int | None) -> None:
+        """``before`` is when the bucket's timer was due, if it still waits."""
+        if not runs:
+            self.state.clear()
             return
-        request = None if known is None or known[3] is None else (known[1], known[2], known[3])
-        # Signals that came before their request, in another order of the same moment.
-        signals = [] if known is None else [tuple(e) for e in known[4] or []]
-        asked_before = request is not None
-        for r in rows:
-            if r.kind == "request":
-                request = (r.step, r.digest, r.at_ms)
-            else:
-                signals.append((r.step, r.digest, r.status, r.actor, r.at_ms))
-        if request is not None:
+        self.state.update(([(run, closed, *(request or (None, None, None)), until, early) for run, (closed, request, until, early) in runs.items()],))
+        due = min(until for _, _, until, _ in runs.values())
+        if before is None or due < before:
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        runs, came, out = self._read(), {}, []
+        before = min((until for _, _, until, _ in runs.values()), default=None)
+        for part in rows:
+            columns = [part[c].tolist() for c in ("run_id", "kind", "step", "digest", "status", "actor", "at_ms")]
+            for run, kind, step, digest, status, actor, at in zip(*columns):
+                run, step, at = None if run is None else int(run), None if pd.isna(step) else int(step), int(at)
+                known = runs.get(run, (False, None, 0, []))
+                if known[0]:
+                    continue
+                # Signals may come before their request, in another order of the same moment.
+                request, signals = came.setdefault(run, [known[1], [*known[3]]])
+                if kind == "request":
+                    came[run][0] = step, digest, at
+                else:
+                    signals.append((step, digest, status, actor, at))
+        for run, (request, signals) in came.items():
+            if request is None:
+                runs[run] = False, None, max(s[4] for s in signals) + self.keep_ms, signals
+                continue
             step, digest, asked = request
             end = asked + self.timeout_ms
             fits = [s for s in signals if s[0] == step and s[1] == digest and asked <= s[4] < end]
             if fits:
                 _, _, status, actor, at = min(fits, key=lambda s: (s[4], s[2], s[3]))
-                verdict = "approved" if status == "approved" else "rejected"
-                self._close(end)
-                yield Row(run_id=key[0], status=verdict, decided_by=actor, wait_ms=at - asked)
-                return
-            signals = []
-            if not asked_before:
-                self.handle.registerTimer(end)
-        elif signals:
-            self.handle.registerTimer(max(s[4] for s in signals) + self.keep_ms)
-        self.state.update((False, *(request or (None, None, None)), signals))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.state.get()
-        if known is None:
-            return
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if known[0] or known[3] is None:
-            last = known[3] if known[0] else max((e[4] for e in known[4] or []), default=at - self.keep_ms) + self.keep_ms
-            if at >= last:
-                self.state.clear()
-        elif at >= known[3] + self.timeout_ms:
-            self._close(known[3] + self.timeout_ms)
-            yield Row(run_id=key[0], status="rejected", decided_by=TIMEOUT_ACTOR, wait_ms=self.timeout_ms)
+                runs[run] = True, None, end + self.keep_ms, []
+                out.append((run, "approved" if status == "approved" else "rejected", actor, at - asked))
+            else:
+                runs[run] = False, request, end, []
+        if came:
+            self._write(runs, before)
+        yield self._decisions(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, left, out = timerValues.getCurrentWatermarkInMs(), {}, []
+        for run, (closed, request, until, early) in self._read().items():
+            if until > now:
+                left[run] = closed, request, until, early
+            elif not closed and request is not None:
+                left[run] = True, None, until + self.keep_ms, []
+                out.append((run, "rejected", TIMEOUT_ACTOR, self.timeout_ms))
+        self._write(left, None)
+        yield self._decisions(out)
+
+    def _decisions(self, rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=DECISION.names)
+        return made.astype({"run_id": "Int64", "wait_ms": "Int64"})
 
     def close(self) -> None:
         pass
@@ -101,7 +123,10 @@ def await_decisions(messages: DataFrame, timeout_ms: int, delay: str = "1 minute
     time rejects it. To be started with RocksDB as its state store (``intake.started``).
     """
     timed = messages.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
-    return timed.groupBy("run_id").transformWithState(
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS))
+    # As text, a run's number stays whole beside NULLs.
+    keyed = timed.withColumns({"_bucket": bucket, "run_id": F.col("run_id").cast("string")})
+    return keyed.groupBy("_bucket").transformWithStateInPandas(
         Decide(timeout_ms), outputStructType=DECISION, outputMode="Append", timeMode="EventTime"
     )
 

@@ -8,6 +8,7 @@ import random
 import time
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -612,6 +613,51 @@ def test_an_identity_is_forgotten_when_its_receipt_is_old(spark):
     assert sorted(r["arrived"] for r in spark.read.parquet(out).collect() if r["event_id"] == "1") == [3, 4, 5]
 
 
+def test_decisions_need_a_few_calls_for_all_runs_of_a_bucket():
+    calls, held, timers = [], [], []
+
+    class Store:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    store = Store()
+    decide = approvals.Decide(100, 1000)
+    decide.init(store)
+    asked = [(str(n), "request", 1, "d", None, None, n) for n in range(50)]
+    signals = [(str(n), "signal", 1, "d" if n % 4 else "x", "approved" if n % 3 else "no", "p", n + late) for n in range(0, 60, 2) for late in (7, 3)]
+    told = lambda rows: [pd.DataFrame(rows, columns=["run_id", "kind", "step", "digest", "status", "actor", "at_ms"])]
+    decided = lambda parts: {tuple(r) for part in parts for r in part.astype(object).values.tolist()}
+    fit = {n for n in range(0, 50, 2) if n % 4}
+    assert decided(decide.handleInputRows((0,), told(signals + asked), store)) == {(n, "approved" if n % 3 else "rejected", "p", 3) for n in fit}
+    assert decided(decide.handleInputRows((0,), told([r for r in signals + asked if int(r[0]) in fit]), store)) == set()
+    assert timers == [100] and len(calls) == 4
+    store.now = 120
+    assert {r[0] for r in decided(decide.handleExpiredTimer((0,), store, None))} == {n for n in range(21) if n not in fit}
+    store.now = 149
+    assert {r[0] for r in decided(decide.handleExpiredTimer((0,), store, None))} == {n for n in range(21, 50) if n not in fit}
+    store.now = 5000
+    assert decided(decide.handleExpiredTimer((0,), store, None)) == set() and not held and len(calls) <= 12
+
+
 def test_stream_and_replay_of_open_requests_agree(spark):
     rng = random.Random(4)
     rows = [(f"k{rng.randint(0, 3)}", i, f"r{rng.randint(0, 4)}", rng.choice(["open", "open", "close"]), i * 10, i * 10 + rng.randint(5, 60)) for i in range(120)]
