@@ -107,6 +107,15 @@ def test_candidates_are_given_once_however_many_blocks_they_share(spark):
     assert got == sorted(want)
 
 
+def test_candidates_are_told_apart_without_a_set_per_pair(spark):
+    codes = lambda *values: [(f"f{i}", v) for i, v in enumerate(values) if v]
+    schema = "entity string, %s string, email string, domain string, name string, exact array<struct<field:string,value:string>>"
+    rows = [("E", f"{n}", f"e{n % 3}" if n % 4 else None, f"d{n % 2}" if n % 5 else None, f"name{n % 2}", codes(f"x{n % 2}", f"y{n % 3}")) for n in range(24)]
+    found = M.candidate_pairs(spark.createDataFrame(rows, schema % "record_id"), spark.createDataFrame(rows, schema % "source_id"))
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((int(r["record_id"]), int(r["source_id"])) for r in found.collect()) == [(a, b) for a in range(24) for b in range(24)]
+
+
 def test_extract_vectors(spark):
     rows = [(" Grace@Lovelace-GmbH.example ", "Hopper,  Grace ", "at u 123 456"), ("x@gmail.com", "  ", None), ("@a", "Ä-1", ""), ("a@", None, "7")]
     df = spark.createDataFrame(rows, "mail string, who string, vat string")
