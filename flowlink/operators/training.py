@@ -210,7 +210,7 @@ def pair_classes(records: DataFrame) -> DataFrame:
     A pair's levels follow from what both records have, what they agree on, and whether
     unequal names are close. How many pairs agree on a set of attributes is a count per
     value of that set; inclusion and exclusion give how many agree on just that set. Only
-    close names are looked up, in an index, and then counted by name. No pair of records is
+    close names are looked up, in an index or chunk by chunk, and then counted by name. No pair of records is
     formed, so no block is too large, no master has too many records and nothing is sampled.
     Without attributes a record isn't compared. Counts are exact (38 digits).
     """
@@ -227,7 +227,7 @@ def pair_classes(records: DataFrame) -> DataFrame:
     others = [c for c in attributes if c != "name"]
 
     names = spread.filter(F.col("name").isNotNull()).select("name").distinct()
-    near = M.close_names(names, names).filter(F.col("a_name") < F.col("b_name"))
+    near = M.close_names(names, names, once=True)
     level = F.when(M.jaro_winkler("a_name", "b_name") >= M.SAME, "name.same").otherwise("name.close")
     near = stored(near.withColumn("level", level), "close-names")
 

@@ -96,6 +96,33 @@ def test_close_names_equal_comparing_all(spark):
     assert got == {("x", *p) for p in close} | {("y", a, b) for a, b in close if len(a) > 5 and len(b) > 5}
 
 
+def test_names_alike_in_letters_are_compared_in_chunks(spark, monkeypatch):
+    names = sorted({hashlib.md5(str(k).encode()).hexdigest()[:9] for k in range(400)} | set(odd_names(6, 40)))
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    monkeypatch.setattr(M, "NAME_CHUNK", 64)
+    i, j, _ = similar_in_blocks(names, names)
+    want = {(names[x], names[y]) for x, y in zip(i, j) if x < y}
+    plans = []
+    for dense in (0, 1 << 40):  # the index, and never the index
+        found = M.close_names(df, df, once=True, dense=dense)
+        plans.append("FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString())
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert plans == [False, True]
+    hexed = df.filter(F.length("name") == 9)
+    chosen = M.close_names(hexed, hexed, once=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in chosen
+
+
+def test_ordered_names_are_compared_lower_first():
+    names = odd_names(7, 150)
+    i, j, s = similar_in_blocks(names, list(reversed(names)), ordered=True)
+    other = list(reversed(names))
+    pairs = [tuple(sorted((names[x], other[y]))) for x, y in zip(i, j)]
+    assert s.tolist() == [pytest.approx(plain_jaro_winkler(*p)) for p in pairs]
+    assert len(pairs) == sum(plain_jaro_winkler(*sorted((x, y))) >= 0.84 for x in names for y in other if x or y)
+
+
 def test_candidates_are_given_once_however_many_blocks_they_share(spark):
     records, linked = people(40, 8, "r"), people(80, 9, "l")
     got = sorted((r["record_id"], r["source_id"]) for r in M.candidate_pairs(frames(spark, records, "record_id").drop("master_id"), frames(spark, linked, "source_id")).collect())
