@@ -134,6 +134,19 @@ def test_candidates_are_given_once_however_many_blocks_they_share(spark):
     assert got == sorted(want)
 
 
+def test_blocks_of_many_pairs_are_searched_by_groups(spark, monkeypatch):
+    records, linked = people(40, 10, "r"), people(90, 11, "l")
+    sides = frames(spark, records, "record_id").drop("master_id"), frames(spark, linked, "source_id")
+    columns = ["record_id", "master_id", "score", "reasons", "rank"]
+    want = sorted(map(str, M.suggest(*sides, hot_block=None).select(*columns).collect()))
+    searched = []
+    grouped = M._hot_pairs
+    monkeypatch.setattr(M, "_hot_pairs", lambda *a: searched.append(1) or grouped(*a))
+    monkeypatch.setattr(M, "HOT_PAIRS", 30)
+    assert sorted(map(str, M.suggest(*sides).select(*columns).collect())) == want
+    assert searched
+
+
 def test_candidates_are_told_apart_without_a_set_per_pair(spark):
     codes = lambda *values: [(f"f{i}", v) for i, v in enumerate(values) if v]
     schema = "entity string, %s string, email string, domain string, name string, exact array<struct<field:string,value:string>>"
