@@ -145,6 +145,9 @@ def _parents(numbered: DataFrame) -> DataFrame:
     return both.withColumn("_up", up).filter("_named = 0").select("docnum", "_pos", "_up")
 
 
+IN_A_ROW = 64  # segments of a document that is placed inside a row
+
+
 def segment_tree(segments: DataFrame) -> DataFrame:
     """One row per segment with its place in its document's tree: level, path, parent_path.
 
@@ -155,10 +158,51 @@ def segment_tree(segments: DataFrame) -> DataFrame:
     that names itself hangs below an earlier namesake, or is at the top. A path is the
     numbers from the top down, with ``/`` before each.
 
-    Segments stay rows: parents are found by windows over the segments of one number, and
-    paths by pointer doubling, as many joins as the depth has binary digits. A document's
-    size is bounded by nothing but the disk.
+    Documents of up to ``IN_A_ROW`` segments are gathered and placed inside a row, after one
+    shuffle. In larger ones segments stay rows: parents are found by windows over the segments
+    of one number, and paths by pointer doubling, as many joins as the depth has binary digits.
+    A document's size is bounded by nothing but the disk.
     """
+    named = segments.filter(F.col("docnum").isNotNull())
+    sizes = named.groupBy("docnum").agg(F.count(F.lit(1)).alias("_size"))
+    large = stored(sizes.filter(F.col("_size") > IN_A_ROW).select("docnum"), "large-documents")
+    if large.isEmpty():
+        return _tree_in_rows(named)
+    few = _tree_in_rows(named.join(large, "docnum", "left_anti"))
+    return few.unionByName(_tree_by_joins(named.join(large, "docnum", "left_semi")))
+
+
+def _tree_in_rows(segments: DataFrame) -> DataFrame:
+    """``segment_tree`` of documents that fit into a row each."""
+    own, parent = F.trim(F.coalesce("segnum", F.lit(""))), F.trim(F.coalesce("psgnum", F.lit("")))
+    one = F.struct(
+        "segnum", "segment", F.xxhash64("psgnum", F.map_entries("fields")).alias("tie"), own.alias("own"), F.regexp_replace(own, "^0+", "").alias("number"),
+        F.regexp_replace(parent, "^0+", "").alias("parent"), F.map_entries("fields").alias("fields"),
+    )
+    documents = segments.groupBy("docnum").agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    none = F.array().cast("array<struct<number:string,own:string,path:string,level:int>>")
+
+    def hung(acc: Column, x: Column) -> Column:
+        asked = F.filter(acc, lambda y: (x["parent"] != "") & (y["number"] == x["parent"]))
+        # A lambda's argument is worked out once, where a column would be for each use.
+        up = F.transform(F.array(asked), lambda found: F.try_element_at(F.filter(found, lambda y: y["own"] == F.get(found, F.lit(0))["own"]), F.lit(-1)))
+        return F.concat(acc, F.transform(up, lambda u: F.struct(
+            x["number"].alias("number"), x["own"].alias("own"),
+            F.concat(F.coalesce(u["path"], F.lit("")), F.lit("/"), x["own"]).alias("path"), (F.coalesce(u["level"], F.lit(0)) + 1).alias("level"),
+        )))
+
+    placed = documents.select("docnum", "_all", F.aggregate("_all", none, hung).alias("_ways"))
+    rows = placed.select("docnum", F.explode(F.arrays_zip("_all", "_ways")).alias("_x"))
+    seg, way = F.col("_x")["_all"], F.col("_x")["_ways"]
+    path = way["path"]
+    return rows.select(
+        "docnum", seg["segnum"].alias("segnum"), seg["segment"].alias("segment"), F.map_from_entries(seg["fields"]).alias("fields"),
+        path.alias("path"), F.regexp_replace(path, "/[^/]*$", "").alias("parent_path"), way["level"].alias("level"),
+    )
+
+
+def _tree_by_joins(segments: DataFrame) -> DataFrame:
+    """``segment_tree`` of documents of any size."""
     own, parent = F.trim(F.coalesce("segnum", F.lit(""))), F.trim(F.coalesce("psgnum", F.lit("")))
     place = F.row_number().over(Window.partitionBy("docnum").orderBy("segnum", "segment", F.xxhash64("psgnum", F.map_entries("fields"))))
     numbered = segments.select(
@@ -183,10 +227,14 @@ def attach_children(segments: DataFrame) -> DataFrame:
     """Top segments with all that hangs below them, in order, each with its path and level."""
     tree = segment_tree(segments)
     top = F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2)))
-    below = tree.filter("level > 1").groupBy("docnum", top.alias("path")).agg(
-        F.array_sort(F.collect_list(F.struct("segnum", "segment", F.map_entries("fields").alias("fields"), "path", "level"))).alias("children")
+    child = F.struct("segnum", "segment", F.map_entries("fields").alias("fields"), "path", "level")
+    head = F.struct("segnum", "segment", F.map_entries("fields").alias("fields"))
+    # Tops that share a path each get all that hangs below it.
+    held = tree.groupBy("docnum", top.alias("path")).agg(
+        F.collect_list(F.when(F.col("level") == 1, head)).alias("tops"), F.array_sort(F.collect_list(F.when(F.col("level") > 1, child))).alias("children")
     )
-    return tree.filter("level = 1").join(below, ["docnum", "path"], "left").select("docnum", "segnum", "segment", "fields", "children")
+    rows = held.select("docnum", F.explode("tops").alias("top"), F.when(F.size("children") > 0, F.col("children")).alias("children"))
+    return rows.select("docnum", "top.segnum", "top.segment", F.map_from_entries("top.fields").alias("fields"), "children")
 
 
 # Fixed names: the fields of a control record that a message keeps.

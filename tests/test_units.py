@@ -462,6 +462,27 @@ def plain_tree(rows):
     return out
 
 
+def test_small_documents_are_placed_inside_a_row(spark, monkeypatch):
+    numbers = ["000001", "1", " 2", "3", "0003", "", None]
+    rows = [
+        (None if d == 4 else f"D{d}", numbers[(k * 5 + d) % 7] if d % 2 else f"{k:06d}", f"S{k % 2}", numbers[(k * 3 + d) % 7] if d % 2 else f"{k // 2}", f"t{k}")
+        for d in range(9) for k in range(d * 2 + 1)
+    ]
+    df = spark.createDataFrame(rows, "docnum string, segnum string, segment string, psgnum string, t string").withColumn("fields", F.create_map(F.lit("T"), "t"))
+
+    def told():
+        tree, tops = messages.segment_tree(df), messages.attach_children(df)
+        found = [sorted(str(r) for r in x.withColumn("fields", F.map_entries("fields")).collect()) for x in (tree, tops)]
+        return found, "Join" in tree._jdf.queryExecution().optimizedPlan().toString()
+
+    inside, joined = told()
+    assert not joined
+    for most in (0, 6):  # all documents by joins, and the larger ones
+        monkeypatch.setattr(messages, "IN_A_ROW", most)
+        assert told() == (inside, True)
+    assert len(inside[0]) == len([r for r in rows if r[0] is not None])
+
+
 def test_segments_hang_together_across_rows(spark):
     rng = random.Random(6)
     documents = {
