@@ -11,7 +11,8 @@ Shingles are ordered by a sketch of how common they are, rarest first.
 
 The boundary is where subsets of small sets and scans of large ones move the least rows
 together, counted over all sets. Equal sets are one set; a key (a subset or a shingle) with
-a very long list, as groups of copies make them, is not expanded into pairs (``pairing``).
+a very long list, as groups of copies make them, is not expanded into pairs: the sets that
+such keys connect are compared in blocks, by matrix products (``pairing``).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlink.llm import arrays as A
-from flowlink.llm.pairing import Fits, resolve, sizes_fit
+from flowlink.llm.pairing import Fits, dense_links, resolve, sizes_fit
 from flowlink.llm.shared import bitmap_of, stored, wanted
 
 WORDS = 3
@@ -33,6 +34,7 @@ SKETCH_BITS = 20  # counters of the commonness sketch: 4 MB, whatever the corpus
 WINDOW = 1 << 21  # shingles looked at together for the sketch
 PROFILE_BITS = 6  # of the hash ranges whose shingles are counted
 STEPS = 3  # size classes are so many times as wide as linked sizes can be apart
+LARGEST = 32  # sets of a key that are compared by a join where components remain; more are by blocks
 LARGEST_SMALL = 512  # sizes up to which subsets are ever considered
 
 
@@ -232,6 +234,12 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     return both.filter(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of a column of shingle sets."""
+    many = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), many), column.flatten().to_numpy()
+
+
 def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id.
 
@@ -254,9 +262,15 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
     entries = keyed(firsts, boundary(sets, percent), percent)
     details = firsts.select(F.col("doc_id").alias("id"), F.col("profile").alias("detail")).dropDuplicates(["id"])
+
+    def dense(families: DataFrame) -> DataFrame:
+        tokens = shingle_sets(docs, families.select("id"), k).distinct()
+        content = tokens.select("id", F.col("tokens").alias("content"), F.size("tokens").alias("weight"))
+        return dense_links(families.select("id", "component", "family", F.lit(0).alias("n")).distinct().join(content, "id"), tokens_of, percent)
+
     whole = resolve(
         entries, lambda _: lambda pairs: linked(pairs, sets, docs, k, percent), sizes_fit(percent), "jaccard",
-        details=details, near=profiles_fit(percent),
+        LARGEST, details=details, near=profiles_fit(percent), dense=dense,
     )
     rows = sets.alias("s").join(equal.alias("e"), [F.col(f"s.{c}") == F.col(f"e.{c}") for c in names], "left").select(
         "s.doc_id", "s.n", "e.first"
