@@ -100,17 +100,20 @@ def level_counts(pairs: DataFrame) -> DataFrame:
     """
     known = pairs.withColumn("_similarity", M.name_similarity())
     levels = M.compare(similarity=F.col("_similarity"))
-    listed = F.concat(
-        F.array_compact(F.array(levels["email"], levels["domain"], levels["name"])),
-        F.transform(levels["exact"], lambda e: e["level"]),
-    )
-    found = known.select("match", listed.alias("levels")).withColumn(
+    return class_level_counts(known.select("match", *[v.alias(k) for k, v in levels.items()], F.lit(1).alias("pairs")))
+
+
+def class_level_counts(classes: DataFrame) -> DataFrame:
+    """``level_counts`` over classes of pairs: (match, email, domain, name, exact, pairs)."""
+    listed = F.concat(F.array_compact(F.array("email", "domain", "name")), F.transform("exact", lambda e: e["level"]))
+    found = classes.select("match", "pairs", listed.alias("levels")).withColumn(
         "kinds", F.array_distinct(F.transform("levels", lambda l: F.substring_index(l, ".", 1)))
     )
 
     def counted(column: str, name: str, yes: str, no: str) -> DataFrame:
-        rows = found.select("match", F.explode(column).alias(name))
-        return rows.groupBy(name).agg(F.count_if("match").alias(yes), F.count_if(~F.col("match")).alias(no))
+        rows = found.select("match", "pairs", F.explode(column).alias(name))
+        total = lambda which: F.coalesce(F.sum(F.when(which, F.col("pairs"))), F.lit(0)).cast("bigint")
+        return rows.groupBy(name).agg(total(F.col("match")).alias(yes), total(~F.col("match")).alias(no))
 
     by_level = counted("levels", "level", "matching", "non_matching")
     by_kind = counted("kinds", "kind", "kind_matching", "kind_non_matching")
@@ -127,8 +130,16 @@ def train(pairs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     Estimates are drawn towards the default by ``strength`` pairs, so a level seen a few
     times cannot swing to an extreme.
     """
-    default = M.model_table(pairs.sparkSession, M.DEFAULT_MODEL).withColumnsRenamed({"m": "default_m", "u": "default_u"})
-    counts = level_counts(pairs)
+    return _estimated(level_counts(pairs), strength)
+
+
+def train_all(classes: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """``train`` over classes of pairs (see ``labelled_classes``)."""
+    return _estimated(class_level_counts(classes), strength)
+
+
+def _estimated(counts: DataFrame, strength: float) -> DataFrame:
+    default = M.model_table(counts.sparkSession, M.DEFAULT_MODEL).withColumnsRenamed({"m": "default_m", "u": "default_u"})
     kinds = counts.select("kind", "kind_matching", "kind_non_matching").distinct()
     per_level = counts.select("level", "matching", "non_matching")
     joined = default.withColumn("kind", F.substring_index("level", ".", 1)).join(per_level, "level", "left").join(kinds, "kind", "left")
@@ -266,6 +277,11 @@ def pair_classes(records: DataFrame) -> DataFrame:
     )
 
 
+def labelled_classes(records: DataFrame) -> DataFrame:
+    """The classes of all pairs of records whose masters are known, none left out."""
+    return stored(pair_classes(records.filter(F.col("master_id").isNotNull())), "classes")
+
+
 def evaluate_all(classes: DataFrame, model: M.Model, threshold: float = THRESHOLD) -> DataFrame:
     """``evaluate`` over the classes of all pairs (one row)."""
     above = M.probability({k: F.col(k) for k in ("email", "domain", "name", "exact")}, model) >= threshold
@@ -284,16 +300,18 @@ class Training(NamedTuple):
     quality: DataFrame
 
 
-def fit(records: DataFrame, holdout: float = HOLDOUT, threshold: float = THRESHOLD, most: int = MAX_NON_MATCHING) -> Training:
+def fit(records: DataFrame, holdout: float = HOLDOUT, threshold: float = THRESHOLD, most: int | None = None) -> Training:
     """Trains on some masters, judges on the others; the trained model is used only if it
-    is at least as precise as the default. It is fitted on ``RECORDS_PER_MASTER`` records of
-    a master and ``most`` pairs of different ones, and judged on all pairs held out. The
-    nine levels, two quality rows, the names of exact identifiers and what the index of
-    close names needs are brought to the driver."""
+    is at least as precise as the default. It is fitted and judged on all pairs of either
+    part; only where the caller gives ``most`` is it fitted on ``RECORDS_PER_MASTER`` records
+    of a master and so many pairs of different ones. The nine levels, two quality rows, the
+    names of exact identifiers and what the index of close names needs are brought to the
+    driver."""
     marked = records.withColumn("_held", held_out(F.col("master_id"), holdout))
-    levels = train(labelled_pairs(marked.filter(~F.col("_held")).drop("_held"), most, seed=1))
+    known = marked.filter(~F.col("_held")).drop("_held")
+    levels = train_all(labelled_classes(known)) if most is None else train(labelled_pairs(known, most, seed=1))
     trained = M.read_model(levels)
-    held = stored(pair_classes(marked.filter("_held").drop("_held")), "classes")
+    held = labelled_classes(marked.filter("_held").drop("_held"))
     quality = evaluate_all(held, M.DEFAULT_MODEL, threshold).withColumn("model", F.lit("default")).unionByName(
         evaluate_all(held, trained, threshold).withColumn("model", F.lit("trained"))
     )
