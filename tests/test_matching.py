@@ -160,6 +160,41 @@ def test_candidates_are_told_apart_without_a_set_per_pair(spark):
     assert sorted((int(r["record_id"]), int(r["source_id"])) for r in found.collect()) == [(a, b) for a in range(24) for b in range(24)]
 
 
+def test_a_large_block_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "SIDE", 4)
+    schema = "entity string, %s string, email string, domain string, name string, exact array<struct<field:string,value:string>>"
+    rows = [("E", f"{n}", f"e{n}", "d", None, []) for n in range(30)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sides = [spark.createDataFrame(rows * k, schema % name).coalesce(1) for name, k in (("record_id", 1), ("source_id", 2))]
+        found = M.candidate_pairs(*sides).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((int(r["record_id"]), int(r["source_id"])) for r in found) == sorted((a, b) for a in range(30) for b in range(30) for _ in "12")
+    assert len({r["task"] for r in found}) > 4
+
+
+@pytest.mark.parametrize("close_names,chunked", [(32, 1 << 11), (32, 3), (-1, 3)])
+def test_pairs_carry_the_attributes_of_their_sides(spark, monkeypatch, close_names, chunked):
+    monkeypatch.setattr(M, "CLOSE_NAMES", close_names)
+    monkeypatch.setattr(M, "HOT_PAIRS", chunked)
+    monkeypatch.setattr(M, "SIDE", 16)
+    records, linked = (frames(spark, people(50, 12, "r") + [people(1, 3, "twice")[0]] * 2, "record_id").drop("master_id"), frames(spark, people(70, 13, "l"), "source_id"))
+    wide = M.candidate_pairs(records, linked, attributes=True)
+    a = records.select("record_id", *[F.col(c).alias(f"a_{c}") for c in M.ATTRIBUTES])
+    b = linked.select("source_id", "master_id", *[F.col(c).alias(f"b_{c}") for c in M.ATTRIBUTES])
+    joined = M.candidate_pairs(records, linked).join(a, "record_id").join(b, "source_id")
+    told = lambda df: sorted(str((r["record_id"], r["source_id"], r["master_id"], round(r["score"], 9), r["reasons"])) for r in M.score_pairs(df).collect())
+    want = told(joined)
+    assert told(wide) == want and any("similar name" in w for w in want)
+    levels = lambda df: sorted(map(str, df.select("record_id", "source_id", *[v.alias(k) for k, v in M.compare(similarity=M.pair_similarity(df)).items()]).collect()))
+    assert levels(wide) == levels(joined)
+    plan = M.score_pairs(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (record_id" not in plan and "Join Inner, (source_id" not in plan  # no pair is joined to its sides
+    assert ("ArrowEvalPython" in plan) == (close_names < 0)
+
+
 def test_extract_vectors(spark):
     rows = [(" Grace@Lovelace-GmbH.example ", "Hopper,  Grace ", "at u 123 456"), ("x@gmail.com", "  ", None), ("@a", "Ä-1", ""), ("a@", None, "7")]
     df = spark.createDataFrame(rows, "mail string, who string, vat string")
