@@ -316,6 +316,35 @@ def test_a_model_that_is_not_monotone_compares_whole_blocks(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("hot_block,seed", [(2, 1), (8, 2), (5, 3)])
+def test_models_that_are_not_monotone_are_searched_by_groups(spark, monkeypatch, hot_block, seed):
+    # A shared domain counts against a pair, a close name more than an unlike one.
+    odd = M.Model({**M.DEFAULT_LEVELS, "domain.same": (0.0025, 0.0053), "domain.differs": (0.9955, 0.9947), "name.close": (0.01, 0.9)})
+    records, linked = people(40, seed, "r"), people(150, seed + 10, "l")
+    sides = frames(spark, records, "record_id").drop("master_id"), frames(spark, linked, "source_id")
+    searched = []
+    monkeypatch.setattr(M, "_hot_pairs_of_any_model", lambda *a, search=M._hot_pairs_of_any_model: searched.append(1) or search(*a))
+    columns = ["record_id", "rank", "master_id", "score", "reasons"]
+    told = lambda **more: sorted(map(str, M.suggest(*sides, odd, chunk=3, **more).select(*columns).collect()))
+    got = told(hot_block=hot_block)
+    assert got == told(hot_block=None) and searched == [1]
+    by_record = {}
+    for r in M.suggest(*sides, odd, hot_block=hot_block, chunk=3).orderBy("record_id", "rank").collect():
+        by_record.setdefault(r["record_id"], []).append((r["master_id"], r["score"]))
+    assert by_record == plain_suggest(records, linked, odd, 3)
+
+
+def test_few_pairs_leave_a_block_under_a_model_that_is_not_monotone(spark):
+    odd = M.Model({**M.DEFAULT_LEVELS, "domain.same": (0.0025, 0.0053), "domain.differs": (0.9955, 0.9947)})
+    schema = f"entity string, %s string, master_id string, email string, domain string, name string, exact {M.EXACT_TYPE}"
+    rows = lambda p, many: [("E", f"{p}{n}", f"M{n:04d}", f"{p}{n}@d", "d", None, []) for n in range(many)]
+    left, right = spark.createDataFrame(rows("a", 60), schema % "record_id").drop("master_id"), spark.createDataFrame(rows("b", 300), schema % "source_id")
+    hot = spark.createDataFrame([("E", "domain", "d")], "entity string, rule string, key string")
+    pairs = M._hot_pairs_of_any_model(M.profiles(left), M.linked_profiles(right, 3), hot, 3, 100, M.DIRECT)
+    assert pairs.count() == 60 * 3
+    assert {tuple(r) for r in M.suggest(left, right, odd, hot_block=5).select("master_id", "rank").collect()} == {("M0000", 1), ("M0001", 2), ("M0002", 3)}
+
+
 def test_decide_needs_threshold_and_a_distant_runner_up(spark):
     rows = [("E", "a", "M1", 0.97, [], 1), ("E", "a", "M2", 0.6, [], 2), ("E", "b", "M1", 0.97, [], 1), ("E", "b", "M2", 0.49, [], 2), ("E", "c", "M1", 0.9, [], 1)]
     df = spark.createDataFrame(rows, "entity string, record_id string, master_id string, score double, reasons array<string>, rank int")
