@@ -31,18 +31,21 @@ def written(t, df, name: str, files: int = 4) -> str:
 STATE_PARTS = 8  # of these examples' streams, on any master
 
 
-def run(t, stream, out: str, checkpoint: str) -> None:
+PART_ROWS = 1 << 19  # messages that a task sorts by key in memory: more are dealt to more parts
+
+
+def run(t, stream, out: str, checkpoint: str, parts: int = STATE_PARTS) -> None:
     """Runs a stream into a table."""
-    with few_parts(t):
+    with few_parts(t, parts):
         S.to_table(stream, out, checkpoint)
 
 
 @contextlib.contextmanager
-def few_parts(t):
+def few_parts(t, parts: int = STATE_PARTS):
     """State is kept in as many parts as a stream's first run has; the session's number comes back."""
     conf, name = t.spark.conf, "spark.sql.shuffle.partitions"
     before = conf.get(name)
-    conf.set(name, str(STATE_PARTS))
+    conf.set(name, str(parts))
     try:
         yield
     finally:
@@ -154,7 +157,10 @@ def _(t):
 def _(t):
     r = t["approval_requests"].select("run_id", F.lit("request").alias("kind"), "step", "digest", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("actor"), F.col("asked_ms").alias("at_ms"))
     s = t["approval_signals"].select("run_id", F.lit("signal").alias("kind"), "step", "digest", "status", "actor", "at_ms")
-    first = written(t, r.unionByName(s), "messages", STATE_PARTS)
+    # As they are read, without a shuffle, and packed as digests can be: no file for each read part, as all are one batch.
+    first = scratch(t.spark, "messages")
+    r.unionByName(s).coalesce(STATE_PARTS).write.option("compression", "zstd").parquet(first)
+    parts = max(STATE_PARTS, t.spark.read.parquet(first).count() // PART_ROWS)
     # A last message far in the future lets every request's time run out.
     end = t["orders"].select((F.max("o_orderkey") + 1).alias("run_id")).select(
         "run_id", F.lit("signal").alias("kind"), F.lit(0).alias("step"), F.lit("").alias("digest"), F.lit("").alias("status"), F.lit("").alias("actor"), F.lit(4 * 10**12).alias("at_ms")
@@ -163,7 +169,7 @@ def _(t):
     schema = r.unionByName(s).schema
     stream = S.read_folder(t.spark, first, schema, per_batch=STATE_PARTS)
     out, checkpoint = scratch(t.spark, "decisions"), scratch(t.spark, "checkpoint")
-    run(t, A.await_decisions(stream, RP.TIMEOUT), out, checkpoint)
+    run(t, A.await_decisions(stream, RP.TIMEOUT), out, checkpoint, parts)
     return t.spark.read.schema(A.DECISION).parquet(out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
@@ -35,8 +35,8 @@ class Decide(StatefulProcessor):
     """
 
     STATE = (
-        "runs array<struct<run_id:bigint,closed:boolean,step:int,digest:string,asked_ms:bigint,until:bigint,"
-        "early:array<struct<step:int,digest:string,status:string,actor:string,at_ms:bigint>>>>"
+        "runs array<struct<run_id:bigint,closed:boolean,step:int,digest:binary,asked_ms:bigint,until:bigint,"
+        "early:array<struct<step:int,digest:binary,status:string,actor:string,at_ms:bigint>>>>"
     )
 
     def __init__(self, timeout_ms: int, keep_ms: int = KEEP_MS):
@@ -116,6 +116,12 @@ class Decide(StatefulProcessor):
         pass
 
 
+def packed(digest: Column) -> Column:
+    """A text as bytes that are equal only for equal texts: lower-case hex digits by the pair."""
+    hexed = digest.rlike(r"\A([0-9a-f]{2})+\z")
+    return F.when(hexed, F.concat(F.lit(b"\x01"), F.unhex(digest))).otherwise(F.concat(F.lit(b"\x00"), F.encode(digest, "UTF-8")))
+
+
 def await_decisions(messages: DataFrame, timeout_ms: int, delay: str = "1 minute") -> DataFrame:
     """A stream of decisions from a stream of requests and signals (see ``MESSAGE``).
 
@@ -125,7 +131,7 @@ def await_decisions(messages: DataFrame, timeout_ms: int, delay: str = "1 minute
     timed = messages.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
     bucket = F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS))
     # As text, a run's number stays whole beside NULLs.
-    keyed = timed.withColumns({"_bucket": bucket, "run_id": F.col("run_id").cast("string")})
+    keyed = timed.withColumns({"_bucket": bucket, "run_id": F.col("run_id").cast("string"), "digest": packed(F.col("digest"))})
     return keyed.groupBy("_bucket").transformWithStateInPandas(
         Decide(timeout_ms), outputStructType=DECISION, outputMode="Append", timeMode="EventTime"
     )

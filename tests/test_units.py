@@ -679,6 +679,26 @@ def test_decisions_need_a_few_calls_for_all_runs_of_a_bucket():
     assert decided(decide.handleExpiredTimer((0,), store, None)) == set() and not held and len(calls) <= 12
 
 
+def test_packed_digests_are_equal_only_for_equal_texts(spark):
+    texts = ["", "ab", "AB", "abc", "\x01", "0" * 32, "00", "0", "é", "ab\n", None]
+    got = [None if r[0] is None else bytes(r[0]) for r in spark.createDataFrame([(x,) for x in texts], "d string").select(approvals.packed(F.col("d"))).collect()]
+    assert len(set(got)) == len(texts) and got[-1] is None and len(got[5]) == 17
+
+
+def test_messages_are_sorted_in_more_parts_where_they_are_many(spark, monkeypatch):
+    from flowlink.plans import load, registry, streams
+
+    load()
+    monkeypatch.setattr(streams, "PART_ROWS", 500)
+    seen = []
+    monkeypatch.setattr(streams.S, "to_table", lambda *a, run=streams.S.to_table: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or run(*a))
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    got = sorted(map(tuple, registry.QUERIES["t05_await_decisions"].run(t).collect()))
+    assert seen[0] > streams.STATE_PARTS
+    want = spark.sql(registry.oracle(registry.QUERIES["t05_await_decisions"].sql, registry._Views(t)).replace("min({'at_ms': g.at_ms, 'status': g.status, 'actor': g.actor})", "min(named_struct('at_ms', g.at_ms, 'status', g.status, 'actor', g.actor))"))
+    assert got == sorted(map(tuple, want.collect()))
+
+
 def test_stream_and_replay_of_open_requests_agree(spark):
     rng = random.Random(4)
     rows = [(f"k{rng.randint(0, 3)}", i, f"r{rng.randint(0, 4)}", rng.choice(["open", "open", "close"]), i * 10, i * 10 + rng.randint(5, 60)) for i in range(120)]
