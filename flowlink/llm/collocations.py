@@ -244,7 +244,7 @@ def exact_counts(texts: DataFrame, hashes: DataFrame, longest: int, threshold: i
                     total = np.bincount(grams.group, grams.count, len(groups)).astype(np.int64)
                     empty, none = pa.array([""] * len(groups)), np.zeros(len(groups), np.int32)
                     tables.append(pa.table({"g": names, "phrase": empty, "size": none, "n": total}))
-                held = np.flatnonzero(wanted(bitmap.value, gram_hashes(counted, grams, seeds), bits))
+                held = np.flatnonzero(wanted(bitmap.value, gram_hashes(counted, grams, seeds)))
                 parts = [counted.vocabulary.take(pa.array(grams.words[held, i])) for i in range(k)]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
                 size = np.full(len(held), k, np.int32)
